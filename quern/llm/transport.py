@@ -15,6 +15,8 @@ Rows are independent: ties, repeated rows and clashing extra columns change noth
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,7 @@ UNIT_TICKS = 3000
 UNITS_PER_POINT = 4
 
 
+@lru_cache(maxsize=1024)
 def table_crc(data: bytes) -> int:
     crc = 0xFFFFFFFF
     for byte in data:
