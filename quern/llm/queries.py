@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, pieces, transport
+from quern.llm import chat, mixture, pieces, transport
 from quern.llm.shared import table
 
 
@@ -31,11 +31,16 @@ def op4_transport_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_piece_codec": op2_piece_codec,
         "op4_transport_media": op4_transport_media,
+        "op10_source_mixture": op10_source_mixture,
     }
 
 

@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at most, but for a single longer text.
@@ -48,29 +49,28 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, text: str | None = None) -> DataFrame:
-    """mapInArrow in slices: with ``text`` named, a slice has at most SLICE_BYTES of it (or one row), so that memory is bounded by the longest text."""
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, text: str | None = None, size: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow in slices: with ``text`` named, a slice has at most ``size`` bytes of it (or one row), so that memory is bounded by the longest text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, size):
                 made = step(part)
                 yield from [made] if isinstance(made, pa.RecordBatch) else made
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | None, most: int) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
     if text is None:
         yield batch
         return
-    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    total = np.cumsum(size)
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -148,3 +148,44 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(_VALUE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
 
+
+#: Any word of a text, as a regular expression of Spark's and DuckDB's.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def word_count(text: F.Column) -> F.Column:
+    """Number of words of a text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def running_sum(df: DataFrame, group: str, order: list[F.Column], value: str, out: str) -> DataFrame:
+    """df with ``out``: the sum of ``value`` over the rows of the same ``group`` (long, not null) that come earlier by ``order``.
+
+    Rows are range-partitioned by group and order, so that a hot group spreads over tasks;
+    each partition sums its own rows, and a small table of the partitions' sums by group
+    gives where each starts. Rows that tie in ``order`` come in any order.
+    """
+    keys = [F.col(group), *order]
+    names = df.columns
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(names.index(group)).to_numpy(zero_copy_only=False)
+            v = batch.column(names.index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.cumsum(v) - v
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            before -= np.repeat(before[first], np.diff(np.r_[first, len(g)]))
+            if g[0] == last:
+                before[: first[1] if len(first) > 1 else None] += carried
+            last, carried = g[-1], before[-1] + v[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(np.full(len(g), part, np.int32))], [*names, out, "_part"])
+
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, `{out}` long, _part int"
+    ranged = saved(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(local, schema), "running")
+    sums = ranged.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(group, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    return ranged.join(starts, [group, "_part"]).withColumn(out, F.col(out) + F.col("_start")).select(*names, out)
