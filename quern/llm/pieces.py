@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from quern.llm.shared import map_batches
 
 SPACE = "▁"
 #: Words kept per Python worker, and the longest that is kept, in characters.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 CACHE_CHARS = 48
+#: Bytes of text, or of ids, that a worker takes at once; one longer text is taken alone.
+STEP_BYTES = 1 << 19
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -186,9 +189,11 @@ class Pieces:
         own: dict[str, bytes] = {}
         # the library adds a dummy U+2581 itself: each word is given without its first one
         made = self.sp.encode([w[1:] for w in new], num_threads=1)
+        made = [ids if len(word) > 1 else [self.lone] for word, ids in zip(new, made, strict=True)]
+        flat = np.fromiter(chain.from_iterable(made), "<u4").tobytes()
+        at = 0
         for word, ids in zip(new, made, strict=True):
-            ids = ids if len(word) > 1 else [self.lone]
-            (known if len(word) <= CACHE_CHARS else own)[word] = np.array(ids, "<u4").tobytes()
+            (known if len(word) <= CACHE_CHARS else own)[word] = flat[at : (at := at + 4 * len(ids))]
         both = {**known, **own} if own else known
         begin, end = (np.array([x], "<u4").tobytes() for x in (self.sp.bos_id(), self.sp.eos_id()))
         return [begin + b"".join(map(both.__getitem__, words)) + end for words in split]
@@ -227,7 +232,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", key: str = "doc_i
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "ids", "begins", "ends"])
 
     kind = df.schema[key].dataType.simpleString()
-    made = map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), step, f"key {kind}, ids binary, begins binary, ends binary", "text")
+    made = map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), step, f"key {kind}, ids binary, begins binary, ends binary", "text", STEP_BYTES)
     return made.withColumnRenamed("key", key)
 
 
@@ -241,7 +246,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", key: str = "doc_id"
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], ["key", "ids", "decoded"])
 
     kind = df.schema[key].dataType.simpleString()
-    made = map_batches(df.select(F.col(key).alias("key"), F.col(ids).alias("ids")), step, f"key {kind}, ids binary, decoded string", "ids")
+    made = map_batches(df.select(F.col(key).alias("key"), F.col(ids).alias("ids")), step, f"key {kind}, ids binary, decoded string", "ids", STEP_BYTES)
     return made.withColumnRenamed("key", key)
 
 
