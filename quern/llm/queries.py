@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, langid, mixture, ngram, pieces, transport
+from quern.llm import chat, jaccard, langid, mixture, ngram, pieces, transport
 from quern.llm.shared import table
 
 
@@ -31,6 +31,10 @@ def op4_transport_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op2_piece_codec": op2_piece_codec,
         "op4_transport_media": op4_transport_media,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_language_id": op6_language_id,
         "op7_kneser_ney": op7_kneser_ney,
         "op10_source_mixture": op10_source_mixture,
