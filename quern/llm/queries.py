@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, jaccard, langid, mixture, ngram, pieces, transport
+from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, pieces, transport
 from quern.llm.shared import table
 
 
@@ -43,6 +43,10 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.removed_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": op5_jaccard_join,
         "op6_language_id": op6_language_id,
         "op7_kneser_ney": op7_kneser_ney,
+        "op8_paragraph_dedup": op8_paragraph_dedup,
         "op10_source_mixture": op10_source_mixture,
     }
 
