@@ -23,20 +23,16 @@ vocabulary of 2**32 words or more is refused.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import SLICE_BYTES, buffer_of, map_batches, mix, saved, shared_dir, slices, word_hashes, word_spans
+from quern.llm.shared import SLICE_BYTES, buffer_of, map_batches, mapped, mix, put, saved, shared_dir, slices, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 10, 0
 #: Bytes of text to a shard, and entries that a task sums up before it deals them out.
@@ -60,42 +56,6 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-# Arrays in the shared folder
-
-
-def put(folder: str, name: str, values: np.ndarray) -> None:
-    """Writes an array under its name at once, so that a task that runs again does no harm."""
-    at = urlparse(folder)
-    if at.scheme in ("", "file"):
-        os.makedirs(at.path, exist_ok=True)
-        own = f"{at.path}/.{name}-{uuid.uuid4().hex}"
-        values.tofile(own)
-        os.replace(own, f"{at.path}/{name}")
-        return
-    import pyarrow.fs
-
-    store, path = pyarrow.fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/{name}") as out:
-        out.write(np.ascontiguousarray(values))
-
-
-def mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    """The array, mapped into memory; from a store that can't be mapped, by way of an unlinked file."""
-    at = urlparse(folder)
-    if at.scheme in ("", "file"):
-        path = f"{at.path}/{name}"
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    import pyarrow.fs
-
-    store, path = pyarrow.fs.FileSystem.from_uri(folder)
-    with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{path}/{name}") as source:
-        while part := source.read(1 << 24):
-            copy.write(part)
-        copy.flush()
-        return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
-
-
 class Table:
     """A sorted hash array in shards, and columns beside it."""
 

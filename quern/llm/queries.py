@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, pieces, transport
+from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, pieces, smallworld, transport
 from quern.llm.shared import table
 
 
@@ -47,6 +47,10 @@ def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.removed_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smallworld.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_kneser_ney": op7_kneser_ney,
         "op8_paragraph_dedup": op8_paragraph_dedup,
+        "op9_vector_near_dups": op9_vector_near_dups,
         "op10_source_mixture": op10_source_mixture,
     }
 

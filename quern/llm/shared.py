@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing.
+
+    Shuffle files of earlier steps go first: Spark drops them when their plans are collected as garbage.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = shared_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
@@ -110,7 +118,8 @@ _VALUE = _values()
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash base and of its inverse, 0 to n - 1 at least."""
     if not _powers or len(_powers["up"]) < n:
         size = max(n, SLICE_BYTES + 1)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -143,7 +152,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of words with A-Z lower-cased: a polynomial over a table of random byte values, from prefix sums."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
+    up, down = powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
@@ -189,3 +198,36 @@ def running_sum(df: DataFrame, group: str, order: list[F.Column], value: str, ou
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(group, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     return ranged.join(starts, [group, "_part"]).withColumn(out, F.col(out) + F.col("_start")).select(*names, out)
+
+
+def put(folder: str, name: str, values: np.ndarray) -> None:
+    """Writes an array under its name at once, so that a task that runs again does no harm."""
+    at = urlparse(folder)
+    if at.scheme in ("", "file"):
+        os.makedirs(at.path, exist_ok=True)
+        own = f"{at.path}/.{name}-{uuid.uuid4().hex}"
+        values.tofile(own)
+        os.replace(own, f"{at.path}/{name}")
+        return
+    import pyarrow.fs
+
+    store, path = pyarrow.fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/{name}") as out:
+        out.write(np.ascontiguousarray(values))
+
+
+def mapped(folder: str, name: str, kind: str) -> np.ndarray:
+    """The array, mapped into memory; from a store that can't be mapped, by way of an unlinked file."""
+    at = urlparse(folder)
+    if at.scheme in ("", "file"):
+        path = f"{at.path}/{name}"
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    import pyarrow.fs
+
+    store, path = pyarrow.fs.FileSystem.from_uri(folder)
+    with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{path}/{name}") as source:
+        while part := source.read(1 << 24):
+            copy.write(part)
+        copy.flush()
+        return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
