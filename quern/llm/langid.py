@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import map_batches, saved
+from quern.llm.shared import map_batches, mix, powers, saved
 
 SPACE = "▁"
 UNKNOWN = "und"
@@ -70,26 +70,73 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+class Pieces:
+    """The vocabulary by hashes of code points, one sorted table for each length."""
+
+    def __init__(self, path: str):
+        self.rows = vocabulary(path)
+        by_length: dict[int, list] = {}
+        for piece, row in self.rows.items():
+            by_length.setdefault(len(piece), []).append((piece, row))
+        self.tables = []
+        for n in range(1, PIECE_CHARS + 1):
+            found = by_length.get(n, [])
+            total, _, down = _sums("".join(p for p, _ in found))
+            at = np.arange(len(found)) * n
+            hashes = mix((total[at + n] - total[at]) * down[at])
+            order = np.argsort(hashes)
+            maybe = np.zeros(1 << 16, bool)
+            maybe[hashes & np.uint64(0xFFFF)] = True
+            self.tables.append((hashes[order], np.array([r for _, r in found], np.int64)[order], maybe))
+
+    def find(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces of n characters, and their rows."""
+        keys, rows, maybe = self.tables[n - 1]
+        if not len(keys):
+            return np.zeros(0, np.int64), rows
+        left = np.flatnonzero(maybe[hashes & np.uint64(0xFFFF)])
+        at = np.minimum(np.searchsorted(keys, hashes[left]), len(keys) - 1)
+        hit = keys[at] == hashes[left]
+        return left[hit], rows[at[hit]]
+
+
+@lru_cache(maxsize=2)
+def piece_tables(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def _sums(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial hash over code points, and the powers that shift it back."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    up, down = powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix(points + np.uint64(1)) * up[: len(points)], out=total[1:])
+    return total, points, down
+
+
+def lattice(words: list[str], pieces: Pieces) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """The arcs of all words: (start, length, words' indexes, pieces' rows), by start then length."""
-    arcs: dict[tuple[int, int], tuple[list, list]] = {}
-    get, unknown = pieces.get, len(pieces)
-    for k, word in enumerate(words):
-        text = SPACE + word
-        n = len(text)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + PIECE_CHARS) + 1):
-                piece = get(text[i:j])
-                if piece is None:
-                    if j > i + 1:
-                        continue
-                    piece = unknown
-                put = arcs.get((i, j - i))
-                if put is None:
-                    put = arcs[i, j - i] = ([], [])
-                put[0].append(k)
-                put[1].append(piece)
-    return [(i, n, np.array(arcs[i, n][0]), np.array(arcs[i, n][1])) for i, n in sorted(arcs)]
+    if not words:
+        return []
+    total, points, down = _sums("".join(SPACE + w for w in words))
+    size = np.array([len(w) + 1 for w in words])
+    begin = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    position = np.arange(len(points)) - begin[word]
+    left = size[word] - position
+    arcs = []
+    for n in range(1, min(PIECE_CHARS, int(size.max())) + 1):
+        at = np.flatnonzero(left >= n)
+        hit, rows = pieces.find(mix((total[at + n] - total[at]) * down[at]), n)
+        if n == 1:
+            every = np.full(len(at), len(pieces.rows))
+            every[hit] = rows
+            hit, rows = np.arange(len(at)), every
+        arcs.append((position[at[hit]] * (PIECE_CHARS + 1) + n, word[at[hit]], rows))
+    order = np.argsort(keys := np.concatenate([a[0] for a in arcs]), kind="stable")
+    keys, word, rows = keys[order], np.concatenate([a[1] for a in arcs])[order], np.concatenate([a[2] for a in arcs])[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
+    return [(*divmod(int(keys[a]), PIECE_CHARS + 1), word[a:b], rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def forward(words: list[str], arcs: list, chances: np.ndarray) -> np.ndarray:
@@ -102,7 +149,7 @@ def forward(words: list[str], arcs: list, chances: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def word_scores(words: list[str], pieces: dict[str, int], chances: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """log P(word | language), summed over all segmentations; 0 for words without letters."""
     out = np.zeros((len(words), chances.shape[1]))
     for at in range(0, len(words), 8192):
@@ -114,10 +161,8 @@ def word_scores(words: list[str], pieces: dict[str, int], chances: np.ndarray) -
     return out
 
 
-def expected(words: list[str], weight: np.ndarray, language: np.ndarray, pieces: dict[str, int], chances: np.ndarray) -> np.ndarray:
+def expected(words: list[str], weight: np.ndarray, language: np.ndarray, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language over all segmentations of the weighted words."""
-    total = np.zeros_like(chances)
-    own = chances[:, language]  # one column per word
     arcs = lattice(words, pieces)
     size = max(map(len, words), default=0) + 2
     alpha = np.zeros((len(words), size))
@@ -126,13 +171,17 @@ def expected(words: list[str], weight: np.ndarray, language: np.ndarray, pieces:
     ends = np.array([len(w) + 1 for w in words])
     beta[np.arange(len(words)), ends] = 1
     for i, n, k, piece in arcs:
-        alpha[k, i + n] += alpha[k, i] * own[piece, k]
+        alpha[k, i + n] += alpha[k, i] * chances[piece, language[k]]
     for i, n, k, piece in reversed(arcs):
-        beta[k, i] += beta[k, i + n] * own[piece, k]
+        beta[k, i] += beta[k, i + n] * chances[piece, language[k]]
     scale = weight / np.maximum(alpha[np.arange(len(words)), ends], 1e-300)
+    cell, uses = [], []
     for i, n, k, piece in arcs:
-        np.add.at(total, (piece, language[k]), alpha[k, i] * own[piece, k] * beta[k, i + n] * scale[k])
-    return total
+        cell.append(piece * chances.shape[1] + language[k])
+        uses.append(alpha[k, i] * chances[piece, language[k]] * beta[k, i + n] * scale[k])
+    if not cell:
+        return np.zeros_like(chances)
+    return np.bincount(np.concatenate(cell), np.concatenate(uses), chances.size).reshape(chances.shape)
 
 
 def fold(doc_id: str = "doc_id", folds: int = FOLDS) -> Column:
@@ -143,9 +192,13 @@ def fold(doc_id: str = "doc_id", folds: int = FOLDS) -> Column:
 def sample(df: DataFrame, rows: int) -> DataFrame:
     """(lang, text) of about ``rows`` rows of each language at most, by a hash of doc_id."""
     labelled = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    # one small number per language
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return labelled.select("lang", "text")
+    most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, rows / n)])
     share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return labelled.join(counts, "lang").filter(share < F.lit(float(rows)) / F.col("_n")).select("lang", "text")
+    return labelled.filter(share < most[F.col("lang")]).select("lang", "text")
 
 
 def fit(df: DataFrame, model_path: str, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Model:
@@ -172,7 +225,7 @@ def fit(df: DataFrame, model_path: str, rows: int = SAMPLE_ROWS, rounds: int = R
         now = chances
 
         def gather(batches, now=now):
-            total, pieces = np.zeros_like(now), vocabulary(model_path)
+            total, pieces = np.zeros_like(now), piece_tables(model_path)
             for batch in batches:
                 lang, word, n = (batch.column(k).to_pylist() for k in range(3))
                 for at in range(0, len(word), 4096):
@@ -194,7 +247,7 @@ class Scorer:
     """Scores texts with one model, keeping the words already seen (at most CACHE_WORDS)."""
 
     def __init__(self, model: Model, model_path: str):
-        self.model, self.pieces = model, vocabulary(model_path)
+        self.model, self.pieces = model, piece_tables(model_path)
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm import langid as L
-from quern.llm.queries import tokenizer_file
+from quern.llm.shared import tokenizer_file
 
 PATH = tokenizer_file("piece_bpe_32k.model")
 DATA = "/root/testdata/sf0.001/documents.parquet"
@@ -29,7 +29,7 @@ def test_forward_sums_all_segmentations():
     chances = rng.random((len(pieces) + 1, 2))
     chances /= chances.sum(axis=0)
     words = ["the", "straße", "a", "ж漢", "interne"]
-    got = L.word_scores(words, pieces, chances)
+    got = L.word_scores(words, L.piece_tables(PATH), chances)
     for k, w in enumerate(words):
         for c in range(2):
             assert math.isclose(got[k, c], math.log(all_segmentations("▁" + w, pieces, chances[:, c])), rel_tol=1e-9)
@@ -58,7 +58,7 @@ def test_expected_uses_by_brute_force():
         for path, p in every:
             for piece in path:
                 want[piece, c] += n * p / whole
-    assert np.allclose(L.expected(words, weight, language, pieces, chances), want)
+    assert np.allclose(L.expected(words, weight, language, L.piece_tables(PATH), chances), want)
 
 
 def test_held_out_accuracy(spark):
