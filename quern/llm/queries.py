@@ -5,16 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, pieces, smallworld, transport
-from quern.llm.shared import table
-
-
-def tokenizer_file(name: str) -> str:
-    """Where an installed public tokenizer's file is; the operators take such a path as a parameter."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+import corpus_pipeline
+from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, pieces, rollups, smallworld, transport
+from quern.llm.shared import shared_dir, table, tokenizer_file
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +22,23 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, toxic ones deleted, those of low quality counted anew; then a second tokenizer version; two batches come twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = docs.join(labels, "doc_id")
+    toxic = rollups.changes(labels.filter("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("tokens")), "words@1", rollups.DELETE)
+    revised = rollups.changes(rollups.counts(marked.filter("quality = 0"), "letters@2"), "words@1", rollups.REVISE)
+    totals = rollups.Rollup(spark, shared_dir(spark, "rollups"))
+    totals.commit("load", rollups.changes(rollups.counts(docs, "words@1"), "words@1", rollups.INSERT))
+    totals.commit("toxic", toxic)
+    totals.commit("recount", revised)
+    totals.commit("toxic", toxic)
+    totals.commit("second-version", rollups.changes(rollups.counts(docs, "letters@2"), "letters@2", rollups.INSERT))
+    totals.commit("recount", revised)
+    return totals.totals()
+
+
 def op4_transport_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digest(table(spark, sf_dir, "documents"))
 
@@ -59,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_piece_codec": op2_piece_codec,
+        "op3_token_rollups": op3_token_rollups,
         "op4_transport_media": op4_transport_media,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_language_id": op6_language_id,
@@ -66,11 +79,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_paragraph_dedup": op8_paragraph_dedup,
         "op9_vector_near_dups": op9_vector_near_dups,
         "op10_source_mixture": op10_source_mixture,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_token_rollups": OP3_SQL}
 
 
 #: The learned text and the turns straight from the table; what escaping adds is counted, as in the template.
@@ -107,3 +121,17 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256,
   CAST(coalesce(broken, CASE WHEN final <> 'assistant' THEN n_turns END) AS BIGINT) AS rejected_at
 FROM grouped
 """
+
+OP3_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) AS BIGINT) AS letters
+  FROM documents),
+marked AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT source, lang, 'words@1' AS tokenizer, CAST(count(*) AS BIGINT) AS docs,
+  CAST(sum(CASE WHEN quality = 0 THEN letters ELSE words END) AS BIGINT) AS tokens
+FROM counted LEFT JOIN marked USING (doc_id) WHERE coalesce(toxic, 0) <> 1 GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'letters@2', CAST(count(*) AS BIGINT), CAST(sum(letters) AS BIGINT) FROM counted GROUP BY source, lang
+"""
