@@ -11,7 +11,7 @@ from quern.views import TABLES, table
 
 #: Functions whose spelling differs: name -> (Spark, DuckDB); arguments have no nested calls with commas.
 SPELLED = {
-    "MILLIS": ("unix_millis(CAST({0} AS TIMESTAMP))", "epoch_ms({0})"),
+    "MILLIS": ("unix_millis(CAST({0} AS TIMESTAMP))", "(epoch_us({0}) // 1000)"),
     "SHA": ("sha2({0}, 256)", "sha256({0})"),
     "IDIV": ("({0} div {1})", "({0} // {1})"),
     "JGET": ("get_json_object({0}, {1})", "json_extract_string({0}, {1})"),
@@ -21,8 +21,15 @@ SPELLED = {
 
 
 def spelled(text: str, engine: int) -> str:
+    """text with each NAME(a ; b) of SPELLED in one engine's spelling, innermost last."""
     for name, forms in SPELLED.items():
-        text = re.sub(rf"\b{name}\(([^()]*(?:\([^()]*\)[^()]*)*)\)", lambda m, f=forms[engine]: f.format(*[a.strip() for a in m[1].split(" ; ")]), text)
+        while m := re.search(rf"\b{name}\(", text):
+            depth, end = 1, m.end()
+            while depth:
+                depth += {"(": 1, ")": -1}.get(text[end], 0)
+                end += 1
+            args = [x.strip() for x in text[m.end() : end - 1].split(" ; ")]
+            text = text[: m.start()] + forms[engine].format(*args).replace(name + "(", name.lower() + "(") + text[end:]
     return text
 
 
