@@ -1,0 +1,96 @@
+"""Markdown chunks: blocks packed to a target size with overlap, never across a heading.
+
+Blocks are runs of lines between blank lines; a fence, a list or a table is one block.
+Sections start at ATX headings. Chunks are slices of the text: nothing is rewritten. This
+is a block scanner, not a whole CommonMark parser: indented code, HTML spans and setext
+headings count as paragraphs.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+_HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
+_LIST = re.compile(r"\s*(?:[-*+]|\d+[.)])\s")
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(start, end, heading level or 0, heading title) of each block."""
+    at, start, fence, kind = 0, None, "", ""
+    for line in text.splitlines(keepends=True):
+        bare = line.strip()
+        mark = bare[:3]
+        if fence:
+            if bare.startswith(fence):
+                yield start, at + len(line), 0, ""
+                start, fence = None, ""
+        elif mark in ("```", "~~~"):
+            if start is not None:
+                yield start, at, 0, ""
+            start, fence, kind = at, mark, ""
+        elif heading := _HEADING.match(bare):
+            if start is not None:
+                yield start, at, 0, ""
+            start, kind = None, ""
+            yield at, at + len(line), len(heading[1]), heading[2]
+        elif not bare:
+            if start is not None and kind != "list":
+                yield start, at, 0, ""
+                start = None
+        else:
+            now = "list" if _LIST.match(line) or (kind == "list" and line[:1].isspace()) else "table" if bare.startswith("|") else "text"
+            if start is not None and now != kind:
+                yield start, at, 0, ""
+                start = None
+            if start is None:
+                start, kind = at, now
+        at += len(line)
+    if start is not None:
+        yield start, at, 0, ""
+
+
+def chunk(text: str, target: int = 2000, overlap: int = 200) -> list[tuple[int, int, list[str]]]:
+    """(start, end, heading path) of each chunk; a block over the target is a chunk by itself."""
+    if target <= 0 or overlap >= target:
+        raise ValueError("the target must be over 0 and over the overlap")
+    sections: list[tuple[list[str], list[tuple[int, int]]]] = [([], [])]
+    path: list[tuple[int, str]] = []
+    for start, end, level, title in blocks(text):
+        if level:
+            path = [p for p in path if p[0] < level] + [(level, title)]
+            sections.append(([t for _, t in path], []))
+        sections[-1][1].append((start, end))
+    out = []
+    for titles, parts in sections:
+        k = 0
+        while k < len(parts):
+            last = k
+            while last + 1 < len(parts) and parts[last + 1][1] - parts[k][0] <= target:
+                last += 1
+            if text[parts[k][0] : parts[last][1]].strip():
+                out.append((parts[k][0], parts[last][1], titles))
+            if last + 1 == len(parts):
+                break
+            again = last + 1
+            while again - 1 > k and parts[last][1] - parts[again - 1][0] <= overlap:
+                again -= 1
+            k = again
+    return out
+
+
+def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "text", target: int = 2000, overlap: int = 200) -> DataFrame:
+    """(key, ordinal, start, end, headings, text) of every chunk; null and blank texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, n, a, b, h, t[a:b]) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, (a, b, h) in enumerate(chunk(t or "", target, overlap))]
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
+            names = [key, "ordinal", "start", "end", "headings", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names)
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ordinal long, start long, end long, headings array<string>, text string")
