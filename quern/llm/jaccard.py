@@ -6,24 +6,24 @@ near a pivot differs from it in few shingles.
 
 1. Equal sets become one node (128-bit digests, of which 64 bits name the node).
 2. Cells. Linked sets differ in at most K = |smaller| T / (1 - T) shingles. A set's hashed
-   shingles fall in K + 1 parts (K by class of size, and a set also signs for the class
-   below if it may be the larger one there); so linked sets agree in a part, and their
-   digests of it put both in that cell. A part without shingles says nothing: sets that
-   have one also sign their K + 1 smallest shingles.
-3. Pivots. The pivot of a cell is the member that shares most cells. Every member is
+   shingles fall in K + 1 + S parts (K by class of size, and a set also signs for the class
+   below if it may be the larger one there); so linked sets agree in S + 1 parts, and their
+   digests of one with shingles in it put both in that cell. Sets with over S parts without
+   shingles, which are rare, also sign their K + 1 smallest shingles. (Under PARTS_FROM percent parts
+   would be too small; there the cells are a set's first shingles, rare ones first.)
+3. Regions. The pivot of a cell is the member that shares most cells. Every member is
    compared with its cells' pivots: the Voronoi regions, which overlap where a document
-   shares cells with several pivots. Members within T of the pivot are linked to it.
-4. Recursion. Two members that are both linked to the pivot need no link of their own. Any
-   other linked pair has to agree on how both differ from the pivot: with |x minus p| over
-   K they share one of the K + 1 smallest shingles there, otherwise one of the K + 1
-   smallest of the symmetric difference. Those shingles, by pivot and by ring (a member
-   also goes to the next ring: the boundary that the triangle inequality asks for), are
-   the next cells, and step 3 runs on them without the pivot. Cells with nobody left
-   outside their pivot's reach are done. From round WIDE_FROM on, a cell takes twice as
-   many pivots each round, so the number of rounds is logarithmic.
+   shares cells with several pivots. Members within T of the pivot are linked to it, and
+   a region whose members all are is done.
+4. Windows. In the other regions a member goes to its ring of width T around the pivot
+   and, as a boundary document, to the next one: by the triangle inequality two linked
+   members share one of these. Each ring is joined on its own.
+5. Recursion. A ring of over LEAF members gets a pivot and regions of its own, DEPTH
+   times at most. What is left is joined exactly, by pairs of blocks of its members.
 
 No link between different components is lost and none is made up: every link is an exact
-comparison. Members of a cell meet pivots only; pairs within a cell are never listed.
+comparison. Pairs within a region are never listed: regions emit links to the pivot, and
+blocks a spanning forest of their links.
 
 Defined results: null or wordless texts have an empty set, no link and themselves as
 component; a text of fewer words than a shingle has them all as one; rows are told apart
@@ -42,9 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.graph import components
-from quern.llm.shared import buffer_of, map_batches, mix, saved, word_hashes, word_spans
+from quern.llm.shared import buffer_of, drop_saved, map_batches, mix, saved, word_hashes, word_spans
 
-WIDE_FROM = 4
+#: Members of a ring that are joined without another pivot, members of a block, and rounds of pivots after the first.
+LEAF = 1024
+#: Least percent for cells by parts; below it, documents (by hash) whose shingles' frequency orders the prefix, and how many shingles count as common at most.
+PARTS_FROM = 85
+ORDER_SAMPLE = 4096
+COMMON = 200_000
+BLOCK = 128
+DEPTH = 2
 
 
 class Rule(NamedTuple):
@@ -106,9 +113,25 @@ def size_class(size: int) -> tuple[int, int]:
         first = then
 
 
-def signatures(items: np.ndarray, rule: Rule) -> np.ndarray:
-    """The cells of a set: any two sets that link have one in common."""
+def parts_spare(differ: int) -> int:
+    """Parts beside those that may differ, for parts that happen to have no shingles."""
+    return differ // 40
+
+
+def signatures(items: np.ndarray, rule: Rule, common: np.ndarray | None = None) -> np.ndarray:
+    """The cells of a set: any two sets that link have one in common.
+
+    Below PARTS_FROM percent, parts would be too small to tell sets apart: there, cells are
+    the shingles themselves, the first few of a set in an order that is the same for all:
+    by hash, those of ``common`` (in order) last.
+    """
     size = len(items)
+    if rule.percent < PARTS_FROM:
+        prefix = size - -(-size * rule.percent // 100) + 1
+        if common is not None and len(common):
+            at = np.minimum(np.searchsorted(common, items), len(common) - 1)
+            items = items[np.argsort(common[at] == items, kind="stable")]
+        return mix(items[:prefix])
     first, last = size_class(size)
     classes = [(first, last)]
     # the smallest set that may link with this one
@@ -118,16 +141,19 @@ def signatures(items: np.ndarray, rule: Rule) -> np.ndarray:
     spread = mix(items)
     for low, high in classes:
         differ = rule.differ(high)
-        parts = differ + 1
+        if not differ:  # only equal sets link, and those are one node already
+            continue
+        spare = 1 + parts_spare(differ)
+        parts = differ + 1 + spare
         at = np.searchsorted(items, (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**64).clip(0, 2.0**64 - 2048).astype(np.uint64))
         at[-1] = size
         total = np.concatenate([[np.uint64(0)], np.cumsum(spread)])
         full = np.flatnonzero(at[1:] > at[:-1])
         label = mix(full.astype(np.uint64) + np.uint64(parts) * np.uint64(1 << 32))
         out.append(mix((total[at[full + 1]] - total[at[full]]) ^ label))
-        if len(full) < parts:
+        if parts - len(full) > spare:
             out.append(mix(items[: differ + 1] ^ mix(np.full(1, parts, np.uint64) + np.uint64(1 << 63))))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)) if out else items[:0]
 
 
 def _marks(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -142,14 +168,28 @@ def _marks(docs: DataFrame, rule: Rule) -> DataFrame:
     return map_batches(docs, step, "doc_id long, n long, node long, digest binary", "text")
 
 
-def _postings(docs: DataFrame, rule: Rule) -> DataFrame:
+def _common(docs: DataFrame, rule: Rule, rows: int) -> np.ndarray:
+    """The shingles that most of a sample of documents share: a hint for the order of prefixes, which changes no result."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = list(shingle_sets(batch.column(0), rule.words))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["item"])
+
+    share = min(1.0, ORDER_SAMPLE / max(rows, 1))
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select("text")
+    counted = map_batches(sample, step, "item long", "text").groupBy("item").count().filter("count > 2")
+    got = counted.orderBy(F.desc("count"), "item").limit(COMMON).toArrow().column("item").to_numpy()
+    return np.sort(got.view(np.uint64))
+
+
+def _postings(docs: DataFrame, rule: Rule, common: np.ndarray | None) -> DataFrame:
     """(doc_id, node, cells) of every row that has shingles."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(batch.column(1), rule.words))
         keep = [k for k, s in enumerate(sets) if len(s)]
         nodes = pa.array([_node(_digest(sets[k])) for k in keep], pa.int64())
-        cells = pa.array([signatures(sets[k], rule).view(np.int64) for k in keep], pa.list_(pa.int64()))
+        cells = pa.array([signatures(sets[k], rule, common).view(np.int64) for k in keep], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), nodes, cells], ["doc_id", "node", "cells"])
 
     return map_batches(docs, step, "doc_id long, node long, cells array<long>", "text")
@@ -166,52 +206,91 @@ def _items(texts: DataFrame, rule: Rule) -> DataFrame:
     return map_batches(texts, step, "node long, items binary", "text")
 
 
-def _compare(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """(node, pivot, main, linked, cells) of (node, pivot, main, items, pivot_items): the exact comparison, and the next cells."""
+def compared_with_pivots(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(cell, node, pivot, ring, linked) of (cell, node, pivot, items, pivot_items), by exact comparison."""
 
-    def one(node: int, pivot: int, items: bytes, pivot_items: bytes):
+    def one(items: bytes, pivot_items: bytes) -> tuple[bool, int]:
         x, p = np.frombuffer(items, "<u8"), np.frombuffer(pivot_items, "<u8")
-        only = x[~np.isin(x, p, assume_unique=True, kind="sort")]
-        shared = len(x) - len(only)
+        shared = len(np.intersect1d(x, p, assume_unique=True))
         union = len(x) + len(p) - shared
-        linked = rule.linked(shared, union)
-        differ = rule.differ(len(x))
-        if len(only) > differ:
-            kept, tag = only[: differ + 1], 1
-        else:
-            gone = p[~np.isin(p, x, assume_unique=True, kind="sort")]
-            kept, tag = np.sort(np.concatenate([only, gone]))[: differ + 1], 2
-        ring = rule.ring(shared, union)
-        made = [kept[:0]]
-        base = mix(np.array([pivot], np.int64).view(np.uint64))
-        # a set far from the pivot may link with one near it: then their own shingles beside the pivot's are shared
-        tags = [(kept, tag)] if tag == 1 else [(kept, 2), (only[: differ + 1], 1)]
-        for values, t in tags:
-            for r in (ring, ring + 1):
-                made.append(mix(values ^ mix(base + np.uint64(t) + np.uint64(4 * r))))
-        return linked, np.unique(np.concatenate(made)).view(np.int64)
-
-    def step(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            found = [one(*row) for row in zip(*(part.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["node", "pivot", "main", "linked", "cells"])
-
-    return map_batches(pairs.select("node", "pivot", "main", "items", "pivot_items"), step, "node long, pivot long, main boolean, linked boolean, cells array<long>")
-
-
-def _pivots(members: DataFrame, wide: int) -> DataFrame:
-    """(node, pivot, main) for members (cell, node, open): who is compared with whom; cells without an open member are done."""
-    many = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any")
+        return rule.linked(shared, union), rule.ring(shared, union)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [one(*row) for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        columns = [pa.array([f[1] for f in found], pa.int32()), pa.array([f[0] for f in found], pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["node", "pivot", "ring", "linked"])
+
+    return map_batches(pairs.select("node", "pivot", "items", "pivot_items"), step, "node long, pivot long, ring int, linked boolean", "items")
+
+
+def _regions(members: DataFrame) -> DataFrame:
+    """(node, pivot) for members (cell, node): each cell's pivot is the member that meets most others in all its cells."""
+    many = members.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     own = saved(members.join(many.hint("merge"), "cell").select("cell", "node", "n"), "cells")
     weight = own.groupBy("node").agg(F.sum("n").alias("weight"))
-    ranked = own.join(weight.hint("merge"), "node").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(wide)))
-    best = F.max(F.struct("weight", "node")).alias("best")
-    chosen = ranked.groupBy("cell", "slot").agg(best)
-    first = chosen.groupBy("cell").agg(F.max("best.weight").alias("top"), F.max("best").alias("main"))
-    chosen = chosen.join(first.hint("merge"), "cell").select("cell", F.col("best.node").alias("pivot"), (F.col("best.node") == F.col("main.node")).alias("main"))
-    met = own.join(chosen.hint("merge"), "cell").filter("node <> pivot")
-    return met.groupBy("node", "pivot").agg(F.max("main").alias("main"))
+    ranked = own.join(weight.hint("merge"), "node")
+    chosen = ranked.groupBy("cell").agg(F.max(F.struct("weight", "node")).alias("best")).select("cell", F.col("best.node").alias("pivot"))
+    pairs = saved(own.join(chosen.hint("merge"), "cell").filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
+    drop_saved(own)
+    return pairs
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = times[element] > 1
+    owner, element = owner[keep], element[keep]
+    out = np.zeros((n, n), np.float32)
+    if not len(element):
+        return out.astype(np.int64)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], np.cumsum(np.r_[0, np.diff(element[order]) > 0])
+    width = 1 << 14  # columns of the incidence matrix at once
+    cuts = np.searchsorted(element, np.arange(0, element[-1] + 1 + width, width))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        dense = np.zeros((n, width), np.float32)
+        dense[owner[a:b], element[a:b] - k * width] = 1
+        out += dense @ dense.T
+    return out.astype(np.int64)
+
+
+def joined_cells(members: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links that connect what is linked within each cell of members (cell, node).
+
+    A cell is dealt out to pairs of its blocks of about BLOCK members, so that a large one
+    spreads over tasks; of each pair of blocks only a spanning forest of its links is emitted.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    sized = members.join(members.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").hint("merge"), "cell").withColumn("blocks", blocks)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = sized.withColumn("own", own).select("cell", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(items.hint("merge"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        sets = [np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        shared = shared_counts(sets)
+        near = 100 * shared >= rule.percent * (size[:, None] + size[None, :] - shared)
+        root = list(range(len(nodes)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        links = []
+        for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                root[rb] = ra
+                links.append((nodes[a], nodes[b]))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return dealt.select("cell", "i", "j", "node", "items").groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 class Joined(NamedTuple):
@@ -236,25 +315,31 @@ def join(df: DataFrame, rule: Rule = Rule()) -> Joined:  # noqa: B008
     if nodes.filter("lo <> hi").limit(1).count():
         raise ValueError("two sets share 64 bits of their digests")
     nodes = nodes.select("node", "doc_id")
-    posted = saved(_postings(docs, rule).join(nodes.hint("merge"), ["node", "doc_id"]).select("node", "cells"), "postings")
-    members = posted.select(F.explode("cells").alias("cell"), "node", F.lit(True).alias("open"))
-    links, items, turn = None, None, 0
-    while True:
-        pairs = saved(_pivots(members, 1 << max(0, turn - WIDE_FROM + 1)), "pairs")
+    common = _common(docs, rule, marked.count()) if rule.percent < PARTS_FROM else None
+    posted = saved(_postings(docs, rule, common).join(nodes.hint("merge"), ["node", "doc_id"]).select("node", "cells"), "postings")
+    pairs = _regions(posted.select(F.explode("cells").alias("cell"), "node"))
+    drop_saved(posted)
+    met = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
+    wanted = met.join(nodes.hint("merge"), "node")
+    items = saved(_items(docs.join(wanted.hint("merge"), "doc_id").select("node", "text"), rule).dropDuplicates(["node"]), "items")
+    others = items.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items"))
+    links = items.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for depth in range(DEPTH + 1):
+        both = pairs.join(items.hint("merge"), "node").join(others.hint("merge"), "pivot")
+        compared = saved(compared_with_pivots(both, rule), "compared")
+        links = links.union(compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        # regions in which the pivot reaches all, or all but a lone one, need no further step
+        region = compared.groupBy("pivot").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 AND NOT all").select("pivot")
+        rings = compared.join(region.hint("merge"), "pivot").select("pivot", "node", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
+        cells = saved(rings.select(F.xxhash64("pivot", "ring", F.lit(depth)).alias("cell"), "node").distinct(), "rings")
+        large = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("cell") if depth < DEPTH else None
+        leaves = cells.join(large.hint("merge"), "cell", "left_anti") if large is not None else cells
+        links = links.union(saved(joined_cells(leaves, items, rule), "leaves"))
+        if large is None:
+            break
+        pairs = _regions(cells.join(large.hint("merge"), "cell"))
         if not pairs.limit(1).count():
             break
-        if items is None:
-            met = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
-            wanted = met.join(nodes.hint("merge"), "node")
-            items = saved(_items(docs.join(wanted.hint("merge"), "doc_id").select("node", "text"), rule).dropDuplicates(["node"]), "items")
-        both = pairs.join(items.hint("merge"), "node").join(items.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items")).hint("merge"), "pivot")
-        compared = saved(_compare(both, rule), "compared")
-        found = compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        links = found if links is None else links.union(found)
-        members = compared.filter("main").select(F.explode("cells").alias("cell"), "node", (~F.col("linked")).alias("open"))
-        turn += 1
-    if links is None:
-        links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     return Joined(marked.select("doc_id", "n", "node"), links)
 
 
