@@ -1,17 +1,18 @@
-"""Substring dedup: paragraphs by content, MinHash bands, exact checks and components.
+"""Substring dedup: paragraphs, MinHash bands, exact checks and components.
 
-A paragraph is a run of UNIT words that starts at an anchor; an anchor is a position whose
-five-word hash is the smallest of some window of WINDOW positions. Anchors depend on the
-words around them alone, so a passage of WINDOW + UNIT - 1 words or more (43) gives equal
-paragraphs wherever it stands, in whatever line. A paragraph's node is the hash of its
-words: exact repeats are one node, however many documents hold them.
+Paragraphs are of two kinds. Lines of UNIT words or more are compared whole. And a run of
+UNIT words starts at each anchor; an anchor is a position whose five-word hash is the
+smallest of some window of WINDOW positions. Anchors depend on the words around them
+alone, so a passage of WINDOW + UNIT - 1 words or more (43) gives equal runs wherever it
+stands, in whatever line. A paragraph's node is the hash of its words: exact repeats are
+one node, however many documents hold them.
 
 1. Occurrences of all paragraphs: document, position, node.
-2. Near repeats: BANDS bands of ROWS minima of the paragraph's five-word shingles; a
+2. Near repeats of lines: BANDS bands of ROWS minima of the line's five-word shingles; a
    pair of Jaccard LEAST or more collides in some band with probability recall(). Equal
    rows of a slice go out once, and only bands where different nodes meet are kept.
-3. What collides is checked exactly, Jaccard of the five-word shingles LEAST or more, by
-   pivots (links()).
+3. What collides is checked exactly: Jaccard of the five-word shingles LEAST or more
+   (links()).
 4. Checked pairs are joined into components. In each, the document of the smallest
    doc_id keeps its occurrences; those of every other document are removed, and runs of
    removed paragraphs that overlap or touch are removed as one span of words.
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.graph import components
+from quern.llm.jaccard import Rule, compared_with_pivots, joined_cells
 from quern.llm.shared import buffer_of, map_batches, mix, powers, saved, word_hashes, word_spans
 
 UNIT = 24
@@ -37,6 +39,7 @@ WINDOW = 20
 SHINGLE = 5
 BANDS, ROWS = 3, 2
 LEAST = 0.8
+RULE = Rule(words=SHINGLE, percent=round(100 * LEAST))
 NO_ID = (1 << 63) - 1
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
@@ -73,20 +76,35 @@ def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Units:
-    """The paragraphs of the texts of one column."""
+    """The lines and anchored runs of the texts of one column: text, at (first word), size, node; lines come first."""
 
     def __init__(self, column: pa.Array):
-        data, at = buffer_of(column)
-        starts, ends, self.first = word_spans(data, at)
+        data, offsets = buffer_of(column)
+        starts, ends, self.first = word_spans(data, offsets)
         hashes = word_hashes(data, starts, ends)
         n = len(hashes)
-        self.text = self.at = np.zeros(0, np.int64)
-        self.node = np.zeros(0, np.uint64)
-        self.grams = np.zeros(0, np.uint64)
+        self.lines = 0
+        self.text = self.at = self.size = np.zeros(0, np.int64)
+        self.node = self.grams = np.zeros(0, np.uint64)
         if n < UNIT:
             return
         self.grams = _runs(hashes, SHINGLE)
-        text = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        # a line begins at a text's first word and at each word with a line feed between it and the one before
+        feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
+        begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (feeds[starts[1:]] > feeds[ends[:-1]])])
+        size = np.diff(np.r_[begin, n])
+        begin, size = begin[size >= UNIT], size[size >= UNIT]
+        up, down = powers(n + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
+        line_node = mix((total[begin + size] - total[begin]) * down[begin] ^ mix(size.astype(np.uint64)))
+        run = self._anchors(text, n)
+        self.lines = len(begin)
+        self.at, self.size = np.r_[begin, run], np.r_[size, np.full(len(run), UNIT)]
+        self.text, self.node = text[self.at], np.r_[line_node, _runs(hashes, UNIT)[run]]
+
+    def _anchors(self, text: np.ndarray, n: int) -> np.ndarray:
+        """First words of the anchored runs that end within their text."""
         width = WINDOW + SHINGLE - 1
         least = _sliding(self.grams, WINDOW, np.minimum)
         # windows that run over a text's end decide nothing
@@ -96,24 +114,27 @@ class Units:
         # of equal neighbours the last
         chosen[:-1] &= self.grams[:-1] != self.grams[1:]
         where = np.flatnonzero(chosen[: n - UNIT + 1])
-        where = where[text[where] == text[where + UNIT - 1]]
-        self.text, self.at = text[where], where
-        self.node = _runs(hashes, UNIT)[where]
+        return where[text[where] == text[where + UNIT - 1]]
 
     def positions(self) -> np.ndarray:
         """The index of each paragraph's first word within its text."""
         return self.at - self.first[self.text]
 
-    def shingles(self) -> np.ndarray:
-        return self.grams[self.at[:, None] + np.arange(UNIT - SHINGLE + 1)]
+    def line_shingles(self, k: int) -> np.ndarray:
+        """The distinct five-word shingles of a line."""
+        return np.unique(self.grams[self.at[k] : self.at[k] + self.size[k] - SHINGLE + 1])
 
     def bands(self) -> np.ndarray:
-        """One hash per paragraph and band."""
-        shingles = self.shingles()
-        least = [mix(shingles ^ seed).min(axis=1) for seed in _SEEDS]
+        """One hash per line and band."""
+        begin, size = self.at[: self.lines], self.size[: self.lines]
+        if not len(begin):
+            return np.zeros((0, BANDS), np.uint64)
+        cuts = np.stack([begin, begin + size - SHINGLE + 1], axis=1).ravel()
+        padded = np.append(self.grams, self.grams[-1:])
+        least = [np.minimum.reduceat(mix(padded ^ seed), cuts)[::2] for seed in _SEEDS]
         out = []
         for band in range(BANDS):
-            value = np.full(len(self.at), band + 1, np.uint64)
+            value = np.full(len(begin), band + 1, np.uint64)
             for row in range(ROWS):
                 value = mix(value + least[band * ROWS + row])
             out.append(value)
@@ -129,24 +150,24 @@ def _docs(df: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, node) of every paragraph."""
+    """(doc_id, row, start, words, node) of every paragraph."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(2))
         of = pa.array(units.text)
-        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(units.positions().astype(np.int32)), pa.array(units.node.view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "node"])
+        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(units.positions().astype(np.int32)), pa.array(units.size.astype(np.int32)), pa.array(units.node.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "words", "node"])
 
-    return map_batches(docs, step, "doc_id long, row long, start int, node long", "text")
+    return map_batches(docs, step, "doc_id long, row long, start int, words int, node long", "text")
 
 
 def collisions(docs: DataFrame) -> DataFrame:
-    """(cell, node): the bands that two different paragraphs or more collide in, and all of theirs."""
+    """(cell, node): the bands that two different lines or more collide in, and all of theirs."""
 
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
-        _, first = np.unique(units.node, return_index=True)
-        bands = units.bands()[first] if len(first) else np.zeros((0, BANDS), np.uint64)
+        _, first = np.unique(units.node[: units.lines], return_index=True)
+        bands = units.bands()[first]
         return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(units.node[first], BANDS).view(np.int64))], ["cell", "node"])
 
     def shared(batches):
@@ -176,57 +197,41 @@ def collisions(docs: DataFrame) -> DataFrame:
 
 
 def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items): the five-word shingles of each wanted paragraph."""
-    place = found.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row", "start")).alias("at"))
-    by_text = place.groupBy("at.doc_id", "at.row").agg(F.collect_list(F.struct("at.start", "node")).alias("units"))
-    texts = docs.join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "units")
+    """(node, items): the five-word shingles of each wanted line."""
+    place = found.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+    by_text = place.groupBy("at.doc_id", "at.row").agg(F.collect_list("node").alias("nodes"))
+    texts = docs.join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "nodes")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
-        shingles = units.shingles().view(np.int64)
-        row_of = {(t, s): k for k, (t, s) in enumerate(zip(units.text.tolist(), units.positions().tolist(), strict=True))}
-        nodes, items = [], []
-        for text, asked in enumerate(batch.column(1).to_pylist()):
-            for unit in asked:
-                nodes.append(unit["node"])
-                items.append(np.unique(shingles[row_of[text, unit["start"]]]))
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["node", "items"])
+        asked = [set(x) for x in batch.column(1).to_pylist()]
+        lines = zip(units.text[: units.lines].tolist(), units.node[: units.lines].view(np.int64).tolist(), strict=True)
+        held = {node: k for k, (text, node) in enumerate(lines) if node in asked[text]}
+        items = [units.line_shingles(k).tobytes() for k in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
-    return map_batches(texts, step, "node long, items array<long>", "text").dropDuplicates(["node"])
+    return map_batches(texts, step, "node long, items binary", "text").dropDuplicates(["node"])
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): checked pairs of paragraphs that connect all that collide in a band and have Jaccard LEAST or more.
+    """(a, b): checked pairs of lines that connect all that collide in a band and have Jaccard LEAST or more.
 
-    In each band every paragraph is compared with a pivot; the band goes on without the
-    pivot as long as a paragraph that it doesn't reach is left, with more pivots each
-    round from the third on, so that rounds are few and pairs are never listed.
+    In each band every line is compared with a pivot. A band whose pivot reaches all is
+    done; the others are joined exactly by pairs of blocks, so that pairs are never listed.
     """
     members = saved(collisions(docs), "paragraph-bands")
     items = saved(contents(docs, found, members.select("node").distinct()), "paragraph-items")
-    others = items.select(F.col("node").alias("pivot"), F.col("items").alias("others"))
-    members = members.withColumn("open", F.lit(True))
-    out, turn = items.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), 0
-    while True:
-        wide = 1 << max(0, turn - 2)
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(wide))
-        live = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("cell")
-        own = members.join(live.hint("merge"), "cell")
-        chosen = own.groupBy("cell", slot.alias("slot")).agg(F.min("node").alias("pivot"))
-        main = chosen.groupBy("cell").agg(F.min("pivot").alias("main"))
-        met = saved(own.join(chosen.join(main.hint("merge"), "cell").hint("merge"), "cell").filter("node <> pivot").select("cell", "node", "pivot", "main"), "paragraph-met")
-        if not met.limit(1).count():
-            return out
-        pairs = met.select("node", "pivot").distinct()
-        both = pairs.join(items.hint("merge"), "node").join(others.hint("merge"), "pivot")
-        shared = F.size(F.array_intersect("items", "others"))
-        near = both.filter(shared >= LEAST * (F.size("items") + F.size("others") - shared)).select("node", "pivot")
-        near = saved(near, "paragraph-links")
-        out = out.union(near.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        reached = near.select("node", F.col("pivot").alias("main"), F.lit(True).alias("reached"))
-        rest = met.filter("node <> main").select("cell", "node", "main").distinct().join(reached.hint("merge"), ["node", "main"], "left")
-        members = saved(rest.select("cell", "node", F.col("reached").isNull().alias("open")), "paragraph-bands")
-        turn += 1
+    others = items.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items"))
+    pivots = members.groupBy("cell").agg(F.min("node").alias("pivot"))
+    met = members.join(pivots.hint("merge"), "cell").filter("node <> pivot")
+    pairs = met.select("node", "pivot").distinct()
+    compared = saved(compared_with_pivots(pairs.join(items.hint("merge"), "node").join(others.hint("merge"), "pivot"), RULE), "paragraph-pairs")
+    near = compared.filter("linked").select("node", "pivot")
+    reached = met.join(near.withColumn("reached", F.lit(True)).hint("merge"), ["node", "pivot"], "left").select("cell", "node", F.col("reached").isNull().alias("open"))
+    live = reached.groupBy("cell").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("cell")
+    rest = saved(reached.join(live.hint("merge"), "cell").select("cell", "node"), "paragraph-cells")
+    more = saved(joined_cells(rest, items, RULE), "paragraph-links")
+    return near.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(more)
 
 
 def removals(df: DataFrame) -> DataFrame:
@@ -240,14 +245,14 @@ def removals(df: DataFrame) -> DataFrame:
     kept = rooted.groupBy("root").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi")
     by_node = rooted.join(kept.select("root", "keep").hint("merge"), "root").select("node", "keep")
     gone = found.join(by_node.hint("merge"), "node").filter("doc_id > keep")
-    grouped = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "keep"))).alias("units"))
+    grouped = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "words", "keep"))).alias("units"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for units in batch.column(2).to_pylist():
             spans: list[dict] = []
             for unit in units:
-                start, end = unit["start"], unit["start"] + UNIT
+                start, end = unit["start"], unit["start"] + unit["words"]
                 if spans and start <= spans[-1]["last"]:
                     spans[-1]["last"] = max(end, spans[-1]["last"])
                     spans[-1]["kept"].add(unit["keep"])
