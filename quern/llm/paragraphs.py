@@ -1,21 +1,29 @@
 """Substring dedup: paragraphs, MinHash bands, exact checks and components.
 
-Paragraphs are of two kinds. Lines of UNIT words or more are compared whole. And a run of
-UNIT words starts at each anchor; an anchor is a position whose five-word hash is the
-smallest of some window of WINDOW positions. Anchors depend on the words around them
-alone, so a passage of WINDOW + UNIT - 1 words or more (43) gives equal runs wherever it
-stands, in whatever line. A paragraph's node is the hash of its words: exact repeats are
-one node, however many documents hold them.
-
-1. Occurrences of all paragraphs: document, position, node.
-2. Near repeats of lines: BANDS bands of ROWS minima of the line's five-word shingles; a
-   pair of Jaccard LEAST or more collides in some band with probability recall(). Equal
-   rows of a slice go out once, and only bands where different nodes meet are kept.
+Paragraphs are of three kinds. Lines of UNIT words or more. Segments, which cover the
+text whatever its line breaks: they are cut where a five-word hash is the smallest within
+REACH positions on both sides, so cuts depend on the words around them alone; short ones
+for short passages and, again over the whole text, long ones that bear more edits. A
+segment of fewer than UNIT words (at a text's ends) is none. And runs of UNIT words, one at every
+position. A paragraph's node is the hash of its words: exact repeats are one node, however
+many documents hold them.
+
+1. Occurrences of lines, segments and probes: document, position, node. A probe is PROBE
+   words whose first five-word hash is the smallest of some window of SAMPLE positions;
+   every run holds one whole, and equal runs hold equal ones.
+2. Near repeats of lines and segments: BANDS bands of ROWS minima of their five-word
+   shingles; a pair of Jaccard LEAST or more collides in some band with probability
+   recall(); lines, short and long segments each among themselves. Equal rows of a slice go out once, and only bands where different nodes meet
+   are kept.
 3. What collides is checked exactly: Jaccard of the five-word shingles LEAST or more
    (links()).
 4. Checked pairs are joined into components. In each, the document of the smallest
-   doc_id keeps its occurrences; those of every other document are removed, and runs of
-   removed paragraphs that overlap or touch are removed as one span of words.
+   doc_id keeps its occurrences; those of every other document are removed: of linked
+   lines all words, of others those from the first to the last shingle that linked
+   paragraphs share (extents()).
+5. Runs at all positions that hold a repeated probe are compared (repeated_runs()), so
+   that an exact repeat goes to its real ends, whichever earlier documents hold its parts.
+6. Removed paragraphs that overlap or touch are removed as one span of words.
 
 Defined results: null texts and texts of fewer than UNIT words have no paragraph; repeats
 within one document stay; equal rows are treated alike; rows of one doc_id with different
@@ -35,7 +43,12 @@ from quern.llm.jaccard import Rule, compared_with_pivots, joined_cells
 from quern.llm.shared import buffer_of, map_batches, mix, powers, saved, word_hashes, word_spans
 
 UNIT = 24
-WINDOW = 20
+#: Runs start at every position; probes only say where to look for repeated ones.
+WINDOW = 1
+PROBE = 12
+SAMPLE = UNIT - PROBE + 1
+#: No segments yet.
+REACH = ()
 SHINGLE = 5
 BANDS, ROWS = 3, 2
 LEAST = 0.8
@@ -76,7 +89,11 @@ def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Units:
-    """The lines and anchored runs of the texts of one column: text, at (first word), size, node; lines come first."""
+    """The lines and runs of the texts of one column: text, at (first word), size, node; lines come first.
+
+    near_text, near_at, near_size, near_node: lines (even nodes), then segments (odd nodes).
+    probe_text, probe_at, probe_node: probes.
+    """
 
     def __init__(self, column: pa.Array):
         data, offsets = buffer_of(column)
@@ -86,6 +103,8 @@ class Units:
         self.lines = 0
         self.text = self.at = self.size = np.zeros(0, np.int64)
         self.node = self.grams = np.zeros(0, np.uint64)
+        self.near_text = self.near_at = self.near_size = self.probe_text = self.probe_at = self.at
+        self.near_node = self.probe_node = self.near_kind = self.node
         if n < UNIT:
             return
         self.grams = _runs(hashes, SHINGLE)
@@ -97,36 +116,70 @@ class Units:
         begin, size = begin[size >= UNIT], size[size >= UNIT]
         up, down = powers(n + 1)
         total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
-        line_node = mix((total[begin + size] - total[begin]) * down[begin] ^ mix(size.astype(np.uint64)))
-        run = self._anchors(text, n)
+        node_of = lambda at, size: mix((total[at + size] - total[at]) * down[at] ^ mix(size.astype(np.uint64)))
+        line_node = node_of(begin, size) & ~np.uint64(1)
+        run = self._whole(text, np.arange(n - UNIT + 1), UNIT)
         self.lines = len(begin)
         self.at, self.size = np.r_[begin, run], np.r_[size, np.full(len(run), UNIT)]
         self.text, self.node = text[self.at], np.r_[line_node, _runs(hashes, UNIT)[run]]
-
-    def _anchors(self, text: np.ndarray, n: int) -> np.ndarray:
-        """First words of the anchored runs that end within their text."""
-        width = WINDOW + SHINGLE - 1
-        least = _sliding(self.grams, WINDOW, np.minimum)
-        # windows that run over a text's end decide nothing
-        least = np.where(text[: n - width + 1] == text[width - 1 :], least, np.uint64(0))
-        pad = np.zeros(WINDOW - 1, np.uint64)
-        chosen = _sliding(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == self.grams
-        # of equal neighbours the last
-        chosen[:-1] &= self.grams[:-1] != self.grams[1:]
-        where = np.flatnonzero(chosen[: n - UNIT + 1])
-        return where[text[where] == text[where + UNIT - 1]]
+        self.probe_at = self._whole(text, self._samples(text, n), PROBE)
+        self.probe_text, self.probe_node = text[self.probe_at], _runs(hashes, PROBE)[self.probe_at]
+        parts = [self._segments(text, n, reach) for reach in REACH]
+        cut, length = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([p[k] for p in parts] for k in range(2)))
+        # lines, short and long segments of one place overlap: each kind is banded for itself
+        self.near_kind = np.repeat(np.arange(len(parts) + 1, dtype=np.uint64), [len(begin), *(len(x[0]) for x in parts)])
+        self.near_at, self.near_size = np.r_[begin, cut], np.r_[size, length]
+        self.near_text = text[self.near_at]
+        self.near_node = np.r_[line_node, node_of(cut, length) | np.uint64(1)]
+
+    @staticmethod
+    def _whole(text: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
+        """The positions whose ``width`` words end within their text."""
+        where = where[where <= len(text) - width]
+        return where[text[where] == text[where + width - 1]]
+
+    def _least(self, text: np.ndarray, n: int, window: int) -> np.ndarray:
+        """The smallest five-word hash of each window of positions; 0 for windows that run over a text's end."""
+        width = window + SHINGLE - 1
+        if n < width:
+            return np.zeros(0, np.uint64)
+        return np.where(text[: n - width + 1] == text[width - 1 :], _sliding(self.grams, window, np.minimum), np.uint64(0))
+
+    def _samples(self, text: np.ndarray, n: int) -> np.ndarray:
+        """Positions that are the smallest of some window; of a stretch of equal neighbours the last and every SAMPLE-th."""
+        pad = np.zeros(SAMPLE - 1, np.uint64)
+        least = self._least(text, n, SAMPLE)
+        chosen = np.zeros(len(self.grams), bool)
+        if len(least):
+            chosen = _sliding(np.concatenate([pad, least, pad]), SAMPLE, np.maximum) == self.grams
+        same = np.r_[False, self.grams[1:] == self.grams[:-1]]
+        where = np.arange(len(same))
+        offset = where - np.maximum.accumulate(np.where(same, 0, where))
+        chosen &= np.r_[~same[1:], True] | (offset % SAMPLE == 0)
+        return np.flatnonzero(chosen)
+
+    def _segments(self, text: np.ndarray, n: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, size) of the segments of UNIT words or more."""
+        window = 2 * reach + 1
+        least = self._least(text, n, window)
+        middle = self.grams[reach : reach + len(least)]
+        # only the first of equal neighbours cuts
+        cuts = reach + np.flatnonzero((least == middle) & (self.grams[reach - 1 : reach - 1 + len(least)] != middle))
+        begin = np.union1d(cuts, np.flatnonzero(np.r_[True, text[1:] != text[:-1]]))
+        size = np.diff(np.r_[begin, n])
+        return begin[size >= UNIT], size[size >= UNIT]
 
     def positions(self) -> np.ndarray:
         """The index of each paragraph's first word within its text."""
         return self.at - self.first[self.text]
 
-    def line_shingles(self, k: int) -> np.ndarray:
-        """The distinct five-word shingles of a line."""
-        return np.unique(self.grams[self.at[k] : self.at[k] + self.size[k] - SHINGLE + 1])
+    def shingles(self, k: int) -> np.ndarray:
+        """The five-word shingles of a line or segment, in order."""
+        return self.grams[self.near_at[k] : self.near_at[k] + self.near_size[k] - SHINGLE + 1]
 
     def bands(self) -> np.ndarray:
-        """One hash per line and band."""
-        begin, size = self.at[: self.lines], self.size[: self.lines]
+        """One hash per line or segment and band."""
+        begin, size = self.near_at, self.near_size
         if not len(begin):
             return np.zeros((0, BANDS), np.uint64)
         cuts = np.stack([begin, begin + size - SHINGLE + 1], axis=1).ravel()
@@ -134,7 +187,7 @@ class Units:
         least = [np.minimum.reduceat(mix(padded ^ seed), cuts)[::2] for seed in _SEEDS]
         out = []
         for band in range(BANDS):
-            value = np.full(len(begin), band + 1, np.uint64)
+            value = self.near_kind * np.uint64(BANDS) + np.uint64(band + 1)
             for row in range(ROWS):
                 value = mix(value + least[band * ROWS + row])
             out.append(value)
@@ -150,25 +203,29 @@ def _docs(df: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, words, node) of every paragraph."""
+    """(doc_id, row, start, words, node, probe) of every line, segment and probe."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(2))
-        of = pa.array(units.text)
-        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(units.positions().astype(np.int32)), pa.array(units.size.astype(np.int32)), pa.array(units.node.view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "words", "node"])
+        text = np.r_[units.near_text, units.probe_text]
+        start = np.r_[units.near_at, units.probe_at] - units.first[text]
+        size, node = np.r_[units.near_size, np.full(len(units.probe_at), PROBE)], np.r_[units.near_node, units.probe_node]
+        of = pa.array(text)
+        kind = np.arange(len(text)) >= len(units.near_text)
+        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(kind)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "words", "node", "probe"])
 
-    return map_batches(docs, step, "doc_id long, row long, start int, words int, node long", "text")
+    return map_batches(docs, step, "doc_id long, row long, start int, words int, node long, probe boolean", "text")
 
 
 def collisions(docs: DataFrame) -> DataFrame:
-    """(cell, node): the bands that two different lines or more collide in, and all of theirs."""
+    """(cell, node): the bands that two different lines or segments or more collide in, and all of theirs."""
 
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
-        _, first = np.unique(units.node[: units.lines], return_index=True)
+        _, first = np.unique(units.near_node, return_index=True)
         bands = units.bands()[first]
-        return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(units.node[first], BANDS).view(np.int64))], ["cell", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(units.near_node[first], BANDS).view(np.int64))], ["cell", "node"])
 
     def shared(batches):
         # rows come by band and node; a band's first row goes out once a second node follows
@@ -196,25 +253,25 @@ def collisions(docs: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(shared, "cell long, node long")
 
 
-def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items): the five-word shingles of each wanted line."""
-    place = found.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame, ordered: bool = False) -> DataFrame:
+    """(node, items): the five-word shingles of each wanted line or segment, distinct or all in order."""
+    place = found.filter("NOT probe").join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
     by_text = place.groupBy("at.doc_id", "at.row").agg(F.collect_list("node").alias("nodes"))
-    texts = docs.join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "nodes")
+    texts = docs.dropDuplicates(["doc_id", "row"]).join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "nodes")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
         asked = [set(x) for x in batch.column(1).to_pylist()]
-        lines = zip(units.text[: units.lines].tolist(), units.node[: units.lines].view(np.int64).tolist(), strict=True)
-        held = {node: k for k, (text, node) in enumerate(lines) if node in asked[text]}
-        items = [units.line_shingles(k).tobytes() for k in held.values()]
+        near = zip(units.near_text.tolist(), units.near_node.view(np.int64).tolist(), strict=True)
+        held = {node: k for k, (text, node) in enumerate(near) if node in asked[text]}
+        items = [(units.shingles(k) if ordered else np.unique(units.shingles(k))).tobytes() for k in held.values()]
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
-    return map_batches(texts, step, "node long, items binary", "text").dropDuplicates(["node"])
+    return map_batches(texts, step, "node long, items binary", "text")
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): checked pairs of lines that connect all that collide in a band and have Jaccard LEAST or more.
+    """(a, b): checked pairs of lines and segments that connect all that collide in a band and have Jaccard LEAST or more.
 
     In each band every line is compared with a pivot. A band whose pivot reaches all is
     done; the others are joined exactly by pairs of blocks, so that pairs are never listed.
@@ -234,17 +291,75 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     return near.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(more)
 
 
+def extents(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, skip, size): the words of a linked paragraph that a link takes: all between lines, else from the first shared shingle to the last."""
+    both = near.filter("a <> b").union(near.filter("a <> b").select("b", "a")).distinct()
+    part = saved(both.filter("(a & 1) + (b & 1) > 0"), "paragraph-mixed")
+    items = saved(contents(docs, found, part.select(F.col("a").alias("node")).distinct(), True), "paragraph-orders")
+    own, other = items.select(F.col("node").alias("a"), F.col("items").alias("mine")), items.select(F.col("node").alias("b"), F.col("items").alias("theirs"))
+    pairs = part.join(own.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "mine", "theirs")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first, last = [], []
+        for mine, theirs in zip(batch.column(1), batch.column(2), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (mine, theirs))
+            same = np.flatnonzero(np.isin(x, y))
+            first.append(int(same[0]))
+            last.append(int(same[-1]) + SHINGLE)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["node", "skip", "last"])
+
+    cut = map_batches(pairs, step, "node long, skip int, last int")
+    whole = both.filter("(a & 1) + (b & 1) = 0").select(F.col("a").alias("node"), F.lit(0).alias("skip"), F.lit((1 << 31) - 1).alias("last"))
+    return cut.union(whole).groupBy("node").agg(F.min("skip").alias("skip"), F.max("last").alias("last"))
+
+
+def repeated_runs(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, row, start, words, keep) of the runs that an earlier document holds; held: doc_id, row, start, gone of repeated probes."""
+    starts = held.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "gone")).alias("starts"))
+    texts = docs.dropDuplicates(["doc_id", "row"]).join(starts.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "starts")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        units = Units(batch.column(2))
+        node, text, start = (x[units.lines :] for x in (units.node, units.text, units.positions()))
+        first = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        of, at, asked = [], [], []
+        for k, starts in enumerate(batch.column(3).to_pylist()):
+            n = first[k + 1] - first[k]
+            here, ask = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+            for x in starts:
+                lo, hi = min(max(x["start"] + PROBE - UNIT, 0), n), min(x["start"] + 1, n)
+                for marks in (here, ask) if x["gone"] else (here,):
+                    marks[lo] += 1
+                    marks[hi] -= 1
+            here, ask = np.cumsum(here)[:n], np.cumsum(ask)[:n]
+            where = np.flatnonzero(here)
+            of.append(np.full(len(where), k))
+            at.append(first[k] + where)
+            asked.append(ask[where] > 0)
+        of, at, asked = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((of, np.int64), (at, np.int64), (asked, bool)))
+        columns = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(start[at].astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(asked)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "node", "asked"])
+
+    dense = saved(map_batches(texts, step, "doc_id long, row long, start int, node long, asked boolean", "text"), "paragraph-dense")
+    least = dense.groupBy("node").agg(F.min("doc_id").alias("keep"), F.max(F.when(F.col("asked"), F.col("doc_id"))).alias("hi")).filter("keep < hi").select("node", "keep")
+    return dense.filter("asked").join(least.hint("merge"), "node").filter("doc_id > keep").select("doc_id", "row", "start", F.lit(UNIT).alias("words"), "keep")
+
+
 def removals(df: DataFrame) -> DataFrame:
     """(doc_id, row, spans): for each text that loses words, the spans (words first to last - 1) and the documents that keep them."""
     docs = _docs(df)
     found = saved(occurrences(docs), "paragraphs")
-    roots = components(links(docs, found))
+    near = saved(links(docs, found), "paragraph-near")
+    roots = components(near)
     seen = found.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     rooted = seen.join(roots.hint("merge"), "node", "left").filter("lo < hi OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     rooted = saved(rooted, "paragraph-nodes")
     kept = rooted.groupBy("root").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi")
-    by_node = rooted.join(kept.select("root", "keep").hint("merge"), "root").select("node", "keep")
-    gone = found.join(by_node.hint("merge"), "node").filter("doc_id > keep")
+    by_node = rooted.join(kept.select("root", "keep").hint("merge"), "root").join(extents(docs, found, near).hint("merge"), "node", "left").select("node", "keep", "skip", "last")
+    held = saved(found.join(by_node.hint("merge"), "node"), "paragraph-held")
+    size = F.least("words", F.coalesce("last", "words")) - F.coalesce("skip", F.lit(0))
+    gone = held.filter("doc_id > keep AND NOT probe").select("doc_id", "row", (F.col("start") + F.coalesce("skip", F.lit(0))).alias("start"), size.alias("words"), "keep")
+    gone = gone.union(repeated_runs(docs, held.filter("probe").select("doc_id", "row", "start", (F.col("doc_id") > F.col("keep")).alias("gone"))))
     grouped = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "words", "keep"))).alias("units"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
