@@ -47,10 +47,9 @@ UNIT = 24
 WINDOW = 1
 PROBE = 12
 SAMPLE = UNIT - PROBE + 1
-#: No segments yet.
-REACH = ()
+REACH = (24, 72)
 SHINGLE = 5
-BANDS, ROWS = 3, 2
+BANDS, ROWS = 9, 4
 LEAST = 0.8
 RULE = Rule(words=SHINGLE, percent=round(100 * LEAST))
 NO_ID = (1 << 63) - 1
@@ -62,7 +61,7 @@ def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def tuned(similarity: float = LEAST, least: float = 0.95, rows: int = ROWS) -> int:
+def tuned(similarity: float = LEAST, least: float = 0.99, rows: int = ROWS) -> int:
     """The fewest bands of that many rows whose recall is high enough."""
     bands = 1
     while recall(similarity, bands, rows) < least:
@@ -125,7 +124,7 @@ class Units:
         self.probe_at = self._whole(text, self._samples(text, n), PROBE)
         self.probe_text, self.probe_node = text[self.probe_at], _runs(hashes, PROBE)[self.probe_at]
         parts = [self._segments(text, n, reach) for reach in REACH]
-        cut, length = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([p[k] for p in parts] for k in range(2)))
+        cut, length = (np.concatenate(x) for x in zip(*parts, strict=True))
         # lines, short and long segments of one place overlap: each kind is banded for itself
         self.near_kind = np.repeat(np.arange(len(parts) + 1, dtype=np.uint64), [len(begin), *(len(x[0]) for x in parts)])
         self.near_at, self.near_size = np.r_[begin, cut], np.r_[size, length]

@@ -169,3 +169,27 @@ def test_repeats_go_to_their_real_ends(spark):
     for doc, _, at, size in rows[:-1]:
         first = 0 if doc != 40 else 60
         assert got.get(doc, set()) == (set(range(at, at + size)) if doc % 10 else set(range(at, at + first)))
+
+
+def test_near_repeats_inside_lines_and_over_line_breaks(spark):
+    rng = random.Random(5)
+    rows, spots = [], {}
+    for k in range(12):
+        said = words(rng, 400)
+        rows.append((2 * k, " ".join(said)))
+        other = list(said)
+        for at in range(60, 400, 60):
+            other[at] = "edited"
+        before = words(rng, 30)
+        made = before + other + words(rng, 30)
+        rows.append((2 * k + 1, " ".join(made) if k % 2 else "\n".join(" ".join(made[j : j + 11]) for j in range(0, len(made), 11))))
+        spots[2 * k + 1] = [30 + at for at in range(60, 400, 60)]
+    got = covered(P.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the edited words belong to no exact repeat; some paragraphs at edits or ends fall below LEAST
+    gone = sum(at in got[doc] for doc, where in spots.items() for at in where)
+    assert gone >= 0.3 * sum(map(len, spots.values()))
+    assert all(30 <= min(v) and max(v) < 430 for v in got.values()) and not any(doc % 2 == 0 for doc in got)
+
+
+def test_near_recall_is_high():
+    assert P.recall(P.LEAST) >= 0.99
