@@ -7,16 +7,18 @@ folder, where tasks map it. Every node then queries every shard: greedy steps do
 layers, a beam on the lowest, and from each hit a flood over the graph, so that no number
 of partners is cut off. Every hit's cosine is checked in double precision.
 
-Before the full run an audit takes AUDIT nodes (by hash) through the same search and
-compares with their exact neighbours among all nodes; the beam doubles until recall is
-GOAL or more.
+Before the full run an audit compares nodes sampled by hash, AUDIT and then four times as
+many each time, exactly with all nodes, until PARTNERED of them have partners. Those go
+through the search; the beam doubles until their mean recall (each node counts once,
+whatever the rows of its partners) is GOAL or more. Where the beam reaches MOST_BEAM
+below the goal, or all nodes were sampled, every node is compared exactly, by blocks;
+beam is 0 then. Vectors of each length have graphs and an audit of their own.
 
 A shard holds at most SHARD nodes; there are at least SHARDS. A block of queries emits
 each node's number of partners and a spanning forest of its links, never all pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing, and so do those whose length isn't the most common one
-(the smaller, if tied); equal rows link with each other; rows of one vec_id are told apart
+components link with nothing; vectors of different lengths don't link; equal rows link with each other; rows of one vec_id are told apart
 by their vectors; a null vec_id counts as larger than any other.
 """
 
@@ -39,9 +41,11 @@ LINKS = 12
 BUILD_BEAM = 48
 FIRST_BEAM = 16
 AUDIT = 256
+PARTNERED = 64
+MOST_BEAM = 1024
 GOAL = 0.99
 SHARDS, SHARD = 8, 1 << 16
-BLOCK = 512
+BLOCK, PART = 512, 8192
 NO_ID = (1 << 63) - 1
 
 
@@ -150,6 +154,14 @@ class Shard:
     def _scores(self, q: np.ndarray, query: np.ndarray, to: np.ndarray) -> np.ndarray:
         return np.einsum("kd,kd->k", q[query], self.units[to])
 
+    def exact(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, position) with a cosine of LEAST or more."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(self.nodes), PART):
+            qi, ni = np.nonzero(q @ self.units[at : at + PART].T >= LEAST)
+            found.append((qi, ni + at))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, position) found with a cosine of LEAST or more."""
         b, n = len(q), len(self.nodes)
@@ -299,73 +311,85 @@ def build(nodes: DataFrame, width: int, folder: str, shards: int) -> None:
 
 
 def query(nodes: DataFrame, width: int, folder: str, shards: int, beam: int) -> DataFrame:
-    """(node, partners, a, b): partners, the rows linked with a node's in other nodes, once per node; and links a-b that connect them."""
+    """(node, partners, others, a, b): the rows and the other nodes that a node links with, once per node; and links a-b that connect them. A beam of 0 compares exactly."""
 
     def step(batch: pa.RecordBatch):
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
             ids, q = part.column(0).to_numpy(), _matrix(part.column(1), width)
-            count = np.zeros(len(ids), np.int64)
+            count, others = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for k in range(shards):
                 shard = _shard(folder, k, width)
-                qi, ni = shard.search(q, beam)
+                qi, ni = shard.search(q, beam) if beam else shard.exact(q)
                 other = shard.nodes[ni]
                 keep = other != ids[qi]
                 qi, ni, other = qi[keep], ni[keep], other[keep]
                 np.add.at(count, qi, shard.weight[ni])
+                np.add.at(others, qi, 1)
                 a, b = _forest(ids[qi], other)
                 if a:
                     none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "partners", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "partners", "others", "a", "b"])
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), none, none], ["node", "partners", "a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), pa.array(others), none, none], ["node", "partners", "others", "a", "b"])
 
-    return map_batches(nodes.select("node", "unit"), step, "node long, partners long, a long, b long")
+    return map_batches(nodes.select("node", "unit"), step, "node long, partners long, others long, a long, b long")
 
 
-def exact_partners(nodes: DataFrame, asked: list, width: int) -> int:
-    """How many rows in all the asked nodes [(node, unit)] link with, by comparing with every node."""
-    q = np.array([u for _, u in asked]).reshape(-1, width)
-    own = np.array([k for k, _ in asked], np.int64)
+def audit(nodes: DataFrame, total: int, width: int, folder: str, shards: int, goal: float = GOAL) -> tuple[int, float]:
+    """The beam (0: compare exactly) and its measured recall."""
+    size = AUDIT
+    while True:
+        if size >= total:
+            return 0, 1.0
+        sample = nodes.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < F.lit(size / total * (1 << 20)))
+        exact = query(sample, width, folder, shards, 0).filter("others > 0").select("node", F.col("others").alias("want"))
+        want = saved(sample.select("node", "unit").join(exact.hint("merge"), "node"), "vector-audit")
+        if want.count() >= PARTNERED:
+            break
+        size *= 4
+    beam = FIRST_BEAM
+    while beam <= MOST_BEAM:
+        got = query(want, width, folder, shards, beam).filter("node IS NOT NULL").select("node", "others")
+        recall = want.select("node", "want").join(got.hint("merge"), "node").agg(F.avg(F.col("others") / F.col("want"))).first()[0]
+        if recall >= goal:
+            return beam, recall
+        beam *= 2
+    return 0, 1.0
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = (_matrix(batch.column(1), width) @ q.T >= LEAST) & (batch.column(0).to_numpy()[:, None] != own[None, :])
-        return pa.RecordBatch.from_arrays([pa.array([int((near.sum(axis=1) * batch.column(2).to_numpy()).sum())])], ["n"])
 
-    return map_batches(nodes.select("node", "unit", "weight"), step, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def searched(nodes: DataFrame, total: int, width: int) -> DataFrame:
+    """(node, partners, a, b, beam, recall) of the nodes of one length."""
+    spark = nodes.sparkSession
+    shards = max(SHARDS, -(-total // SHARD))
+    folder = shared_dir(spark, "smallworld")
+    build(nodes, width, folder, shards)
+    beam, recall = audit(nodes, total, width, folder, shards)
+    found = query(nodes, width, folder, shards, beam)
+    return found.select("node", "partners", "a", "b", F.lit(beam).cast("long").alias("beam"), F.lit(recall).cast("double").alias("recall"))
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of df (vec_id, embedding); beam and audited recall besides."""
     spark = df.sparkSession
     rows = saved(_clean(df), "vectors")
-    width = rows.filter("node IS NOT NULL").groupBy(F.size("unit").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = width.width if width else 1
-    rows = rows.withColumn("node", F.when(F.size("unit") == width, F.col("node")))
     own = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
     nodes = saved(own.repartition(spark.sparkContext.defaultParallelism * 2, "node"), "vector-nodes")
-    total = nodes.count()
-    shards = max(SHARDS, -(-total // SHARD))
-    folder = shared_dir(spark, "smallworld")
-    build(nodes, width, folder, shards)
-    share = float(AUDIT) / max(total, 1)
-    sample = nodes.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    asked = [(r.node, r.unit) for r in sample.select("node", "unit").collect()]
-    want = exact_partners(nodes, asked, width) if asked else 0
-    beam = FIRST_BEAM
-    while want:
-        got = query(sample, width, folder, shards, beam).agg(F.sum("partners")).first()[0]
-        if got >= GOAL * want or beam >= 1024:
-            break
-        beam *= 2
-    found = saved(query(nodes, width, folder, shards, beam), "vector-links")
+    # one row a vector length
+    widths = [(r.width, r["count"]) for r in nodes.groupBy(F.size("unit").alias("width")).count().orderBy("width").collect()]
+    parts = [saved(searched(nodes.filter(F.size("unit") == width), total, width), "vector-links") for width, total in widths if total > 1]
+    alone = nodes.join(spark.createDataFrame([(w,) for w, n in widths if n == 1], "width int").hint("broadcast"), F.size("unit") == F.col("width"))
+    none = F.lit(None).cast("long")
+    found = alone.select("node", F.lit(0).cast("long").alias("partners"), none.alias("a"), none.alias("b"), F.lit(0).cast("long").alias("beam"), F.lit(1.0).alias("recall"))
+    for part in parts:
+        found = found.union(part)
     roots = components(found.filter("a IS NOT NULL").select("a", "b"))
-    counts = found.filter("node IS NOT NULL").select("node", "partners")
+    counts = found.filter("node IS NOT NULL").select("node", "partners", "beam", "recall")
     rooted = nodes.select("node", "weight", "least").join(counts.hint("merge"), "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = rooted.join(least.hint("merge"), "root").select("node", (F.col("weight") - 1 + F.col("partners")).alias("n_links"), "component_id")
+    by_node = rooted.join(least.hint("merge"), "root").select("node", (F.col("weight") - 1 + F.col("partners")).alias("n_links"), "component_id", "beam", "recall")
     shown = lambda c: F.nullif(c, F.lit(NO_ID))
-    linked = rows.join(by_node.hint("merge"), "node").select("vec_id", "n_links", "component_id")
-    alone = rows.filter("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = rows.join(by_node.hint("merge"), "node").select("vec_id", "n_links", "component_id", "beam", "recall")
+    alone = rows.filter("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(0).cast("long").alias("beam"), F.lit(1.0).alias("recall"))
     both = linked.union(alone)
-    return both.select(shown(F.col("vec_id")).alias("vec_id"), "n_links", shown(F.col("component_id")).alias("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(beam).cast("long").alias("beam"))
+    return both.select(shown(F.col("vec_id")).alias("vec_id"), "n_links", shown(F.col("component_id")).alias("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"), "beam", "recall")

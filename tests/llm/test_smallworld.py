@@ -74,3 +74,30 @@ def test_recall_of_one_graph(tmp_path):
     want = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= S.LEAST)), strict=True))
     got = set(zip(qi.tolist(), ni.tolist(), strict=True))
     assert got <= want and len(got) >= 0.97 * len(want) and len(got) == len(qi)
+
+
+def test_every_length_is_searched_and_recall_is_told(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=16).tolist()) for k in range(600)]
+    short = rng.normal(size=(20, 8))
+    rows += [(1000 + 2 * k + j, (v + j * 1e-3).tolist()) for k, v in enumerate(short) for j in range(2)]
+    got = {r.vec_id: r for r in S.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[1001 + 2 * k].component_id == 1000 + 2 * k for k in range(20))
+    # nothing to audit by: all is compared exactly
+    assert all(r.recall == 1.0 and r.beam == 0 for r in got.values())
+
+
+def test_audit_counts_nodes_and_gives_way_to_exact_search(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base, base + 1e-3])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # one pair holds nearly all rows
+    made = [(k, v.tolist(), 10**6 if k % 300 == 0 else 1) for k, v in enumerate(x)]
+    nodes = spark.createDataFrame(made, "node long, unit array<double>, weight long")
+    folder = S.shared_dir(spark, "audit")
+    S.build(nodes, 16, folder, 2)
+    beam, recall = S.audit(nodes, 600, 16, folder, 2)
+    assert beam and S.GOAL <= recall <= 1
+    assert S.audit(nodes, 600, 16, folder, 2, goal=2.0) == (0, 1.0)
+    assert S.query(nodes, 16, folder, 2, 0).agg({"others": "sum"}).first()[0] == int((x @ x.T >= S.LEAST).sum()) - 600
