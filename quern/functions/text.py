@@ -39,11 +39,11 @@ def redacted(text: Column, most: int = 4096) -> Column:
 def canonical_url(url: Column) -> Column:
     """A signed URL without its signature's parameters; any other URL as it is."""
     name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
-    bare = F.split_part(url, F.lit("#"), F.lit(1))
-    parts = F.split(F.split_part(bare, F.lit("?"), F.lit(2)), "&")
+    bare = F.regexp_extract(url, r"(?s)\A[^#]*", 0)
+    parts = F.split(F.regexp_extract(bare, r"(?s)\A[^?]*\?(.*)\z", 1), "&")
     kept = F.array_join(F.filter(parts, lambda p: ~name(p).isin(*_all_signed())), "&")
-    fragment = F.when(F.contains(url, F.lit("#")), F.concat(F.lit("#"), F.split_part(url, F.lit("#"), F.lit(2)))).otherwise("")
-    made = F.concat(F.split_part(bare, F.lit("?"), F.lit(1)), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), fragment)
+    fragment = F.regexp_extract(url, r"(?s)\A[^#]*(#.*)\z", 1)
+    made = F.concat(F.regexp_extract(bare, r"(?s)\A[^?]*", 0), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), fragment)
     return F.when(F.exists(parts, lambda p: name(p).isin("X-Amz-Signature", "X-Goog-Signature")), made).otherwise(url)
 
 

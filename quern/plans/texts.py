@@ -47,5 +47,34 @@ def canonical_url(spark, sf_dir):
     return pages.select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
 
 
+@BOOK.query("log_redaction_all", r"""WITH r AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '[url]', 'g'), '(?i)\bbearer\s+\S+', 'Bearer [redacted]', 'g'), '(?i)\b(token|secret|password|api_key)\s*[=:]\s*\S+', '\1=[redacted]', 'g') AS t FROM conversations)
+  SELECT conv_id, turn, CASE WHEN length(t) > 4096 THEN substring(t, 1, 4096) || '...[truncated]' ELSE t END AS redacted FROM r""")
+def log_redaction_all(spark, sf_dir):
+    """Every message, long ones cut."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.redacted(F.col("text")).alias("redacted"))
+
+
+_NAMES = ", ".join(f"'{n}'" for names in T.SIGNED.values() for n in names)
+
+
+@BOOK.query("canonical_url_all", f"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^[^#]*') AS bare, regexp_extract(url, '^[^#]*(#.*)$', 1) AS fragment FROM pages),
+  p AS (SELECT *, string_split(regexp_extract(bare, '^[^?]*[?](.*)$', 1), '&') AS parts FROM u),
+  k AS (SELECT *, array_to_string(list_filter(parts, lambda x: split_part(x, '=', 1) NOT IN ({_NAMES})), '&') AS kept FROM p)
+  SELECT page_id, CASE WHEN len(list_filter(parts, lambda x: split_part(x, '=', 1) IN ('X-Amz-Signature', 'X-Goog-Signature'))) > 0
+    THEN regexp_extract(bare, '^[^?]*') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END || fragment ELSE url END AS canonical FROM k""")
+def canonical_url_all(spark, sf_dir):
+    """Every page's address, signed ones without their signature."""
+    return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
+
+
+@BOOK.query("signed_url_all", "SELECT page_id, regexp_extract(url, '^[^#]*') || CASE WHEN contains(regexp_extract(url, '^[^#]*'), '?') THEN '&' ELSE '?' END || 'a=1' || regexp_extract(url, '^[^#]*(#.*)$', 1) AS canonical FROM pages")
+def signed_url_all(spark, sf_dir):
+    """Every page's address, whatever query or fragment it has, signed and made canonical again."""
+    bare, fragment = F.regexp_extract("url", r"(?s)\A[^#]*", 0), F.regexp_extract("url", r"(?s)\A[^#]*(#.*)\z", 1)
+    mark = F.when(F.contains(bare, F.lit("?")), F.lit("&")).otherwise(F.lit("?"))
+    signed = F.concat(bare, mark, F.lit("X-Amz-Date=20240101&a=1&X-Amz-Signature="), F.sha2("url", 256), fragment)
+    return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(signed).alias("canonical"))
+
+
 BOOK.sql("section_expand", """SELECT doc_id, substring(section, 1, 4000) AS text, length(section) > 4000 AS cut FROM (SELECT doc_id, coalesce(lang, '') || chr(10) || chr(10) || coalesce(text, '') AS section FROM documents) s""")
 BOOK.sql("heading_prefix", "SELECT doc_id, coalesce(source, '') || ' / ' || coalesce(lang, '') || ' / ' || substring(coalesce(text, ''), 1, 40) AS path FROM documents")

@@ -15,3 +15,20 @@ def test_scalars(spark):
     assert one(spark, T.canonical_url, "https://a/b?k=1&X-Amz-Date=2") == "https://a/b?k=1&X-Amz-Date=2"
     assert one(spark, T.percent_decoded, "a%20b+%zz%C3%A9") == "a b+%zzé"
     assert one(spark, lambda c: T.snippet(c, 5), None) is None
+
+
+def test_long_messages_and_signed_urls_are_kept(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quern.plans import texts
+
+    rows = [(1, 1, "token=abc " + "x" * 5000), (1, 2, "short"), (2, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.redacted for r in texts.log_redaction_all(spark, str(tmp_path)).collect()}
+    made = "token=[redacted] " + "x" * 5000
+    assert got == {(1, 1): made[:4096] + "...[truncated]", (1, 2): "short", (2, 1): None}
+    urls = [(1, "https://a/b?x=1&X-Amz-Signature=f&q=a?b#c#d"), (2, "https://a/?X-Goog-Signature=1"), (3, "https://a/?x=1#y"), (4, None)]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.canonical for r in texts.canonical_url_all(spark, str(tmp_path)).collect()}
+    assert got == {1: "https://a/b?x=1&q=a?b#c#d", 2: "https://a/", 3: "https://a/?x=1#y", 4: None}
+    assert texts.signed_url_all(spark, str(tmp_path)).filter(F.col("canonical").isNotNull()).count() == 3
