@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,65 @@ def nearest(vectors: DataFrame, query: list[float], limit: int, metric: str = "c
     return scored.orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def _blocks(vectors: DataFrame, size: int, cosine: bool, prefix: str) -> DataFrame:
+    """Vectors of one length as packed blocks: {prefix}_ids, {prefix}_values, width."""
+    v = F.col("vector")
+    fits = vectors.filter((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()) & (dot(v, v) > 0 if cosine else F.lit(True)))
+
+    def step(batches):
+        for batch in batches:
+            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            widths = np.array([len(r) for r in rows])
+            for width in np.unique(widths).tolist():
+                where = np.flatnonzero(widths == width)
+                for at in range(0, len(where), size):
+                    part = where[at : at + size]
+                    flat = np.array([rows[k] for k in part], np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].astype("<i8").tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([width], pa.int32())], [f"{prefix}_ids", f"{prefix}_values", "width"])
+
+    return fits.select(F.col("chunk_id").cast("long"), v).mapInArrow(step, f"{prefix}_ids binary, {prefix}_values binary, width int")
+
+
+def _best(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray, limit: int, cosine: bool) -> tuple:
+    """(query_id, chunk_id, score) of each query's best rows, ties by id."""
+    if cosine:
+        distance = 1.0 - (q @ v.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :])
+    else:
+        distance = np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q]))
+    score = np.round(-distance, DIGITS) + 0.0
+    top = np.lexsort((np.broadcast_to(vid, score.shape), -score), axis=1)[:, :limit]
+    return np.repeat(qid, top.shape[1]), vid[top].ravel(), np.take_along_axis(score, top, axis=1).ravel()
+
+
+HITS = "query_id long, chunk_id long, score double"
+
+
+def _cut(hits: DataFrame, limit: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return hits.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "cosine") -> DataFrame:
+    """(query_id, chunk_id, score): nearest() of every query (chunk_id, vector) at once.
+
+    Blocks of queries meet blocks of rows; each pair of blocks gives a partial top-k, which is merged per query.
+    """
+    check_limit(limit)
+    cosine = metric == "cosine"
+
+    def step(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                width = batch.column(0)[k].as_py()
+                qid, vid = (np.frombuffer(batch.column(j)[k].as_py(), "<i8") for j in (1, 3))
+                q, v = (np.frombuffer(batch.column(j)[k].as_py(), "<f8").reshape(-1, width) for j in (2, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(q, v, qid, vid, limit, cosine)], ["query_id", "chunk_id", "score"])
+
+    q, v = _blocks(queries, 256, cosine, "q"), _blocks(vectors, 2048, cosine, "v")
+    met = q.join(v.withColumnRenamed("width", "v_width"), F.col("width") == F.col("v_width")).select("width", "q_ids", "q_values", "v_ids", "v_values")
+    return _cut(met.mapInArrow(step, HITS), limit)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 

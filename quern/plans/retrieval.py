@@ -64,6 +64,33 @@ def knn_ivf_probe(spark, sf_dir):
     return S.nearest(v.join(F.broadcast(probed), "label", "left_semi"), q, 20)
 
 
+#: The query set: every row whose id is divisible by 50, against all rows.
+EACH = """
+vec AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE embedding IS NOT NULL),
+q AS (SELECT chunk_id AS query_id, v AS qv FROM vec WHERE chunk_id % 50 = 0)"""
+EACH_CUT = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20"
+
+
+def _each(v, metric="cosine", rows=None):
+    return S.nearest_each(v if rows is None else rows, v.filter("chunk_id % 50 = 0"), 20, metric)
+
+
+@BOOK.query("knn_cosine_each", f"WITH {EACH} SELECT query_id, chunk_id, round(-(1e0 - list_cosine_similarity(v, qv)), 6) + 0e0 AS score FROM vec, q {EACH_CUT}")
+def knn_cosine_each(spark, sf_dir):
+    return _each(vectors(spark, sf_dir))
+
+
+@BOOK.query("knn_l2_each", f"WITH {EACH} SELECT query_id, chunk_id, round(-list_distance(v, qv), 6) + 0e0 AS score FROM vec, q {EACH_CUT}")
+def knn_l2_each(spark, sf_dir):
+    return _each(vectors(spark, sf_dir), "l2")
+
+
+@BOOK.query("knn_filtered_each", f"WITH {EACH} SELECT query_id, chunk_id, round(-(1e0 - list_cosine_similarity(v, qv)), 6) + 0e0 AS score FROM vec, q WHERE label IN (1, 3, 5) {EACH_CUT}")
+def knn_filtered_each(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return _each(v, rows=v.filter(F.col("label").isin(1, 3, 5)))
+
+
 def _bm25(spark, sf_dir, field):
     return S.bm25(chunks(spark, sf_dir), field, query_terms(spark, sf_dir)).select("chunk_id", "page_id", "score")
 
