@@ -91,6 +91,14 @@ def knn_filtered_each(spark, sf_dir):
     return _each(v, rows=v.filter(F.col("label").isin(1, 3, 5)))
 
 
+@BOOK.query("knn_ivf_each", f"WITH {EACH} SELECT CAST(count(*) AS BIGINT) AS queries, TRUE AS reached FROM q")
+def knn_ivf_each(spark, sf_dir):
+    """Lists around fitted centroids, probed until recall against all rows is 0.9 over the query set: whether it was reached."""
+    v = vectors(spark, sf_dir)
+    hits, recall = S.ivf(v, v.filter("chunk_id % 50 = 0"), 20)
+    return hits.agg(F.countDistinct("query_id").alias("queries"), F.lit(recall >= 0.9).alias("reached"))
+
+
 def _bm25(spark, sf_dir, field):
     return S.bm25(chunks(spark, sf_dir), field, query_terms(spark, sf_dir)).select("chunk_id", "page_id", "score")
 

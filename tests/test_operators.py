@@ -70,3 +70,16 @@ def test_chunks_are_slices_in_order():
     assert chunk("", 10, 0) == [] and chunk("# A\nx\n## B\ny", 100, 0)[-1][2] == ["A", "B"]
     with pytest.raises(ValueError):
         chunk("x", 10, 10)
+
+
+def test_ivf_reaches_its_recall_over_all_queries(spark):
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(12)]) for k in range(1500)]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    asked = v.filter("chunk_id % 50 = 0")
+    exact = {(r.query_id, r.chunk_id) for r in S.nearest_each(v, asked, 20).collect()}
+    hits, recall = S.ivf(v, asked, 20)
+    found = {(r.query_id, r.chunk_id) for r in hits.collect()}
+    assert len(exact) == 30 * 20 and len(found & exact) / len(exact) == pytest.approx(recall) and recall >= 0.9
+    one = S.nearest(v, rows[50][1], 20).collect()
+    assert {(50, r.chunk_id) for r in one} == {x for x in exact if x[0] == 50}
