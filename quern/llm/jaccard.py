@@ -1,29 +1,17 @@
 """Exact Jaccard join of word-shingle sets, by pivots and recursion.
 
-Jaccard distance is a metric: with T the largest distance of a link, linked documents lie
-in the same ring, or in rings next to each other, of width T around any pivot, and what is
-near a pivot differs from it in few shingles.
-
-1. Equal sets become one node (128-bit digests, of which 64 bits name the node).
-2. Cells. Linked sets differ in at most K = |smaller| T / (1 - T) shingles. A set's hashed
-   shingles fall in K + 1 + S parts (K by class of size, and a set also signs for the class
-   below if it may be the larger one there); so linked sets agree in S + 1 parts, and their
-   digests of one with shingles in it put both in that cell. Sets with over S parts without
-   shingles, which are rare, also sign their K + 1 smallest shingles. (Under PARTS_FROM percent parts
-   would be too small; there the cells are a set's first shingles, rare ones first.)
-3. Regions. The pivot of a cell is the member that shares most cells. Every member is
-   compared with its cells' pivots: the Voronoi regions, which overlap where a document
-   shares cells with several pivots. Members within T of the pivot are linked to it, and
-   a region whose members all are is done.
-4. Windows. In the other regions a member goes to its ring of width T around the pivot
-   and, as a boundary document, to the next one: by the triangle inequality two linked
-   members share one of these. Each ring is joined on its own.
-5. Recursion. A ring of over LEAF members gets a pivot and regions of its own, DEPTH
-   times at most. What is left is joined exactly, by pairs of blocks of its members.
+1. Equal sets become one node (128-bit digests; nodes are then numbered).
+2. Cells. Sets that link share least(n) or more of a set's n elements. So their first
+   n - least(n) + 1 + s hashes have s + 1 in common, s being a fixed part of least(n);
+   each is a cell. How many nodes a cell has is counted over all documents, and every node
+   leaves its s largest cells: of s + 1 common cells the smallest is never among these.
+   What is frequent everywhere thus brings no documents together, and a cell of one node
+   none at all.
+3. Regions, windows and recursion among the nodes of a cell, as in regions.py, over whole
+   texts, from which sets are made anew where they are compared.
 
 No link between different components is lost and none is made up: every link is an exact
-comparison. Pairs within a region are never listed: regions emit links to the pivot, and
-blocks a spanning forest of their links.
+comparison.
 
 Defined results: null or wordless texts have an empty set, no link and themselves as
 component; a text of fewer words than a shingle has them all as one; rows are told apart
@@ -38,39 +26,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.graph import components
+from quern.llm.regions import Rule, connected
 from quern.llm.shared import buffer_of, drop_saved, map_batches, mix, saved, word_hashes, word_spans
 
-#: Members of a ring that are joined without another pivot, members of a block, and rounds of pivots after the first.
-LEAF = 1024
-#: Least percent for cells by parts; below it, documents (by hash) whose shingles' frequency orders the prefix, and how many shingles count as common at most.
-PARTS_FROM = 85
-ORDER_SAMPLE = 4096
-COMMON = 200_000
-BLOCK = 128
-DEPTH = 2
-
-
-class Rule(NamedTuple):
-    """Words to a shingle, and the least similarity as percent."""
-
-    words: int = 3
-    percent: int = 90
-
-    def differ(self, size: int) -> int:
-        """Most shingles in which a set of this size differs from a larger or equal one that it links with."""
-        return size * (100 - self.percent) // self.percent
-
-    def linked(self, shared: int, union: int) -> bool:
-        return 100 * shared >= self.percent * union
-
-    def ring(self, shared: int, union: int) -> int:
-        """Which ring of width T around the pivot."""
-        return (union - shared) * 100 // (union * (100 - self.percent)) if self.percent < 100 else 0
-
+#: One in so many of the elements that linked sets must share is a spare cell.
+SPARE = 8
+#: Stands for a null doc_id inside a join: larger than any other.
+NO_ID = (1 << 63) - 1
 
 def shingle_sets(column: pa.Array, words: int):
     """For each text its distinct shingle hashes, in order."""
@@ -87,10 +53,10 @@ def shingle_sets(column: pa.Array, words: int):
         if b - a >= words:
             yield np.unique(made[a : b - words + 1])
         elif b > a:
-            value = np.uint64(0)
+            value = np.zeros(1, np.uint64)
             for h in hashes[a:b]:
-                value = mix(np.atleast_1d(value + h + np.uint64(77)))[0]
-            yield np.array([value], np.uint64)
+                value = mix(value + h + np.uint64(77))
+            yield value
         else:
             yield np.zeros(0, np.uint64)
 
@@ -99,261 +65,90 @@ def _digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
-def size_class(size: int) -> tuple[int, int]:
-    """First and last size of the class that a set's size is in; classes grow by a third."""
-    first = 1
-    while True:
-        then = max(first + 1, -(-first * 4 // 3))
-        if size < then:
-            return first, then - 1
-        first = then
-
+def spare(size: int, rule: Rule) -> int:
+    """How many of its cells a set of this size leaves."""
+    return rule.least(size) // SPARE
 
-def parts_spare(differ: int) -> int:
-    """Parts beside those that may differ, for parts that happen to have no shingles."""
-    return differ // 40
 
-
-def signatures(items: np.ndarray, rule: Rule, common: np.ndarray | None = None) -> np.ndarray:
-    """The cells of a set: any two sets that link have one in common.
-
-    Below PARTS_FROM percent, parts would be too small to tell sets apart: there, cells are
-    the shingles themselves, the first few of a set in an order that is the same for all:
-    by hash, those of ``common`` (in order) last.
-    """
+def signatures(items: np.ndarray, rule: Rule) -> np.ndarray:
+    """The cells of a set, before it leaves its largest ones."""
     size = len(items)
-    if rule.percent < PARTS_FROM:
-        prefix = size - -(-size * rule.percent // 100) + 1
-        if common is not None and len(common):
-            at = np.minimum(np.searchsorted(common, items), len(common) - 1)
-            items = items[np.argsort(common[at] == items, kind="stable")]
-        return mix(items[:prefix])
-    first, last = size_class(size)
-    classes = [(first, last)]
-    # the smallest set that may link with this one
-    if first > 1 and -(-size * rule.percent // 100) < first:
-        classes.append(size_class(first - 1))
-    out = []
-    spread = mix(items)
-    for low, high in classes:
-        differ = rule.differ(high)
-        if not differ:  # only equal sets link, and those are one node already
-            continue
-        spare = 1 + parts_spare(differ)
-        parts = differ + 1 + spare
-        at = np.searchsorted(items, (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**64).clip(0, 2.0**64 - 2048).astype(np.uint64))
-        at[-1] = size
-        total = np.concatenate([[np.uint64(0)], np.cumsum(spread)])
-        full = np.flatnonzero(at[1:] > at[:-1])
-        label = mix(full.astype(np.uint64) + np.uint64(parts) * np.uint64(1 << 32))
-        out.append(mix((total[at[full + 1]] - total[at[full]]) ^ label))
-        if parts - len(full) > spare:
-            out.append(mix(items[: differ + 1] ^ mix(np.full(1, parts, np.uint64) + np.uint64(1 << 63))))
-    return np.unique(np.concatenate(out)) if out else items[:0]
-
-
-def _marks(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, node, digest) of every row; node and digest are null for an empty set."""
+    return items[: size - rule.least(size) + 1 + spare(size, rule)]
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch.column(1), rule.words))
-        digests = [_digest(s) if len(s) else None for s in sets]
-        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([d and _node(d) for d in digests], pa.int64()), pa.array(digests, pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "node", "digest"])
 
-    return map_batches(docs, step, "doc_id long, n long, node long, digest binary", "text")
-
-
-def _common(docs: DataFrame, rule: Rule, rows: int) -> np.ndarray:
-    """The shingles that most of a sample of documents share: a hint for the order of prefixes, which changes no result."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch.column(0), rule.words))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["item"])
-
-    share = min(1.0, ORDER_SAMPLE / max(rows, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select("text")
-    counted = map_batches(sample, step, "item long", "text").groupBy("item").count().filter("count > 2")
-    got = counted.orderBy(F.desc("count"), "item").limit(COMMON).toArrow().column("item").to_numpy()
-    return np.sort(got.view(np.uint64))
-
-
-def _postings(docs: DataFrame, rule: Rule, common: np.ndarray | None) -> DataFrame:
-    """(doc_id, node, cells) of every row that has shingles."""
+def _marks(docs: DataFrame, rule: Rule, cells: bool) -> DataFrame:
+    """(doc_id, row, n, digest) of every row, digest null for an empty set; or of those with a digest, with spare and cells."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch.column(1), rule.words))
-        keep = [k for k, s in enumerate(sets) if len(s)]
-        nodes = pa.array([_node(_digest(sets[k])) for k in keep], pa.int64())
-        cells = pa.array([signatures(sets[k], rule, common).view(np.int64) for k in keep], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), nodes, cells], ["doc_id", "node", "cells"])
+        sets = list(shingle_sets(batch.column(2), rule.words))
+        n, digests = pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
+        if not cells:
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], n, digests], ["doc_id", "row", "n", "digest"])
+        more = [pa.array([spare(len(s), rule) for s in sets], pa.int32()), pa.array([signatures(s, rule).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        out = pa.RecordBatch.from_arrays([*batch.columns[:2], n, digests, *more], ["doc_id", "row", "n", "digest", "spare", "cells"])
+        return out.filter(digests.is_valid())
 
-    return map_batches(docs, step, "doc_id long, node long, cells array<long>", "text")
+    return map_batches(docs, step, "doc_id long, row long, n long, digest binary" + (", spare int, cells array<long>" if cells else ""), "text")
 
 
-def _items(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(node, items) of (want, text) rows whose set is the wanted node."""
+def _texts(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """(node, payload): the text of each wanted node (node, digest, doc_id, row)."""
+    both = docs.join(wanted.hint("merge"), ["doc_id", "row"]).select("node", "digest", "text").dropDuplicates(["node", "text"])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch.column(1), rule.words))
-        keep = [(want, s.tobytes()) for want, s in zip(batch.column(0).to_pylist(), sets, strict=True) if len(s) and _node(_digest(s)) == want]
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.binary())], ["node", "items"])
+        digests = [_digest(s) for s in shingle_sets(batch.column(2), rule.words)]
+        keep = pa.array([k for k, want in enumerate(batch.column(1).to_pylist()) if digests[k] == want], pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["node", "payload"]).take(keep)
 
-    return map_batches(texts, step, "node long, items binary", "text")
+    return map_batches(both, step, "node long, payload string", "text")
 
 
-def compared_with_pivots(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """(cell, node, pivot, ring, linked) of (cell, node, pivot, items, pivot_items), by exact comparison."""
-
-    def one(items: bytes, pivot_items: bytes) -> tuple[bool, int]:
-        x, p = np.frombuffer(items, "<u8"), np.frombuffer(pivot_items, "<u8")
-        shared = len(np.intersect1d(x, p, assume_unique=True))
-        union = len(x) + len(p) - shared
-        return rule.linked(shared, union), rule.ring(shared, union)
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [one(*row) for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        columns = [pa.array([f[1] for f in found], pa.int32()), pa.array([f[0] for f in found], pa.bool_())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["node", "pivot", "ring", "linked"])
-
-    return map_batches(pairs.select("node", "pivot", "items", "pivot_items"), step, "node long, pivot long, ring int, linked boolean", "items")
-
-
-def _regions(members: DataFrame) -> DataFrame:
-    """(node, pivot) for members (cell, node): each cell's pivot is the member that meets most others in all its cells."""
-    many = members.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    own = saved(members.join(many.hint("merge"), "cell").select("cell", "node", "n"), "cells")
-    weight = own.groupBy("node").agg(F.sum("n").alias("weight"))
-    ranked = own.join(weight.hint("merge"), "node")
-    chosen = ranked.groupBy("cell").agg(F.max(F.struct("weight", "node")).alias("best")).select("cell", F.col("best.node").alias("pivot"))
-    pairs = saved(own.join(chosen.hint("merge"), "cell").filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
-    drop_saved(own)
-    return pairs
-
-
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the sets share."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = times[element] > 1
-    owner, element = owner[keep], element[keep]
-    out = np.zeros((n, n), np.float32)
-    if not len(element):
-        return out.astype(np.int64)
-    order = np.argsort(element, kind="stable")
-    owner, element = owner[order], np.cumsum(np.r_[0, np.diff(element[order]) > 0])
-    width = 1 << 14  # columns of the incidence matrix at once
-    cuts = np.searchsorted(element, np.arange(0, element[-1] + 1 + width, width))
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        dense = np.zeros((n, width), np.float32)
-        dense[owner[a:b], element[a:b] - k * width] = 1
-        out += dense @ dense.T
-    return out.astype(np.int64)
-
-
-def joined_cells(members: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): links that connect what is linked within each cell of members (cell, node).
-
-    A cell is dealt out to pairs of its blocks of about BLOCK members, so that a large one
-    spreads over tasks; of each pair of blocks only a spanning forest of its links is emitted.
-    """
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    sized = members.join(members.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").hint("merge"), "cell").withColumn("blocks", blocks)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sized.withColumn("own", own).select("cell", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(items.hint("merge"), "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_pylist()
-        sets = [np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        shared = shared_counts(sets)
-        near = 100 * shared >= rule.percent * (size[:, None] + size[None, :] - shared)
-        root = list(range(len(nodes)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        links = []
-        for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                root[rb] = ra
-                links.append((nodes[a], nodes[b]))
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    return dealt.select("cell", "i", "j", "node", "items").groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
+def _members(nodes: DataFrame) -> DataFrame:
+    """(cell, node) of cells with two nodes or more, without the largest ones that each node leaves; nodes: node, spare, cells."""
+    posted = nodes.select("node", "spare", F.explode("cells").alias("cell"))
+    many = saved(posted.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cells")
+    met = posted.join(many.hint("merge"), "cell")
+    met = saved(met, "postings")
+    drop_saved(many)
+    # a node's cells are fewer than its words
+    largest = Window.partitionBy("node").orderBy(F.desc("n"), "cell")
+    return met.withColumn("at", F.row_number().over(largest)).filter("at > spare").select("cell", "node")
 
 
 class Joined(NamedTuple):
-    #: doc_id (NO_ID for null), n and node of every row; node is null for an empty set
+    #: doc_id (NO_ID for null), n and digest of every row; digest is null for an empty set
     rows: DataFrame
+    #: node, digest and the smallest doc_id of every set
+    nodes: DataFrame
     #: a, b: exact links between nodes that hold every component together
     links: DataFrame
 
 
-#: Stands for a null doc_id inside a join: larger than any other.
-NO_ID = (1 << 63) - 1
-
-
 def join(df: DataFrame, rule: Rule = Rule()) -> Joined:  # noqa: B008
     """Links that connect all documents (doc_id, text) whose sets have the rule's similarity."""
-    if not 75 <= rule.percent <= 100:
-        raise ValueError("the classes of size are made for 75 percent or more")
-    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = saved(_marks(docs, rule), "sets")
-    nodes = marked.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    nodes = saved(nodes, "nodes")
-    if nodes.filter("lo <> hi").limit(1).count():
-        raise ValueError("two sets share 64 bits of their digests")
-    nodes = nodes.select("node", "doc_id")
-    common = _common(docs, rule, marked.count()) if rule.percent < PARTS_FROM else None
-    posted = saved(_postings(docs, rule, common).join(nodes.hint("merge"), ["node", "doc_id"]).select("node", "cells"), "postings")
-    pairs = _regions(posted.select(F.explode("cells").alias("cell"), "node"))
-    drop_saved(posted)
-    met = pairs.select("node").union(pairs.select(F.col("pivot").alias("node"))).distinct()
-    wanted = met.join(nodes.hint("merge"), "node")
-    items = saved(_items(docs.join(wanted.hint("merge"), "doc_id").select("node", "text"), rule).dropDuplicates(["node"]), "items")
-    others = items.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items"))
-    links = items.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    for depth in range(DEPTH + 1):
-        both = pairs.join(items.hint("merge"), "node").join(others.hint("merge"), "pivot")
-        compared = saved(compared_with_pivots(both, rule), "compared")
-        links = links.union(compared.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        # regions in which the pivot reaches all, or all but a lone one, need no further step
-        region = compared.groupBy("pivot").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 AND NOT all").select("pivot")
-        rings = compared.join(region.hint("merge"), "pivot").select("pivot", "node", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
-        cells = saved(rings.select(F.xxhash64("pivot", "ring", F.lit(depth)).alias("cell"), "node").distinct(), "rings")
-        large = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select("cell") if depth < DEPTH else None
-        leaves = cells.join(large.hint("merge"), "cell", "left_anti") if large is not None else cells
-        links = links.union(saved(joined_cells(leaves, items, rule), "leaves"))
-        if large is None:
-            break
-        pairs = _regions(cells.join(large.hint("merge"), "cell"))
-        if not pairs.limit(1).count():
-            break
-    return Joined(marked.select("doc_id", "n", "node"), links)
+    text = F.col("text").cast("string")
+    docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
+    rows = saved(_marks(docs, rule, False), "sets")
+    first = _marks(docs, rule, True).groupBy("digest").agg(F.min(F.struct("doc_id", "row", "spare", "cells")).alias("at"))
+    nodes = saved(first.select(F.monotonically_increasing_id().alias("node"), "digest", "at.doc_id", "at.row", "at.spare", "at.cells"), "nodes")
+    members = saved(_members(nodes), "members")
+    named = nodes.select("node", "digest", "doc_id", "row")
+    held = saved(_texts(docs, named.join(members.select("node").distinct().hint("merge"), "node"), rule), "texts")
+    sets_of = lambda column: list(shingle_sets(column, rule.words))
+    links = connected(members, held, sets_of, rule)
+    return Joined(rows.select("doc_id", "n", "digest"), nodes.select("node", "digest", "doc_id"), links)
 
 
 def classes(df: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles and component_id of every row."""
-    rows, links = join(df, rule)
+    rows, nodes, links = join(df, rule)
     roots = components(links)
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = nodes.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = rooted.join(least.hint("merge"), "root").select("node", "component_id")
+    rooted = saved(nodes.join(roots.hint("merge"), "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+    least = saved(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    by_set = saved(rooted.join(least.hint("merge"), "root").select("digest", "component_id"), "by-set")
     shown = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    linked = rows.join(by_node.hint("merge"), "node").select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"))
-    alone = rows.filter("node IS NULL").select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("doc_id").alias("component_id"))
+    linked = rows.join(by_set.hint("merge"), "digest").select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"))
+    alone = rows.filter("digest IS NULL").select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("doc_id").alias("component_id"))
     return linked.union(alone)
 
 

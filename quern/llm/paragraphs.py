@@ -1,59 +1,65 @@
 """Substring dedup: paragraphs, MinHash bands, exact checks and components.
 
-Paragraphs are of three kinds. Lines of UNIT words or more. Segments, which cover the
-text whatever its line breaks: they are cut where a five-word hash is the smallest within
-REACH positions on both sides, so cuts depend on the words around them alone; short ones
-for short passages and, again over the whole text, long ones that bear more edits. A
-segment of fewer than UNIT words (at a text's ends) is none. And runs of UNIT words, one at every
-position. A paragraph's node is the hash of its words: exact repeats are one node, however
-many documents hold them.
-
-1. Occurrences of lines, segments and probes: document, position, node. A probe is PROBE
-   words whose first five-word hash is the smallest of some window of SAMPLE positions;
-   every run holds one whole, and equal runs hold equal ones.
-2. Near repeats of lines and segments: BANDS bands of ROWS minima of their five-word
-   shingles; a pair of Jaccard LEAST or more collides in some band with probability
-   recall(); lines, short and long segments each among themselves. Equal rows of a slice go out once, and only bands where different nodes meet
-   are kept.
-3. What collides is checked exactly: Jaccard of the five-word shingles LEAST or more
-   (links()).
-4. Checked pairs are joined into components. In each, the document of the smallest
-   doc_id keeps its occurrences; those of every other document are removed: of linked
-   lines all words, of others those from the first to the last shingle that linked
-   paragraphs share (extents()).
-5. Runs at all positions that hold a repeated probe are compared (repeated_runs()), so
-   that an exact repeat goes to its real ends, whichever earlier documents hold its parts.
-6. Removed paragraphs that overlap or touch are removed as one span of words.
-
-Defined results: null texts and texts of fewer than UNIT words have no paragraph; repeats
+Paragraphs are lines of LINE words or more, and segments, which cover the text whatever
+its line breaks: they are cut where a five-word hash is the smallest within REACH
+positions on both sides, so cuts depend on the words around them alone; short ones for
+short passages and, again over the whole text, long ones that bear more edits. A segment
+of fewer than LINE words is none. A paragraph's node is the hash of its words: exact repeats
+are one node, however many documents hold them.
+
+1. Occurrences of paragraphs and seeds: document, position, node. A seed is SEED words
+   whose first five-word hash is the smallest of some window of SAMPLE positions; every
+   run of UNIT words holds one whole, and equal runs hold equal ones.
+2. Near repeats: BANDS bands of ROWS minima of a paragraph's five-word shingles; a pair of
+   Jaccard LEAST or more collides in some band with probability recall(); lines,
+   short and long segments each among themselves. Equal rows of a slice go out once, and only bands where
+   different nodes meet are kept.
+3. What collides is checked exactly (Jaccard of the five-word shingles LEAST or more) by
+   the pivots, windows and blocks of regions.py, which lists no pairs.
+4. Checked pairs are joined into components. In each, the document of the smallest doc_id
+   keeps its occurrences; those of every other document are removed: of linked lines all
+   words, of others those from the first to the last shingle that linked paragraphs share
+   (extents()).
+5. Exact repeats go to their real ends: a document that shares a seed with an earlier one
+   streams past the text of the earliest, and what both hold around the seed, word by
+   word, is removed (repeats()). So no run of UNIT words that an earlier document holds
+   stays whole.
+6. Removed stretches that overlap or touch are removed as one span of words.
+
+Defined results: null texts and texts of fewer than LINE words have no paragraph; repeats
 within one document stay; equal rows are treated alike; rows of one doc_id with different
 texts are told apart by the text's hash, and count as one document; a null doc_id counts
-as larger than any other. Extra columns are ignored or, in deduplicated(), kept.
+as larger than any other; a seed that the earlier text holds several times is compared at
+its first place. Extra columns are ignored or, in deduplicated(), kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.graph import components
-from quern.llm.jaccard import Rule, compared_with_pivots, joined_cells
-from quern.llm.shared import buffer_of, map_batches, mix, powers, saved, word_hashes, word_spans
-
-UNIT = 24
-#: Runs start at every position; probes only say where to look for repeated ones.
-WINDOW = 1
-PROBE = 12
-SAMPLE = UNIT - PROBE + 1
+from quern.llm.regions import Rule, connected, stored_sets
+from quern.llm.shared import SLICE_BYTES, buffer_of, drop_saved, map_batches, mix, powers, saved, slices, word_hashes, word_spans
+
+LINE = 24
+UNIT = 40
+SEED = 24
+SAMPLE = UNIT - SEED + 1
 REACH = (24, 72)
 SHINGLE = 5
 BANDS, ROWS = 9, 4
 LEAST = 0.8
 RULE = Rule(words=SHINGLE, percent=round(100 * LEAST))
+#: Documents that stream past one copy of an earlier text.
+SPREAD = 512
 NO_ID = (1 << 63) - 1
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -88,105 +94,77 @@ def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Units:
-    """The lines and runs of the texts of one column: text, at (first word), size, node; lines come first.
-
-    near_text, near_at, near_size, near_node: lines (even nodes), then segments (odd nodes).
-    probe_text, probe_at, probe_node: probes.
-    """
+    """The paragraphs and seeds of the texts of one column, all as word positions of the texts end to end."""
 
     def __init__(self, column: pa.Array):
         data, offsets = buffer_of(column)
         starts, ends, self.first = word_spans(data, offsets)
-        hashes = word_hashes(data, starts, ends)
-        n = len(hashes)
-        self.lines = 0
-        self.text = self.at = self.size = np.zeros(0, np.int64)
-        self.node = self.grams = np.zeros(0, np.uint64)
-        self.near_text = self.near_at = self.near_size = self.probe_text = self.probe_at = self.at
-        self.near_node = self.probe_node = self.near_kind = self.node
-        if n < UNIT:
-            return
-        self.grams = _runs(hashes, SHINGLE)
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.hashes = word_hashes(data, starts, ends)
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        n = len(self.hashes)
+        self.grams = _runs(self.hashes, SHINGLE) if n >= SHINGLE else self.hashes[:0]
         # a line begins at a text's first word and at each word with a line feed between it and the one before
         feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
-        begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (feeds[starts[1:]] > feeds[ends[:-1]])])
-        size = np.diff(np.r_[begin, n])
-        begin, size = begin[size >= UNIT], size[size >= UNIT]
-        up, down = powers(n + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
-        node_of = lambda at, size: mix((total[at + size] - total[at]) * down[at] ^ mix(size.astype(np.uint64)))
-        line_node = node_of(begin, size) & ~np.uint64(1)
-        run = self._whole(text, np.arange(n - UNIT + 1), UNIT)
-        self.lines = len(begin)
-        self.at, self.size = np.r_[begin, run], np.r_[size, np.full(len(run), UNIT)]
-        self.text, self.node = text[self.at], np.r_[line_node, _runs(hashes, UNIT)[run]]
-        self.probe_at = self._whole(text, self._samples(text, n), PROBE)
-        self.probe_text, self.probe_node = text[self.probe_at], _runs(hashes, PROBE)[self.probe_at]
-        parts = [self._segments(text, n, reach) for reach in REACH]
-        cut, length = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # lines, short and long segments of one place overlap: each kind is banded for itself
-        self.near_kind = np.repeat(np.arange(len(parts) + 1, dtype=np.uint64), [len(begin), *(len(x[0]) for x in parts)])
-        self.near_at, self.near_size = np.r_[begin, cut], np.r_[size, length]
-        self.near_text = text[self.near_at]
-        self.near_node = np.r_[line_node, node_of(cut, length) | np.uint64(1)]
-
-    @staticmethod
-    def _whole(text: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
+        self.breaks = np.flatnonzero(np.r_[True, (self.text[1:] != self.text[:-1]) | (feeds[starts[1:]] > feeds[ends[:-1]])]) if n else np.zeros(0, np.int64)
+
+    def _whole(self, where: np.ndarray, width: int) -> np.ndarray:
         """The positions whose ``width`` words end within their text."""
-        where = where[where <= len(text) - width]
-        return where[text[where] == text[where + width - 1]]
+        where = where[where <= len(self.text) - width]
+        return where[self.text[where] == self.text[where + width - 1]]
 
-    def _least(self, text: np.ndarray, n: int, window: int) -> np.ndarray:
+    def _least(self, window: int) -> np.ndarray:
         """The smallest five-word hash of each window of positions; 0 for windows that run over a text's end."""
-        width = window + SHINGLE - 1
+        width, n = window + SHINGLE - 1, len(self.text)
         if n < width:
             return np.zeros(0, np.uint64)
-        return np.where(text[: n - width + 1] == text[width - 1 :], _sliding(self.grams, window, np.minimum), np.uint64(0))
+        return np.where(self.text[: n - width + 1] == self.text[width - 1 :], _sliding(self.grams, window, np.minimum), np.uint64(0))
 
-    def _samples(self, text: np.ndarray, n: int) -> np.ndarray:
-        """Positions that are the smallest of some window; of a stretch of equal neighbours the last and every SAMPLE-th."""
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and nodes of the seeds, in order; of a stretch of equal neighbours the last and every SAMPLE-th."""
+        least = self._least(SAMPLE)
+        if not len(least):
+            return np.zeros(0, np.int64), self.hashes[:0]
         pad = np.zeros(SAMPLE - 1, np.uint64)
-        least = self._least(text, n, SAMPLE)
-        chosen = np.zeros(len(self.grams), bool)
-        if len(least):
-            chosen = _sliding(np.concatenate([pad, least, pad]), SAMPLE, np.maximum) == self.grams
+        chosen = _sliding(np.concatenate([pad, least, pad]), SAMPLE, np.maximum) == self.grams
         same = np.r_[False, self.grams[1:] == self.grams[:-1]]
         where = np.arange(len(same))
         offset = where - np.maximum.accumulate(np.where(same, 0, where))
         chosen &= np.r_[~same[1:], True] | (offset % SAMPLE == 0)
-        return np.flatnonzero(chosen)
+        at = self._whole(np.flatnonzero(chosen), SEED)
+        return at, _runs(self.hashes, SEED)[at] if len(at) else self.hashes[:0]
 
-    def _segments(self, text: np.ndarray, n: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, size) of the segments of UNIT words or more."""
-        window = 2 * reach + 1
-        least = self._least(text, n, window)
+    def _segments(self, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        least = self._least(2 * reach + 1)
         middle = self.grams[reach : reach + len(least)]
         # only the first of equal neighbours cuts
         cuts = reach + np.flatnonzero((least == middle) & (self.grams[reach - 1 : reach - 1 + len(least)] != middle))
-        begin = np.union1d(cuts, np.flatnonzero(np.r_[True, text[1:] != text[:-1]]))
-        size = np.diff(np.r_[begin, n])
-        return begin[size >= UNIT], size[size >= UNIT]
-
-    def positions(self) -> np.ndarray:
-        """The index of each paragraph's first word within its text."""
-        return self.at - self.first[self.text]
-
-    def shingles(self, k: int) -> np.ndarray:
-        """The five-word shingles of a line or segment, in order."""
-        return self.grams[self.near_at[k] : self.near_at[k] + self.near_size[k] - SHINGLE + 1]
-
-    def bands(self) -> np.ndarray:
-        """One hash per line or segment and band."""
-        begin, size = self.near_at, self.near_size
-        if not len(begin):
+        begin = np.union1d(cuts, np.flatnonzero(np.r_[True, self.text[1:] != self.text[:-1]]))
+        return begin, np.diff(np.r_[begin, len(self.text)])
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, size and node of each: lines, whose nodes end in the bits 00, then short and long segments, whose nodes end in 01 and 11."""
+        n = len(self.hashes)
+        if n < LINE:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), self.hashes[:0]
+        kinds = [(self.breaks, np.diff(np.r_[self.breaks, n])), *map(self._segments, REACH)]
+        kinds = [(at[size >= LINE], size[size >= LINE]) for at, size in kinds]
+        at, size = (np.concatenate(x) for x in zip(*kinds, strict=True))
+        up, down = powers(n + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * up[:n])])
+        node = mix((total[at + size] - total[at]) * down[at] ^ mix(size.astype(np.uint64)))
+        kind = np.repeat(np.array([0, 1, 3], np.uint64), [len(x[0]) for x in kinds])
+        return at, size, node & ~np.uint64(3) | kind
+
+    def bands(self, at: np.ndarray, size: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """One hash per paragraph and band."""
+        if not len(at):
             return np.zeros((0, BANDS), np.uint64)
-        cuts = np.stack([begin, begin + size - SHINGLE + 1], axis=1).ravel()
+        cuts = np.stack([at, at + size - SHINGLE + 1], axis=1).ravel()
         padded = np.append(self.grams, self.grams[-1:])
-        least = [np.minimum.reduceat(mix(padded ^ seed), cuts)[::2] for seed in _SEEDS]
+        least = [np.minimum.reduceat(padded * turn + (turn >> np.uint64(7)), cuts)[::2] for turn in _TURNS]
         out = []
         for band in range(BANDS):
-            value = self.near_kind * np.uint64(BANDS) + np.uint64(band + 1)
+            value = (node & np.uint64(3)) * np.uint64(BANDS) + np.uint64(band + 1)
             for row in range(ROWS):
                 value = mix(value + least[band * ROWS + row])
             out.append(value)
@@ -202,29 +180,31 @@ def _docs(df: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, words, node, probe) of every line, segment and probe."""
+    """(doc_id, row, start, words, node, seed) of every paragraph and seed."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(2))
-        text = np.r_[units.near_text, units.probe_text]
-        start = np.r_[units.near_at, units.probe_at] - units.first[text]
-        size, node = np.r_[units.near_size, np.full(len(units.probe_at), PROBE)], np.r_[units.near_node, units.probe_node]
+        at, size, node = units.paragraphs()
+        seed_at, seed = units.seeds()
+        place = np.r_[at, seed_at]
+        text = units.text[place]
+        start, words = place - units.first[text], np.r_[size, np.full(len(seed_at), SEED)]
         of = pa.array(text)
-        kind = np.arange(len(text)) >= len(units.near_text)
-        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(kind)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "words", "node", "probe"])
+        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.r_[node, seed].view(np.int64)), pa.array(np.arange(len(place)) >= len(at))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "words", "node", "seed"])
 
-    return map_batches(docs, step, "doc_id long, row long, start int, words int, node long, probe boolean", "text")
+    return map_batches(docs, step, "doc_id long, row long, start int, words int, node long, seed boolean", "text")
 
 
 def collisions(docs: DataFrame) -> DataFrame:
-    """(cell, node): the bands that two different lines or segments or more collide in, and all of theirs."""
+    """(cell, node): the bands that two different paragraphs or more collide in, and all of theirs."""
 
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
-        _, first = np.unique(units.near_node, return_index=True)
-        bands = units.bands()[first]
-        return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(units.near_node[first], BANDS).view(np.int64))], ["cell", "node"])
+        at, size, node = units.paragraphs()
+        node, first = np.unique(node, return_index=True)
+        bands = units.bands(at[first], size[first], node)
+        return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS).view(np.int64))], ["cell", "node"])
 
     def shared(batches):
         # rows come by band and node; a band's first row goes out once a second node follows
@@ -252,50 +232,29 @@ def collisions(docs: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(shared, "cell long, node long")
 
 
-def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame, ordered: bool = False) -> DataFrame:
-    """(node, items): the five-word shingles of each wanted line or segment, distinct or all in order."""
-    place = found.filter("NOT probe").join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, payload): the five-word shingles of each wanted paragraph, in order."""
+    place = found.filter("NOT seed").join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
     by_text = place.groupBy("at.doc_id", "at.row").agg(F.collect_list("node").alias("nodes"))
-    texts = docs.dropDuplicates(["doc_id", "row"]).join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "nodes")
+    texts = docs.join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "nodes")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
+        at, size, node = units.paragraphs()
         asked = [set(x) for x in batch.column(1).to_pylist()]
-        near = zip(units.near_text.tolist(), units.near_node.view(np.int64).tolist(), strict=True)
-        held = {node: k for k, (text, node) in enumerate(near) if node in asked[text]}
-        items = [(units.shingles(k) if ordered else np.unique(units.shingles(k))).tobytes() for k in held.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
-
-    return map_batches(texts, step, "node long, items binary", "text")
-
-
-def links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): checked pairs of lines and segments that connect all that collide in a band and have Jaccard LEAST or more.
-
-    In each band every line is compared with a pivot. A band whose pivot reaches all is
-    done; the others are joined exactly by pairs of blocks, so that pairs are never listed.
-    """
-    members = saved(collisions(docs), "paragraph-bands")
-    items = saved(contents(docs, found, members.select("node").distinct()), "paragraph-items")
-    others = items.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items"))
-    pivots = members.groupBy("cell").agg(F.min("node").alias("pivot"))
-    met = members.join(pivots.hint("merge"), "cell").filter("node <> pivot")
-    pairs = met.select("node", "pivot").distinct()
-    compared = saved(compared_with_pivots(pairs.join(items.hint("merge"), "node").join(others.hint("merge"), "pivot"), RULE), "paragraph-pairs")
-    near = compared.filter("linked").select("node", "pivot")
-    reached = met.join(near.withColumn("reached", F.lit(True)).hint("merge"), ["node", "pivot"], "left").select("cell", "node", F.col("reached").isNull().alias("open"))
-    live = reached.groupBy("cell").agg(F.count("*").alias("n"), F.max("open").alias("any")).filter("n > 1 AND any").select("cell")
-    rest = saved(reached.join(live.hint("merge"), "cell").select("cell", "node"), "paragraph-cells")
-    more = saved(joined_cells(rest, items, RULE), "paragraph-links")
-    return near.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(more)
-
-
-def extents(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
-    """(node, skip, size): the words of a linked paragraph that a link takes: all between lines, else from the first shared shingle to the last."""
+        all_of = zip(units.text[at].tolist(), node.view(np.int64).tolist(), strict=True)
+        held = {one: k for k, (text, one) in enumerate(all_of) if one in asked[text]}
+        payload = [units.grams[at[k] : at[k] + size[k] - SHINGLE + 1].tobytes() for k in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(payload, pa.binary())], ["node", "payload"])
+
+    return map_batches(texts, step, "node long, payload binary", "text").dropDuplicates(["node"])
+
+
+def extents(near: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, skip, last): the words of a linked paragraph that a link takes: all between lines, else from the first shared shingle to the last."""
     both = near.filter("a <> b").union(near.filter("a <> b").select("b", "a")).distinct()
-    part = saved(both.filter("(a & 1) + (b & 1) > 0"), "paragraph-mixed")
-    items = saved(contents(docs, found, part.select(F.col("a").alias("node")).distinct(), True), "paragraph-orders")
-    own, other = items.select(F.col("node").alias("a"), F.col("items").alias("mine")), items.select(F.col("node").alias("b"), F.col("items").alias("theirs"))
+    own, other = held.select(F.col("node").alias("a"), F.col("payload").alias("mine")), held.select(F.col("node").alias("b"), F.col("payload").alias("theirs"))
+    part = both.filter("(a & 1) + (b & 1) > 0")
     pairs = part.join(own.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "mine", "theirs")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -312,53 +271,85 @@ def extents(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     return cut.union(whole).groupBy("node").agg(F.min("skip").alias("skip"), F.max("last").alias("last"))
 
 
-def repeated_runs(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(doc_id, row, start, words, keep) of the runs that an earlier document holds; held: doc_id, row, start, gone of repeated probes."""
-    starts = held.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "gone")).alias("starts"))
-    texts = docs.dropDuplicates(["doc_id", "row"]).join(starts.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "starts")
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        units = Units(batch.column(2))
-        node, text, start = (x[units.lines :] for x in (units.node, units.text, units.positions()))
-        first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        of, at, asked = [], [], []
-        for k, starts in enumerate(batch.column(3).to_pylist()):
-            n = first[k + 1] - first[k]
-            here, ask = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-            for x in starts:
-                lo, hi = min(max(x["start"] + PROBE - UNIT, 0), n), min(x["start"] + 1, n)
-                for marks in (here, ask) if x["gone"] else (here,):
-                    marks[lo] += 1
-                    marks[hi] -= 1
-            here, ask = np.cumsum(here)[:n], np.cumsum(ask)[:n]
-            where = np.flatnonzero(here)
-            of.append(np.full(len(where), k))
-            at.append(first[k] + where)
-            asked.append(ask[where] > 0)
-        of, at, asked = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((of, np.int64), (at, np.int64), (asked, bool)))
-        columns = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(start[at].astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(asked)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "node", "asked"])
-
-    dense = saved(map_batches(texts, step, "doc_id long, row long, start int, node long, asked boolean", "text"), "paragraph-dense")
-    least = dense.groupBy("node").agg(F.min("doc_id").alias("keep"), F.max(F.when(F.col("asked"), F.col("doc_id"))).alias("hi")).filter("keep < hi").select("node", "keep")
-    return dense.filter("asked").join(least.hint("merge"), "node").filter("doc_id > keep").select("doc_id", "row", "start", F.lit(UNIT).alias("words"), "keep")
+def common_runs(own: np.ndarray, at: np.ndarray, nodes: np.ndarray, other: np.ndarray, first_at: np.ndarray, first_nodes: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of the stretches of ``own`` words around its seeds on which ``other`` agrees; first_nodes: other's seeds in order, with their first places."""
+    out: list[tuple[int, int]] = []
+    if not len(first_nodes):
+        return out
+    k = np.minimum(np.searchsorted(first_nodes, nodes), len(first_nodes) - 1)
+    shift, upto = None, 0
+    for i, j in zip(at[first_nodes[k] == nodes].tolist(), first_at[k[first_nodes[k] == nodes]].tolist(), strict=True):
+        if i - j == shift and i < upto or not (own[i : i + SEED] == other[j : j + SEED]).all():
+            continue
+        back, ahead = min(i, j), min(len(own) - i, len(other) - j)
+        unlike = np.flatnonzero(own[i - back : i] != other[j - back : j])
+        begin = i - back + (int(unlike[-1]) + 1 if len(unlike) else 0)
+        unlike = np.flatnonzero(own[i : i + ahead] != other[j : j + ahead])
+        shift, upto = i - j, i + (int(unlike[0]) if len(unlike) else ahead)
+        out.append((begin, upto))
+    return out
+
+
+def repeats(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, row, start, words, keep) of the stretches that a text shares, around a seed, with an earlier one; pairs: doc_id, row, keep, keep_row, distinct."""
+    sizes = saved(pairs.groupBy("keep", "keep_row").agg(F.count("*").alias("n")), "keepers")
+    parts = F.ceil(F.col("n") / F.lit(SPREAD)).cast("int")
+    members = pairs.join(sizes.hint("merge"), ["keep", "keep_row"]).select("doc_id", "row", "keep", "keep_row", F.pmod(F.xxhash64("doc_id", "row"), parts).cast("int").alias("part"), F.lit(True).alias("member"))
+    own = sizes.select(F.col("keep").alias("doc_id"), F.col("keep_row").alias("row"), "keep", "keep_row", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("member"))
+    sent = docs.join(members.union(own).hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "keep", "keep_row", "part", "member", "text")
+    names = ["doc_id", "row", "start", "words", "keep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earlier = None  # words, first places and nodes of the text that the next ones are held against
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                units = Units(part.column(6))
+                at, node = units.seeds()
+                cuts = np.searchsorted(at, units.first)
+                of, spans = [], []
+                for k, member in enumerate(part.column(5).to_pylist()):
+                    words = units.hashes[units.first[k] : units.first[k + 1]]
+                    places, nodes = at[cuts[k] : cuts[k + 1]] - units.first[k], node[cuts[k] : cuts[k + 1]]
+                    if member:
+                        got = common_runs(words, places, nodes, *earlier)
+                        of += [k] * len(got)
+                        spans += got
+                    else:
+                        distinct, first = np.unique(nodes, return_index=True)
+                        earlier = words.copy(), places[first], distinct
+                rows = part.select(["doc_id", "row", "keep"]).take(pa.array(of, pa.int32()))
+                start, last = (pa.array([s[x] for s in spans], pa.int32()) for x in (0, 1))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), start, pc.subtract(last, start), rows.column(2)], names)
+
+    ordered = sent.repartition("keep", "keep_row", "part").sortWithinPartitions("keep", "keep_row", "part", "member")
+    return ordered.mapInArrow(run, "doc_id long, row long, start int, words int, keep long")
 
 
 def removals(df: DataFrame) -> DataFrame:
     """(doc_id, row, spans): for each text that loses words, the spans (words first to last - 1) and the documents that keep them."""
     docs = _docs(df)
     found = saved(occurrences(docs), "paragraphs")
-    near = saved(links(docs, found), "paragraph-near")
+    # exact repeats
+    least = found.filter("seed").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.max("doc_id").alias("hi")).filter("at.doc_id < hi")
+    least = saved(least.select("node", F.col("at.doc_id").alias("keep"), F.col("at.row").alias("keep_row")), "repeated-seeds")
+    pairs = saved(found.filter("seed").join(least.hint("merge"), "node").filter("doc_id > keep").select("doc_id", "row", "keep", "keep_row").distinct(), "repeating-texts")
+    exact = saved(repeats(docs, pairs), "paragraph-repeats")
+    drop_saved(least)
+    # near repeats
+    cells = saved(collisions(docs), "paragraph-bands")
+    held = saved(contents(docs, found, cells.select("node").distinct()), "paragraph-contents")
+    near = saved(connected(cells, held, stored_sets, RULE), "paragraph-near")
+    drop_saved(cells)
     roots = components(near)
-    seen = found.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    seen = found.filter("NOT seed").groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     rooted = seen.join(roots.hint("merge"), "node", "left").filter("lo < hi OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     rooted = saved(rooted, "paragraph-nodes")
-    kept = rooted.groupBy("root").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi")
-    by_node = rooted.join(kept.select("root", "keep").hint("merge"), "root").join(extents(docs, found, near).hint("merge"), "node", "left").select("node", "keep", "skip", "last")
-    held = saved(found.join(by_node.hint("merge"), "node"), "paragraph-held")
+    kept = saved(rooted.groupBy("root").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi").select("root", "keep"), "paragraph-keepers")
+    taken = saved(extents(near, held), "paragraph-extents")
+    by_node = saved(rooted.join(kept.hint("merge"), "root").join(taken.hint("merge"), "node", "left").select("node", "keep", "skip", "last"), "paragraph-removed")
     size = F.least("words", F.coalesce("last", "words")) - F.coalesce("skip", F.lit(0))
-    gone = held.filter("doc_id > keep AND NOT probe").select("doc_id", "row", (F.col("start") + F.coalesce("skip", F.lit(0))).alias("start"), size.alias("words"), "keep")
-    gone = gone.union(repeated_runs(docs, held.filter("probe").select("doc_id", "row", "start", (F.col("doc_id") > F.col("keep")).alias("gone"))))
+    gone = found.filter("NOT seed").join(by_node.hint("merge"), "node").filter("doc_id > keep")
+    gone = gone.select("doc_id", "row", (F.col("start") + F.coalesce("skip", F.lit(0))).alias("start"), size.alias("words"), "keep").union(exact)
     grouped = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "words", "keep"))).alias("units"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -15,22 +15,24 @@ def grams(unit):
     return {tuple(unit[k : k + P.SHINGLE]) for k in range(len(unit) - P.SHINGLE + 1)}
 
 
-def paragraphs(text):
-    """(first word, words) of the lines; the anchored runs' places come from Units, which test_anchors checks."""
+def paragraphs(text, segments):
+    """(first word, words, kind) of lines and, where asked for, of segments; the latter's places come from Units, which test_segments checks."""
     said = (text or "").lower().split()
     at = 0
     for line in (text or "").split("\n"):
         n = len(line.split())
-        if n >= P.UNIT:
-            yield at, tuple(said[at : at + n]), True
+        if n >= P.LINE:
+            yield at, tuple(said[at : at + n]), "line"
         at += n
-    units = P.Units(pa.array([text]))
-    for at in units.positions()[units.lines :].tolist():
-        yield at, tuple(said[at : at + P.UNIT]), False
+    if segments:
+        where, size, node = P.Units(pa.array([text])).paragraphs()
+        for k in np.flatnonzero(node & np.uint64(1)):
+            yield int(where[k]), tuple(said[where[k] : where[k] + size[k]]), "segment"
 
 
-def brute(rows, near=True):
-    places = [(doc, at, (unit, line)) for doc, text in rows for at, unit, line in paragraphs(text)]
+def near(rows, segments):
+    """Words that near repeats of paragraphs take."""
+    places = [(doc, at, (unit, kind)) for doc, text in rows for at, unit, kind in paragraphs(text, segments)]
     nodes = sorted({p[2] for p in places})
     root = {n: n for n in nodes}
 
@@ -39,10 +41,9 @@ def brute(rows, near=True):
             n = root[n]
         return n
 
-    lines = [n for n in nodes if n[1]] if near else []
-    sets = {n: grams(n[0]) for n in lines}
-    for i, a in enumerate(lines):
-        for b in lines[:i]:
+    sets = {n: grams(n[0]) for n in nodes}
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
             if sets[a] & sets[b] and len(sets[a] & sets[b]) >= P.LEAST * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
     keep = {}
@@ -55,6 +56,15 @@ def brute(rows, near=True):
     return gone
 
 
+def repeated(rows, size):
+    """doc_id: the starts of its runs of that many words which an earlier document holds."""
+    first, said = {}, {doc: (text or "").lower().split() for doc, text in rows}
+    for doc in sorted(said):
+        for k in range(len(said[doc]) - size + 1):
+            first.setdefault(tuple(said[doc][k : k + size]), doc)
+    return {doc: [k for k in range(len(w) - size + 1) if first[tuple(w[k : k + size])] < doc] for doc, w in said.items()}
+
+
 def corpus(seed=4):
     rng = random.Random(seed)
     rows = [[k, words(rng, rng.choice([5, 30, 120, 400]))] for k in range(60)]
@@ -86,11 +96,13 @@ def covered(got):
 
 
 def check(got, rows):
-    """All exact repeats, nothing that isn't a repeat, and near repeats by the bands' recall."""
-    exact, every = brute(rows, False), brute(rows)
-    assert all(exact[k] <= got.get(k, set()) for k in exact)
-    assert all(v <= every.get(k, set()) for k, v in got.items())
-    assert sum(map(len, got.values())) >= 0.97 * sum(map(len, every.values()))
+    """No repeated run of UNIT words stays whole, nothing goes that isn't a repeat, and near repeats of lines go by the bands' recall."""
+    for doc, starts in repeated(rows, P.UNIT).items():
+        assert all(got.get(doc, set()) & set(range(k, k + P.UNIT)) for k in starts)
+    shared = {doc: {w for k in starts for w in range(k, k + P.SEED)} for doc, starts in repeated(rows, P.SEED).items()}
+    every, lines = near(rows, True), near(rows, False)
+    assert all(v <= every.get(k, set()) | shared[k] for k, v in got.items())
+    assert sum(len(got.get(k, set()) & v) for k, v in lines.items()) >= 0.97 * sum(map(len, lines.values()))
 
 
 def test_removed_words_by_brute_force(spark):
@@ -128,17 +140,40 @@ def test_odd_rows(spark):
     assert P.deduplicated(df).filter(F.col("doc_id") == 5).count() == 2
 
 
-def test_anchors_by_the_definition():
+def test_seeds_and_segments_by_the_definition():
     rng = random.Random(2)
     said = words(rng, 300)
     units = P.Units(pa.array([" ".join(said[:3]), " ".join(said), " ".join(said[100:160])]))
-    own = P.Units(pa.array([" ".join(said)]))
-    g = own.grams.tolist()
-    want = sorted({min(range(j, j + P.WINDOW), key=lambda k: g[k]) for j in range(len(g) - P.WINDOW + 1)})
-    want = [k for k in want if k + P.UNIT <= 300]
-    assert units.positions()[units.lines :][units.text[units.lines :] == 1].tolist() == want
-    shifted = {k - 100 for k in want if k >= 100}
-    assert shifted & set(units.positions()[units.lines :][units.text[units.lines :] == 2].tolist())
+    g = P.Units(pa.array([" ".join(said)])).grams.tolist()
+    want = sorted({min(range(j, j + P.SAMPLE), key=lambda k: g[k]) for j in range(len(g) - P.SAMPLE + 1)})
+    want = [k for k in want if k + P.SEED <= 300]
+    at, node = units.seeds()
+    assert (at[units.text[at] == 1] - units.first[1]).tolist() == want
+    whole = [k for k in range(300 - P.UNIT + 1) if any(k <= s and s + P.SEED <= k + P.UNIT for s in want)]
+    assert whole == list(range(300 - P.UNIT + 1))
+    assert {k - 100 for k in want if k >= 100} & set((at[units.text[at] == 2] - units.first[2]).tolist())
+    at, size, node = units.paragraphs()
+    for reach, kind in zip(P.REACH, (1, 3), strict=True):
+        own = (units.text[at] == 1) & (node & np.uint64(3) == kind)
+        cuts = [0, *(k for k in range(reach, len(g) - reach) if g[k] == min(g[k - reach : k + reach + 1])), 300]
+        assert [(int(a - units.first[1]), int(n)) for a, n in zip(at[own], size[own], strict=True)] == [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b - a >= P.LINE]
+
+
+def test_common_runs_of_periodic_and_equal_texts():
+    own = P.mix(np.arange(100, dtype=np.uint64) % np.uint64(7))
+    seeds = np.arange(0, 76, 17)
+    nodes = P._runs(own, P.SEED)[seeds]
+    distinct, first = np.unique(nodes, return_index=True)
+    assert P.common_runs(own, seeds, nodes, own, seeds[first], distinct)[0] == (0, 100)
+    assert P.common_runs(own, seeds, nodes, own, seeds[:0], nodes[:0]) == []
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    said = words(rng, 150_000)
+    rows = [(1, " ".join(said)), (2, " ".join(said[:70_000] + ["cut"] + said[70_000:])), (3, " ".join(words(rng, 40) + said[500:560]))]
+    got = covered(P.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got[2]) >= 150_000 and got[3] == set(range(40, 100)) and 1 not in got
 
 
 def test_bands_are_tuned():
@@ -149,7 +184,7 @@ def test_bands_are_tuned():
     for row in base:
         other = row.copy()
         other[:11] = rng.integers(0, 1 << 63, 11, dtype=np.uint64)  # Jaccard 89 / 111
-        least = [[P.mix(x ^ s).min() for s in P._SEEDS] for x in (row, other)]
+        least = [[(x * t + (t >> np.uint64(7))).min() for t in P._TURNS] for x in (row, other)]
         met += any(least[0][b * P.ROWS : (b + 1) * P.ROWS] == least[1][b * P.ROWS : (b + 1) * P.ROWS] for b in range(P.BANDS))
     assert met >= 0.9 * 400
 
