@@ -202,7 +202,8 @@ def collisions(docs: DataFrame) -> DataFrame:
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
         at, size, node = units.paragraphs()
-        node, first = np.unique(node, return_index=True)
+        first = np.sort(np.unique(node, return_index=True)[1])  # in the text's order, so that minima are taken over short stretches
+        node = node[first]
         bands = units.bands(at[first], size[first], node)
         return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS).view(np.int64))], ["cell", "node"])
 
@@ -234,7 +235,7 @@ def collisions(docs: DataFrame) -> DataFrame:
 
 def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, payload): the five-word shingles of each wanted paragraph, in order."""
-    place = found.filter("NOT seed").join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+    place = found.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
     by_text = place.groupBy("at.doc_id", "at.row").agg(F.collect_list("node").alias("nodes"))
     texts = docs.join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "nodes")
 
@@ -335,20 +336,22 @@ def removals(df: DataFrame) -> DataFrame:
     pairs = saved(found.filter("seed").join(least.hint("merge"), "node").filter("doc_id > keep").select("doc_id", "row", "keep", "keep_row").distinct(), "repeating-texts")
     exact = saved(repeats(docs, pairs), "paragraph-repeats")
     drop_saved(least)
+    seeded, found = found, saved(found.filter("NOT seed").drop("seed"), "paragraph-places")
+    drop_saved(seeded)
     # near repeats
     cells = saved(collisions(docs), "paragraph-bands")
     held = saved(contents(docs, found, cells.select("node").distinct()), "paragraph-contents")
     near = saved(connected(cells, held, stored_sets, RULE), "paragraph-near")
     drop_saved(cells)
     roots = components(near)
-    seen = found.filter("NOT seed").groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    seen = found.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     rooted = seen.join(roots.hint("merge"), "node", "left").filter("lo < hi OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     rooted = saved(rooted, "paragraph-nodes")
     kept = saved(rooted.groupBy("root").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi").select("root", "keep"), "paragraph-keepers")
     taken = saved(extents(near, held), "paragraph-extents")
     by_node = saved(rooted.join(kept.hint("merge"), "root").join(taken.hint("merge"), "node", "left").select("node", "keep", "skip", "last"), "paragraph-removed")
     size = F.least("words", F.coalesce("last", "words")) - F.coalesce("skip", F.lit(0))
-    gone = found.filter("NOT seed").join(by_node.hint("merge"), "node").filter("doc_id > keep")
+    gone = found.join(by_node.hint("merge"), "node").filter("doc_id > keep")
     gone = gone.select("doc_id", "row", (F.col("start") + F.coalesce("skip", F.lit(0))).alias("start"), size.alias("words"), "keep").union(exact)
     grouped = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "words", "keep"))).alias("units"))
 

@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 from quern.llm.shared import SLICE_BYTES, drop_saved, saved, slices
 
 #: Open members of a ring that are joined without another pivot; members of a block; members that stream past one copy of a pivot.
-LEAF = 1024
-BLOCK = 128
+LEAF = 512
+BLOCK = 512
 SPREAD = 1024
+#: Elements of sets, and columns of an incidence matrix, that one step of a comparison holds.
+ELEMENTS = 2 << 20
+WIDTH = 1 << 13
 #: What a column of payloads (texts, or sets as bytes) holds: sorted arrays of distinct hashes.
 Sets = Callable[[pa.Array], list[np.ndarray]]
 
@@ -107,23 +110,27 @@ def compared(pairs: DataFrame, held: DataFrame, sets_of: Sets, rule: Rule) -> Da
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the sets share."""
+    """How many elements each two of the sets share; large sets are taken by ranges of their hashes."""
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = times[element] > 1
-    owner, element = owner[keep], element[keep]
-    out = np.zeros((n, n), np.float32)
-    if not len(element):
-        return out.astype(np.int64)
-    order = np.argsort(element, kind="stable")
-    owner, element = owner[order], np.cumsum(np.r_[0, np.diff(element[order]) > 0])
-    width = 1 << 14  # columns of the incidence matrix at once
-    cuts = np.searchsorted(element, np.arange(0, element[-1] + 1 + width, width))
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        dense = np.zeros((n, width), np.float32)
-        dense[owner[a:b], element[a:b] - k * width] = 1
-        out += dense @ dense.T
+    out = np.zeros((n, n), np.float64)
+    steps = max(1, -(-sum(map(len, sets)) // ELEMENTS))
+    edges = [np.uint64((1 << 64) * k // steps) for k in range(1, steps)]
+    cuts = [np.r_[0, np.searchsorted(s, edges), len(s)].astype(np.int64) for s in sets] if edges else [np.array([0, len(s)]) for s in sets]
+    for step in range(steps):
+        parts = [s[c[step] : c[step + 1]] for s, c in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(n), [len(x) for x in parts])
+        _, element, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        keep = times[element] > 1
+        owner, element = owner[keep], element[keep]
+        if not len(element):
+            continue
+        order = np.argsort(element, kind="stable")
+        owner, element = owner[order], np.cumsum(np.r_[0, np.diff(element[order]) > 0])
+        at = np.searchsorted(element, np.arange(0, element[-1] + 1 + WIDTH, WIDTH))
+        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            dense = np.zeros((n, WIDTH), np.float32)
+            dense[owner[a:b], element[a:b] - k * WIDTH] = 1
+            out += dense @ dense.T
     return out.astype(np.int64)
 
 
