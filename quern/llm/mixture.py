@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, how: Mix) -> DataFrame:
 def used_pieces(made: Plan, how: Mix) -> DataFrame:
     """pieces() with ``uses``: how many slots took their block."""
     uses = made.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    return pieces(made.docs, how).join(uses, ["sid", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)).cast("long"))
+    return pieces(made.docs, how).join(uses.hint("merge"), ["sid", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)).cast("long"))
 
 
 def taken(df: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
@@ -174,12 +174,12 @@ def mixed_documents(df: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
     got = used_pieces(made, how).filter("uses > 0").groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("skip", "words", "uses"))).alias("_taken"))
     # rows that tie in (source, doc_id, size) are numbered on both sides
     tie = ["sid", "doc_id", "size"]
-    left = key.join(got, ["sid", "start"]).withColumn("_nth", F.row_number().over(Window.partitionBy(*tie).orderBy("start")))
+    left = key.join(got.hint("merge"), ["sid", "start"]).withColumn("_nth", F.row_number().over(Window.partitionBy(*tie).orderBy("start")))
     rows = df.alias("d").join(made.sources.select("sid", F.col("source").alias("_source")).alias("s"), F.col("d.source").eqNullSafe(F.col("s._source"))).drop("_source")
     right = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("sid", "doc_id", "_size").orderBy("text")))
     left = left.select(*[F.col(c).alias(f"_k_{c}") for c in tie], F.col("_nth").alias("_k_nth"), "_taken")
     on = [F.col("sid") == F.col("_k_sid"), F.col("doc_id").eqNullSafe(F.col("_k_doc_id")), F.col("_size") == F.col("_k_size"), F.col("_nth") == F.col("_k_nth")]
-    met = right.join(left, on).select(*[F.col(c) for c in df.columns if c != "_size"], "_taken")
+    met = right.join(left.hint("merge"), on).select(*[F.col(c) for c in df.columns if c != "_size"], "_taken")
     names = [c for c in df.columns if c != "_size"]
     at = names.index("text")
 
