@@ -61,14 +61,14 @@ class Table:
 
     def __init__(self, folder: str, kind: str, sizes: tuple, columns: dict[str, str]):
         self.keys = [mapped(folder, f"{kind}{k}.hash", "<u8") for k in range(len(sizes))]
-        self.columns = {name: [mapped(folder, f"{kind}{k}.{name}", dtype) for k in range(len(sizes))] for name, dtype in columns.items()}
+        self.columns = {name: [mapped(folder, f"{kind}{k}.{name}", dtype.get(k, "<u4") if isinstance(dtype, dict) else dtype) for k in range(len(sizes))] for name, dtype in columns.items()}
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def find(self, sorted_hashes: np.ndarray, *names: str) -> tuple[np.ndarray, ...]:
         """Ranks of hashes that come in order (-1: absent), and the named columns' values (0: absent)."""
         n = len(sorted_hashes)
         rank = np.full(n, -1, np.int64)
-        values = [np.zeros(n, self.columns[name][0].dtype) for name in names]
+        values = [np.zeros(n, np.result_type(*self.columns[name])) for name in names]
         cuts = np.searchsorted(shard_of(sorted_hashes, len(self.keys)), np.arange(len(self.keys) + 1, dtype=np.uint64))
         for k, keys in enumerate(self.keys):
             a, b = cuts[k], cuts[k + 1]
@@ -122,7 +122,7 @@ def _counted(df: DataFrame, shards: int, keys_of: Callable[[pa.Array], np.ndarra
             cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
             for k in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[k], cuts[k + 1])
-                row = [pa.array([int(k)], pa.int32()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([counts[part].astype("<u4").tobytes()], pa.binary())]
+                row = [pa.array([int(k)], pa.int32()), pa.array([keys[part].tobytes()], pa.binary()), pa.array([counts[part].astype("<u8").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, ["shard", "keys", "counts"])
 
         for batch in batches:
@@ -152,7 +152,7 @@ def _by_shard(df: DataFrame, shards: int, merge: Callable[[int, list], Iterator[
         if rows:
             yield from merge(now, rows)
 
-    return df.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return df.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 def _row(*values) -> pa.RecordBatch:
@@ -162,7 +162,7 @@ def _row(*values) -> pa.RecordBatch:
 
 def _merged(rows: list) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([np.frombuffer(r[0], "<u8") for r in rows])
-    counts = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(r[1], "<u8") for r in rows]).astype(np.int64)
     return summed(keys, counts)
 
 
@@ -188,6 +188,8 @@ class Model(NamedTuple):
     folder: str
     word_sizes: tuple
     pair_sizes: tuple
+    #: Shards of pairs whose counts need 64 bits.
+    wide: tuple
     tokens: int
     texts: int
     words: int
@@ -207,8 +209,8 @@ def _words(folder: str, sizes: tuple, whole: bool) -> Table:
 
 
 @lru_cache(maxsize=1)
-def _pairs(folder: str, sizes: tuple) -> Table:
-    return Table(folder, "p", sizes, {"count": "<u4"})
+def _pairs(folder: str, sizes: tuple, wide: tuple) -> Table:
+    return Table(folder, "p", sizes, {"count": dict.fromkeys(wide, "<u8")})
 
 
 def _ranks(tokens: np.ndarray, words: Table, *names: str) -> list[np.ndarray]:
@@ -261,7 +263,8 @@ def fit(df: DataFrame, folder: str | None = None) -> Model:
     def write_pairs(shard: int, rows: list) -> Iterator[pa.RecordBatch]:
         keys, counts = _merged(rows)
         put(folder, f"p{shard}.hash", keys)
-        put(folder, f"p{shard}.count", counts.astype("<u4"))
+        large = bool(len(counts) and counts.max() >= 1 << 32)
+        put(folder, f"p{shard}.count", counts.astype("<u8" if large else "<u4"))
         pair = unmix(keys)
         before, after = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
         tally = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
@@ -271,17 +274,18 @@ def fit(df: DataFrame, folder: str | None = None) -> Model:
         for k in range(shards):
             parts = [(ranks[c[k] : c[k + 1]].astype(np.int64) - base[k], n[c[k] : c[k + 1]]) for (ranks, n), c in zip(by, cuts, strict=True)]
             packed = [x for ranks, n in parts for x in (len(ranks), _pack(np.diff(ranks, prepend=0)), _pack(n))]
-            yield _row(k, *packed, *(tally if k == 0 else [0] * 4), shard if k == 0 else -1, len(keys) if k == 0 else 0)
+            yield _row(k, *packed, *(tally if k == 0 else [0] * 4), shard if k == 0 else -1, len(keys) if k == 0 else 0, int(large and k == 0))
 
     fields = ", ".join(f"n{k} long, ranks{k} binary, counts{k} binary" for k in range(4))
-    schema = f"shard long, {fields}, t1 long, t2 long, t3 long, t4 long, pairs_shard long, pairs long"
+    schema = f"shard long, {fields}, t1 long, t2 long, t3 long, t4 long, pairs_shard long, pairs long, large long"
     partial = saved(_by_shard(_counted(df, shards, pairs_of), shards, write_pairs, schema), "ngram-partial")
-    heads = partial.filter("pairs_shard >= 0").select("t1", "t2", "t3", "t4", "pairs_shard", "pairs").collect()
+    heads = partial.filter("pairs_shard >= 0").select("t1", "t2", "t3", "t4", "pairs_shard", "pairs", "large").collect()
     sizes = {r.pairs_shard: r.pairs for r in heads}
     for k in set(range(shards)) - sizes.keys():
         put(folder, f"p{k}.hash", np.zeros(0, np.uint64))
         put(folder, f"p{k}.count", np.zeros(0, np.uint32))
     pair_sizes = tuple(sizes.get(k, 0) for k in range(shards))
+    wide = tuple(r.pairs_shard for r in heads if r.large)
     pair_discounts = discounts([sum(r[k] for r in heads) for k in range(4)])
 
     def write_contexts(shard: int, rows: list) -> Iterator[pa.RecordBatch]:
@@ -310,7 +314,7 @@ def fit(df: DataFrame, folder: str | None = None) -> Model:
     word_discounts = discounts(total)
     pairs = sum(pair_sizes)
     left = (word_discounts[0] * total[0] + word_discounts[1] * total[1] + word_discounts[2] * total[4]) / pairs if pairs else 1.0
-    return Model(folder, word_sizes, pair_sizes, tokens, texts, words, pairs, pair_discounts, word_discounts, left)
+    return Model(folder, word_sizes, pair_sizes, wide, tokens, texts, words, pairs, pair_discounts, word_discounts, left)
 
 
 # Scoring
@@ -338,7 +342,7 @@ def log_chances(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
         pair_count = np.zeros(len(rank), np.int64)
         both = np.flatnonzero(known & (before >= 0))
         distinct, at = np.unique(pair_hash(before[both], rank[both]), return_inverse=True)
-        pair_count[both] = _pairs(model.folder, model.pair_sizes).find(distinct, "count")[1][at]
+        pair_count[both] = _pairs(model.folder, model.pair_sizes, model.wide).find(distinct, "count")[1][at]
         met = context_count > 0
         higher = _discounted(pair_count, model.pair_discounts) / np.where(met, context_count, 1) + context_left * chance
         chance = np.where(met, higher, chance)
