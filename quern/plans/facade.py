@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import canonical_url, snippet
+from quern.functions.text import snippet
 from quern.operators import search as S
 from quern.plans.common import Book
 from quern.plans.retrieval import LEXICAL
+from quern.plans.texts import SIGNED_SQL, signed_url_all
 from quern.views import chunks, query_terms, table
 
 BOOK = Book()
@@ -51,7 +52,7 @@ def dictionary_expand(spark, sf_dir):
 
 
 @BOOK.query("search_api", rf"""WITH {LEXICAL}, hit AS (SELECT * FROM lexical ORDER BY score DESC, page_id, chunk_id LIMIT 20)
-  SELECT hit.chunk_id, hit.page_id, hit.score, substring(regexp_replace(chunk.text, '(?:https?:)?//[^\s)\]>''"]*', '[link]', 'g'), 1, 200) AS snippet FROM hit JOIN chunk USING (chunk_id)""")
+  SELECT hit.chunk_id, hit.page_id, hit.score, substring(regexp_replace(chunk.text, '(?:https?:)?//[^\s)\]>''"]*', '[link omitted]', 'g'), 1, 200) AS snippet FROM hit JOIN chunk USING (chunk_id)""")
 def search_api(spark, sf_dir):
     """Validated request, ranked hits, then snippets for those alone."""
     docs = chunks(spark, sf_dir)
@@ -68,9 +69,7 @@ BOOK.sql("page_properties", """SELECT event_id, event_type AS title, JGET(props
 BOOK.sql("confirmation_gate", """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 100000 THEN 'confirm' WHEN o_orderstatus = 'P' THEN 'refuse' ELSE 'allow' END AS decision FROM orders""")
 
 
-@BOOK.query("signed_url", "SELECT page_id, url || '?a=1' AS canonical FROM pages WHERE position('?' IN url) = 0 AND position('#' IN url) = 0")
+@BOOK.query("signed_url", SIGNED_SQL)
 def signed_url(spark, sf_dir):
     """Every page's address, signed, comes back without the signature."""
-    bare = table(spark, sf_dir, "pages").filter("instr(url, '?') = 0 AND instr(url, '#') = 0")
-    signed = F.concat("url", F.lit("?X-Amz-Date=20240101&a=1&X-Amz-Signature="), F.sha2("url", 256))
-    return bare.select("page_id", canonical_url(signed).alias("canonical"))
+    return signed_url_all(spark, sf_dir)

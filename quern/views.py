@@ -37,3 +37,28 @@ def query_terms(spark: SparkSession, sf_dir: str, item: int = 0, most: int = 3)
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     row = vectors(spark, sf_dir).filter(F.col("chunk_id") == vec_id).select("vector").first()
     return list(row[0]) if row and row[0] else []
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as metadata rows of pages, with properties of every type."""
+    key, priority, status = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    fields = {"kind": "string", "text": "string", "number": "double", "flag": "boolean", "start": "string", "items": "array<string>"}
+
+    def prop(kind: str, **value):
+        return F.struct(F.lit(kind).alias("kind"), *[value.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields.items() if n != "kind"])
+
+    dated = F.when(key % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    due = F.when(key % 8 == 7, prop("text", text=dated)).otherwise(prop("date", start=dated))
+    owner = F.concat(F.lit("c"), (F.col("o_custkey") % 10).cast("string"))
+    always = [F.lit("status"), prop("text", text=status), F.lit("price"), prop("number", number=F.col("o_totalprice")), F.lit("urgent"), prop("flag", flag=priority == "1-URGENT"), F.lit("due"), due]
+    lists = [F.lit("tags"), prop("strings", items=F.array(status, priority)), F.lit("owners"), prop("person_ids", items=F.array(owner))]
+    pairs = F.create_map(*always, *lists)
+    return table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("page_id"),
+        priority.alias("root_id"),
+        status.alias("workspace_id"),
+        F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("d"), (F.col("o_custkey") % 7).cast("string"))).alias("database_id"),
+        F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string"))).alias("data_source_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_edited"),
+        F.when(key % 4 == 0, F.map_concat(pairs, F.create_map(F.lit("note"), prop("null")))).otherwise(pairs).alias("properties"),
+    )
