@@ -8,7 +8,8 @@ first hint at or after its due time, or by the end of the input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 SCHEMA = "page long, batch long, events long, first_ms long, due_ms long, newest_event long"
 
 
-def fold(hints: list[tuple[int, int]], quiet: int, cap: int) -> Iterator[tuple]:
+def fold(hints: Iterable[tuple[int, int]], quiet: int, cap: int) -> Iterator[tuple]:
     """(batch, events, first_ms, due_ms, newest_event) of (ms, event_id) in order of arrival."""
     batch, first, due, newest, seen = 0, None, 0, None, set()
     for ms, event in hints:
@@ -35,19 +36,20 @@ def fold(hints: list[tuple[int, int]], quiet: int, cap: int) -> Iterator[tuple]:
 
 
 def debounce(hints: DataFrame, quiet_ms: int, cap_ms: int) -> DataFrame:
-    """Batches of hints (page, event_id, ms). Spark sorts each page's hints before they reach the fold, which streams over them."""
+    """Batches of hints (page, event_id, ms). A page's hints stream past in order of arrival (a column of that name, else their instants); what is held is the open batch."""
+    columns = ["page", "batch", "events", "first_ms", "due_ms", "newest_event"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, held, out = None, [], []
-        for part in parts:
-            for p, ms, event in zip(part["page"], part["ms"], part["event_id"], strict=True):
-                if p != page:
-                    out += [(page, *b) for b in fold(held, quiet_ms, cap_ms)]
-                    page, held = p, []
-                held.append((ms, event))
-            yield pd.DataFrame(out, columns=["page", "batch", "events", "first_ms", "due_ms", "newest_event"])
-            out = []
-        yield pd.DataFrame([(page, *b) for b in fold(held, quiet_ms, cap_ms)], columns=["page", "batch", "events", "first_ms", "due_ms", "newest_event"])
+        out = []
+        rows = (row for part in parts for row in zip(part["page"], part["ms"], part["event_id"], strict=True))
+        for page, own in groupby(rows, key=lambda row: row[0]):
+            for batch in fold(((ms, event) for _, ms, event in own), quiet_ms, cap_ms):
+                out.append((page, *batch))
+                if len(out) == 8192:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
 
     known = hints.filter("page IS NOT NULL AND event_id IS NOT NULL AND ms IS NOT NULL")
-    return known.repartition("page").sortWithinPartitions("page", "ms", "event_id").select("page", "ms", "event_id").mapInPandas(run, SCHEMA)
+    order = ["arrival", "event_id"] if "arrival" in hints.columns else ["ms", "event_id"]
+    return known.repartition("page").sortWithinPartitions("page", *order).select("page", "ms", "event_id").mapInPandas(run, SCHEMA)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 CUTOFFS = (1, 3, 5, 10)
 DIGITS = 9
+#: Means of rounded values are rounded further, so that halves don't depend on how they are summed.
+MEAN_DIGITS = 6
 
 
 def best(candidates: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
@@ -45,7 +47,7 @@ def metrics(queries: DataFrame, ranking: DataFrame, judgments: DataFrame, top_k:
 def macro(per_query: DataFrame) -> DataFrame:
     """The mean over all queries, those without hits included."""
     names = [c for c in per_query.columns if c != "query"]
-    return per_query.agg(*[F.round(F.avg(c), DIGITS).alias(c) for c in names], F.count("*").alias("queries"))
+    return per_query.agg(*[F.round(F.avg(c), MEAN_DIGITS).alias(c) for c in names], F.count("*").alias("queries"))
 
 
 def hits_at(ranking: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
@@ -58,7 +60,7 @@ def cohorts(per_query: DataFrame, about: DataFrame, *names: str) -> DataFrame:
     """Means of per_query's metrics by each of the named attributes of queries (query, names) in turn: attribute, value, and the means."""
     metrics = [c for c in per_query.columns if c != "query"]
     met = per_query.join(about, "query")
-    parts = [met.groupBy(F.lit(n).alias("attribute"), F.col(n).cast("string").alias("value")).agg(F.count("*").alias("queries"), *[F.round(F.avg(c), DIGITS).alias(c) for c in metrics]) for n in names]
+    parts = [met.groupBy(F.lit(n).alias("attribute"), F.col(n).cast("string").alias("value")).agg(F.count("*").alias("queries"), *[F.round(F.avg(c), MEAN_DIGITS).alias(c) for c in metrics]) for n in names]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -92,7 +94,7 @@ def boost_gate(baseline: DataFrame, boosted: DataFrame, judgments: DataFrame, gu
     """One row: the mean lift of nDCG@3, guards (query, doc) whose rank fell, and the decision."""
     queries = baseline.select("query").union(boosted.select("query")).distinct()
     then = metrics(queries, boosted, judgments, 3).select("query", F.col("ndcg3").alias("after"))
-    lift = metrics(queries, baseline, judgments, 3).select("query", F.col("ndcg3").alias("before")).join(then, "query").agg(F.round(F.avg(F.col("after") - F.col("before")), DIGITS).alias("lift"))
+    lift = metrics(queries, baseline, judgments, 3).select("query", F.col("ndcg3").alias("before")).join(then, "query").agg(F.round(F.avg(F.col("after") - F.col("before")), MEAN_DIGITS).alias("lift"))
     moved = guards.join(baseline.select("query", "doc", F.col("rank").alias("was")).hint("merge"), ["query", "doc"]).join(boosted.select("query", "doc", F.col("rank").alias("now")).hint("merge"), ["query", "doc"], "left")
     fell = moved.agg(F.count_if(F.col("now").isNull() | (F.col("now") > F.col("was"))).alias("regressions"))
     return lift.crossJoin(fell).withColumn("decision", F.when((F.col("lift") > least) & (F.col("regressions") == 0), "enable").otherwise("keep_disabled"))  # one row each

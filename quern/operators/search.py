@@ -205,8 +205,9 @@ def bm25(chunks: DataFrame, field: str, terms: list[str]) -> DataFrame:
     """
     if not terms:
         raise ValueError("a query needs a term")
-    words = tokens(F.col(field))
-    counted = chunks.withColumns({"_dl": F.size(words)} | {f"_tf{k}": _uses(words, t) for k, t in enumerate(terms)})
+    # the generator keeps the tokens in a column of their own: each pass over the text makes them once, not once per use
+    worded = chunks.select("*", F.explode(F.array(tokens(F.col(field)))).alias("_words"))
+    counted = worded.withColumns({"_dl": F.size("_words")} | {f"_tf{k}": _uses(F.col("_words"), t) for k, t in enumerate(terms)})
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_tf{k}") > 0).cast("long")).alias(f"_df{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k in range(len(terms)):

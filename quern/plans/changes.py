@@ -25,15 +25,15 @@ BOOK.sql("drift_counts", f"""WITH {DIFF} SELECT CAST(count(*) AS BIGINT) AS tota
 BOOK.sql("page_diff", f"""WITH {SAME} SELECT coalesce(p.page, n.page) AS page, CASE WHEN p.page IS NULL THEN 'added' WHEN n.page IS NULL THEN 'removed' WHEN SHA(p.body) = SHA(n.body) THEN 'skipped' ELSE 'changed' END AS action
   FROM prev p FULL JOIN next n ON p.page = n.page""")
 BOOK.sql("snapshot_merge", f"""WITH {SAME}, live AS (SELECT page, parent, body FROM next WHERE NOT trashed)
-  SELECT page, parent, body FROM live UNION ALL SELECT page, parent, body FROM prev WHERE page NOT IN (SELECT page FROM next) AND page % 2 = 0""")
+  SELECT page, parent, body FROM live UNION ALL SELECT page, parent, body FROM prev WHERE NOT EXISTS (SELECT 1 FROM next WHERE next.page = prev.page) AND page % 2 = 0""")
 BOOK.sql("revision_check", f"""WITH {SAME} SELECT p.page, CASE WHEN n.page IS NULL THEN 'missing' WHEN n.trashed THEN 'archived' WHEN SHA(p.body) <> SHA(n.body) THEN 'conflict' ELSE 'accepted' END AS outcome FROM prev p LEFT JOIN next n ON p.page = n.page""")
 BOOK.sql("source_freshness", f"""WITH {SAME} SELECT p.page, CASE WHEN n.page IS NULL THEN 'unknown' WHEN p.body <> n.body OR p.title <> n.title THEN 'stale' ELSE 'fresh' END AS freshness FROM prev p LEFT JOIN next n ON p.page = n.page""")
 BOOK.sql("settled_hits", "SELECT o_orderkey AS page, MILLIS(o_orderdate) AS edited_ms, o_orderkey % 300 AS fetched_after_s, o_orderkey % 300 >= 120 AS settled FROM orders WHERE o_orderdate IS NOT NULL")
 BOOK.sql("unreached_held", """WITH owned AS (SELECT c_custkey AS page, c_nationkey AS parent FROM customer),
   refused AS (SELECT n_nationkey AS parent FROM nation WHERE n_regionkey = 2), known AS (SELECT n_nationkey AS parent FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0),
-  held AS (SELECT page FROM owned WHERE parent IN (SELECT parent FROM refused) AND parent NOT IN (SELECT parent FROM known)),
-  readable AS (SELECT page FROM owned WHERE parent NOT IN (SELECT parent FROM refused) AND page % 10 <> 0)
-  SELECT page, CASE WHEN page IN (SELECT page FROM held) THEN 'held' ELSE 'unreached' END AS state FROM owned WHERE page NOT IN (SELECT page FROM readable)""")
+  held AS (SELECT page FROM owned o WHERE EXISTS (SELECT 1 FROM refused r WHERE r.parent = o.parent) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.parent = o.parent)),
+  readable AS (SELECT page FROM owned o WHERE NOT EXISTS (SELECT 1 FROM refused r WHERE r.parent = o.parent) AND page % 10 <> 0)
+  SELECT o.page, CASE WHEN h.page IS NOT NULL THEN 'held' ELSE 'unreached' END AS state FROM owned o LEFT JOIN held h ON h.page = o.page WHERE NOT EXISTS (SELECT 1 FROM readable r WHERE r.page = o.page)""")
 BOOK.sql("run_journal_counts", """SELECT o_orderstatus AS status, o_orderpriority AS action, CAST(count(*) AS BIGINT) AS work, CAST(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) AS BIGINT) AS applied FROM orders GROUP BY o_orderstatus, o_orderpriority""")
 BOOK.sql("success_runs", "SELECT c_mktsegment, max(o_orderkey) AS last_run, CAST(count(*) AS BIGINT) AS runs FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY c_mktsegment")
 BOOK.sql("high_water", "SELECT o_orderpriority, MILLIS(max(o_orderdate)) AS high_water_ms FROM orders GROUP BY o_orderpriority")

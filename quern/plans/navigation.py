@@ -50,7 +50,7 @@ BOOK.sql("relation_edges", """SELECT DISTINCT 'o' || l_orderkey AS source, 'p' |
   FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 5) kept ON l_partkey = p_partkey""")
 BOOK.sql("edge_family_replace", """WITH stored AS (SELECT l_orderkey AS page, l_partkey AS target, CASE WHEN l_linenumber <= 2 THEN 'relation' ELSE 'link' END AS family FROM lineitem),
   incoming AS (SELECT o_orderkey AS page, o_custkey AS target, 'relation' AS family FROM orders WHERE o_orderstatus = 'F')
-  SELECT page, target, family FROM stored WHERE NOT (family = 'relation' AND page IN (SELECT page FROM incoming)) UNION SELECT page, target, family FROM incoming""")
+  SELECT page, target, family FROM stored WHERE family <> 'relation' UNION SELECT page, target, family FROM stored WHERE family = 'relation' AND NOT EXISTS (SELECT 1 FROM incoming WHERE incoming.page = stored.page) UNION SELECT page, target, family FROM incoming""")
 BOOK.sql("alias_lookup", r"""SELECT DISTINCT lower(trim(REPALL(p_name ; '[ ]+' ; ' '))) AS alias, p_partkey AS page FROM part WHERE p_name IS NOT NULL AND length(trim(p_name)) BETWEEN 1 AND 256""")
 BOOK.sql("alias_all_roots", r"""SELECT alias, CAST(count(DISTINCT page) AS BIGINT) AS pages, min(page) AS first_page FROM (
   SELECT lower(trim(p_name)) AS alias, p_partkey AS page FROM part UNION SELECT lower(trim(c_name)), c_custkey FROM customer UNION SELECT lower(trim(s_name)), s_suppkey FROM supplier) a GROUP BY alias""")

@@ -83,3 +83,9 @@ def test_ivf_reaches_its_recall_over_all_queries(spark):
     assert len(exact) == 30 * 20 and len(found & exact) / len(exact) == pytest.approx(recall) and recall >= 0.9
     one = S.nearest(v, rows[50][1], 20).collect()
     assert {(50, r.chunk_id) for r in one} == {x for x in exact if x[0] == 50}
+
+
+def test_late_hints_join_without_moving_the_due_time(spark):
+    rows = [(1, 1, 1000, 0), (1, 2, 900, 1), (1, 3, 1500, 2)]
+    got = debounce(spark.createDataFrame(rows, "page long, event_id long, ms long, arrival long"), 700, 3000).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 3, 1000, 2200, 3)]
