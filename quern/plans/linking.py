@@ -42,7 +42,7 @@ turn AS (SELECT a.pos, target, row_number() OVER (PARTITION BY unit ORDER BY tar
 phrase AS (SELECT target, row_number() OVER (ORDER BY min(i * 1000 + pos)) - 1 AS ordinal FROM turn GROUP BY target QUALIFY row_number() OVER (ORDER BY min(i * 1000 + pos)) <= 8),
 spaced AS (SELECT chunk_id, page_id, 'title' AS field, 2 AS band, ' ' || regexp_replace(lower(title), '[^\p{L}\p{N}]+', '  ', 'g') || ' ' AS t FROM chunk UNION ALL SELECT chunk_id, page_id, 'text', 1, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]+', '  ', 'g') || ' ' FROM chunk),
 counted AS (SELECT *, (length(t) - length(replace(t, ' ' || replace(target, ' ', '  ') || ' ', ''))) / CAST(length(target) + 2 + length(target) - length(replace(target, ' ', '')) AS DOUBLE) AS n FROM spaced, phrase),
-hit AS (SELECT chunk_id, page_id, score, FALSE AS generated, NULL AS ordinal, field FROM (SELECT * FROM lexical ORDER BY score DESC, page_id, chunk_id LIMIT 100)
+hit AS (SELECT chunk_id, page_id, score, FALSE AS generated, NULL AS ordinal, field FROM (SELECT * FROM lexical ORDER BY score DESC, page_id, chunk_id LIMIT 20)
   UNION ALL SELECT chunk_id, page_id, round(band + n / (1 + n), 6), TRUE, ordinal, field FROM counted WHERE n > 0),
 one AS (SELECT page_id, chunk_id, max(score) AS score, bool_or(NOT generated) AS raw, CAST(count(DISTINCT ordinal) AS BIGINT) AS generated, CAST(min(ordinal) AS BIGINT) AS earliest,
   string_agg(CASE WHEN generated THEN 'g' || ordinal ELSE 'raw' END || '/' || field, ',' ORDER BY generated, ordinal, field) AS evidence FROM hit GROUP BY page_id, chunk_id)"""
@@ -58,7 +58,7 @@ def lexical_expanded(spark, sf_dir):
     made = X.plan(asked[0] if asked else "", edges)
     docs = chunks(spark, sf_dir)
     none = F.lit(None).cast("int")
-    raw = S.lexical(docs, query_terms(spark, sf_dir), 100)
+    raw = S.lexical(docs, query_terms(spark, sf_dir), 20)
     hits = raw.select("chunk_id", "page_id", "score", F.struct(F.lit(False).alias("generated"), none.alias("ordinal"), "field").alias("evidence"))
     more = X.phrase_hits(docs, list(made.phrases)) if made.phrases else None
     return X.merged(hits if more is None else hits.unionByName(more), 50)
