@@ -9,7 +9,8 @@ is marked as a random-access point.
 Defined results: a null text is an empty one; an empty payload can't occur in the query,
 as texts are padded to 64 bytes at least, and gives a stream of tables alone in mux().
 A stream that breaks the format (lost sync, bad table CRC, no program) gives a row with
-``error`` set and no payload; gaps in the continuity counters are counted, not fatal.
+``error`` set and no payload; gaps in the continuity counters, repeated and damaged
+packets are counted, not fatal.
 Rows are independent: ties, repeated rows and clashing extra columns change nothing.
 """
 
@@ -117,25 +118,50 @@ class BadStream(ValueError):
 
 
 def _table(packets: np.ndarray, pid: np.ndarray, wanted: int, table_id: int) -> bytes:
-    at = np.flatnonzero((pid == wanted) & (packets[:, 1] & 0x40 > 0))
-    if not len(at):
-        raise BadStream(f"no table {table_id}")
-    raw = packets[at[0]].tobytes()
-    start = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-    start += 1 + raw[start]
-    section = raw[start : start + 3 + ((raw[start + 1] & 0x0F) << 8 | raw[start + 2])]
-    if section[0] != table_id or table_crc(section):
-        raise BadStream(f"bad table {table_id}")
-    return section
+    """The first whole section of a PID with that table id, put together from as many packets as it takes."""
+    section = b""
+    for packet in packets[np.flatnonzero((pid == wanted) & (packets[:, 3] & 0x10 > 0))]:
+        raw = packet.tobytes()
+        start = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
+        begins = raw[1] & 0x40 > 0
+        if begins:
+            start += 1 + raw[start]
+        elif not section:
+            continue
+        section = raw[start:] if begins and not (section and len(section) < 3) else section + raw[start:]
+        while len(section) >= 3 and section[0] != 0xFF:
+            size = 3 + ((section[1] & 0x0F) << 8 | section[2])
+            if len(section) < size:
+                break
+            if table_crc(section[:size]):
+                raise BadStream(f"bad table {table_id}")
+            if section[0] == table_id:
+                return section[:size]
+            section = section[size:]
+        else:
+            section = b""
+    raise BadStream(f"no table {table_id}")
 
 
 def demux(media: bytes) -> dict:
-    """Program, continuity, payload and units of a stream; raises BadStream."""
+    """Program, continuity, payload and units of a stream; raises BadStream.
+
+    The first stream of the first program is read; other programs, streams and tables are
+    passed over. Packets marked as damaged are left out and counted. A packet that repeats
+    the one before it (same counter, same payload) is dropped and counted; other jumps of
+    the counter are gaps, but where a discontinuity is announced. Units of length 0 go on
+    to the next one. What comes before the first unit's start (a stream that is entered in
+    its middle) is passed over. A unit without a time stamp has none.
+    """
     if not media or len(media) % PACKET:
         raise BadStream("not whole packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != SYNC).any():
         raise BadStream("lost sync")
+    total = len(packets)
+    damaged = packets[:, 1] & 0x80 > 0
+    number = np.flatnonzero(~damaged)
+    packets = packets[number]
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
     pat = _table(packets, pid, PAT_PID, 0)
     programs = [((pat[i] << 8 | pat[i + 1]), (pat[i + 2] & 0x1F) << 8 | pat[i + 3]) for i in range(8, len(pat) - 4, 4)]
@@ -144,14 +170,21 @@ def demux(media: bytes) -> dict:
         raise BadStream("no program")
     pmt = _table(packets, pid, programs[0][1], 2)
     at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
+    if at + 5 > len(pmt) - 4:
+        raise BadStream("no stream")
     stream_type, data_pid = pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
 
     where = np.flatnonzero((pid == data_pid) & (packets[:, 3] & 0x10 > 0))
     own = packets[where]
-    counters = own[:, 3] & 0x0F
-    gaps = int(((counters[1:].astype(np.int32) - counters[:-1]) % 16 != 1).sum()) if len(own) else 0
-    adapted = own[:, 3] & 0x20 > 0
-    start = 4 + np.where(adapted, own[:, 4].astype(np.int64) + 1, 0)
+    adapted = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0)
+    start = np.minimum(4 + np.where(own[:, 3] & 0x20 > 0, own[:, 4].astype(np.int64) + 1, 0), PACKET)
+    counters = own[:, 3].astype(np.int32) & 0x0F
+    step = np.diff(counters) % 16
+    payloads = np.where(np.arange(PACKET) >= start[:, None], own, 0)
+    repeat = np.r_[False, (step == 0) & (start[1:] == start[:-1]) & (payloads[1:] == payloads[:-1]).all(axis=1)] if len(own) else np.zeros(0, bool)
+    where, own, adapted, start, counters = where[~repeat], own[~repeat], adapted[~repeat], start[~repeat], counters[~repeat]
+    announced = adapted & (own[:, 5] & 0x80 > 0)
+    gaps = int(((np.diff(counters) % 16 != 1) & ~announced[1:]).sum()) if len(own) else 0
     elementary = own[np.arange(PACKET) >= start[:, None]].tobytes()
     begins = np.concatenate([[0], np.cumsum(PACKET - start)])
     heads = np.flatnonzero(own[:, 1] & 0x40 > 0)
@@ -160,22 +193,26 @@ def demux(media: bytes) -> dict:
     for k, head in enumerate(heads):
         end = begins[heads[k + 1]] if k + 1 < len(heads) else begins[-1]
         pes = elementary[begins[head] : end]
-        if pes[:3] != b"\x00\x00\x01" or len(pes) < 14:
+        if pes[:3] != b"\x00\x00\x01" or len(pes) < 9 or len(pes) < 9 + pes[8]:
             raise BadStream("bad PES start")
-        body = pes[9 + pes[8] : 6 + (pes[4] << 8 | pes[5])]
-        units.append({"pts": _read_stamp(pes[9:14]), "packet": int(where[head]), "bytes": len(body), "random_access": bool(random_access[k])})
+        size = pes[4] << 8 | pes[5]
+        body = pes[9 + pes[8] : 6 + size if size else None]
+        stamped = pes[7] & 0x80 and pes[8] >= 5
+        units.append({"pts": _read_stamp(pes[9:14]) if stamped else None, "packet": int(number[where[head]]), "bytes": len(body), "random_access": bool(random_access[k])})
         payload.append(body)
-    return {"program": programs[0][0], "pid": data_pid, "stream_type": stream_type, "packets": len(packets), "gaps": gaps, "payload": b"".join(payload), "units": units}
+    return {"program": programs[0][0], "pid": data_pid, "stream_type": stream_type, "packets": total, "damaged": int(damaged.sum()), "repeats": int(repeat.sum()), "gaps": gaps, "payload": b"".join(payload), "units": units}
 
 
 MEDIA = "media binary"
-READ = "program int, pid int, stream_type int, packets long, gaps long, payload binary, units array<struct<pts:long,packet:long,bytes:long,random_access:boolean>>, error string"
+READ = "program int, pid int, stream_type int, packets long, damaged long, repeats long, gaps long, payload binary, units array<struct<pts:long,packet:long,bytes:long,random_access:boolean>>, error string"
 _READ_TYPE = pa.struct(
     [
         ("program", pa.int32()),
         ("pid", pa.int32()),
         ("stream_type", pa.int32()),
         ("packets", pa.int64()),
+        ("damaged", pa.int64()),
+        ("repeats", pa.int64()),
         ("gaps", pa.int64()),
         ("payload", pa.binary()),
         ("units", pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("bytes", pa.int64()), ("random_access", pa.bool_())]))),
