@@ -201,6 +201,8 @@ def connected(members: DataFrame, held: DataFrame, sets_of: Sets, rule: Rule) ->
 
     members: cell long, node long, distinct; held: node, payload (null-free) of each of the nodes.
     """
+    if not members.limit(1).count():
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
     everything = F.lit((1 << 62)).cast("long")
     regions = pivoted(members)
     pairs = regions.select("cell", "pivot", "node", F.lit(0).cast("long").alias("mask"), everything.alias("was"))
