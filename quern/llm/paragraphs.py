@@ -39,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -292,13 +291,14 @@ def common_runs(own: np.ndarray, at: np.ndarray, nodes: np.ndarray, other: np.nd
 
 
 def repeats(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, words, keep) of the stretches that a text shares, around a seed, with an earlier one; pairs: doc_id, row, keep, keep_row, distinct."""
+    """(doc_id, row, runs, keep): one row for each pair, with the stretches that the text shares, around a seed, with the earlier one; pairs: doc_id, row, keep, keep_row, distinct."""
     sizes = saved(pairs.groupBy("keep", "keep_row").agg(F.count("*").alias("n")), "keepers")
     parts = F.ceil(F.col("n") / F.lit(SPREAD)).cast("int")
     members = pairs.join(sizes.hint("merge"), ["keep", "keep_row"]).select("doc_id", "row", "keep", "keep_row", F.pmod(F.xxhash64("doc_id", "row"), parts).cast("int").alias("part"), F.lit(True).alias("member"))
     own = sizes.select(F.col("keep").alias("doc_id"), F.col("keep_row").alias("row"), "keep", "keep_row", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("member"))
     sent = docs.join(members.union(own).hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "keep", "keep_row", "part", "member", "text")
-    names = ["doc_id", "row", "start", "words", "keep"]
+    names = ["doc_id", "row", "runs", "keep"]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier = None  # words, first places and nodes of the text that the next ones are held against
@@ -307,23 +307,23 @@ def repeats(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 units = Units(part.column(6))
                 at, node = units.seeds()
                 cuts = np.searchsorted(at, units.first)
-                of, spans = [], []
+                of, runs = [], []
                 for k, member in enumerate(part.column(5).to_pylist()):
                     words = units.hashes[units.first[k] : units.first[k + 1]]
                     places, nodes = at[cuts[k] : cuts[k + 1]] - units.first[k], node[cuts[k] : cuts[k + 1]]
                     if member:
                         got = common_runs(words, places, nodes, *earlier)
-                        of += [k] * len(got)
-                        spans += got
+                        if got:
+                            of.append(k)
+                            runs.append([{"start": begin, "words": end - begin} for begin, end in got])
                     else:
                         distinct, first = np.unique(nodes, return_index=True)
                         earlier = words.copy(), places[first], distinct
                 rows = part.select(["doc_id", "row", "keep"]).take(pa.array(of, pa.int32()))
-                start, last = (pa.array([s[x] for s in spans], pa.int32()) for x in (0, 1))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), start, pc.subtract(last, start), rows.column(2)], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(runs, kind), rows.column(2)], names)
 
     ordered = sent.repartition("keep", "keep_row", "part").sortWithinPartitions("keep", "keep_row", "part", "member")
-    return ordered.mapInArrow(run, "doc_id long, row long, start int, words int, keep long")
+    return ordered.mapInArrow(run, "doc_id long, row long, runs array<struct<start:int,words:int>>, keep long")
 
 
 def removals(df: DataFrame) -> DataFrame:
@@ -352,20 +352,20 @@ def removals(df: DataFrame) -> DataFrame:
     by_node = saved(rooted.join(kept.hint("merge"), "root").join(taken.hint("merge"), "node", "left").select("node", "keep", "skip", "last"), "paragraph-removed")
     size = F.least("words", F.coalesce("last", "words")) - F.coalesce("skip", F.lit(0))
     gone = found.join(by_node.hint("merge"), "node").filter("doc_id > keep")
-    gone = gone.select("doc_id", "row", (F.col("start") + F.coalesce("skip", F.lit(0))).alias("start"), size.alias("words"), "keep").union(exact)
-    grouped = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "words", "keep"))).alias("units"))
+    run = F.struct((F.col("start") + F.coalesce("skip", F.lit(0))).alias("start"), size.alias("words"))
+    gone = gone.select("doc_id", "row", F.array(run).alias("runs"), "keep").union(exact)
+    grouped = gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("runs", "keep")).alias("units"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for units in batch.column(2).to_pylist():
             spans: list[dict] = []
-            for unit in units:
-                start, end = unit["start"], unit["start"] + unit["words"]
+            for start, words, keep in sorted((r["start"], r["words"], unit["keep"]) for unit in units for r in unit["runs"]):
                 if spans and start <= spans[-1]["last"]:
-                    spans[-1]["last"] = max(end, spans[-1]["last"])
-                    spans[-1]["kept"].add(unit["keep"])
+                    spans[-1]["last"] = max(start + words, spans[-1]["last"])
+                    spans[-1]["kept"].add(keep)
                 else:
-                    spans.append({"first": start, "last": end, "kept": {unit["keep"]}})
+                    spans.append({"first": start, "last": start + words, "kept": {keep}})
             out.append([s | {"kept": sorted(s["kept"])} for s in spans])
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kept", pa.list_(pa.int64()))]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc_id", "row", "spans"])
