@@ -172,7 +172,7 @@ def joined_rings(rings: DataFrame, held: DataFrame, sets_of: Sets, rule: Rule) -
     dealt = dealt.select("cell", "at.i", "at.j", "node", "mask").join(held.hint("merge"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        table = table.sort_by("node").combine_chunks()  # the forest follows the order of members, so that reruns agree
         if table.num_rows < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         nodes, mask = (table.column(k).to_numpy() for k in ("node", "mask"))
