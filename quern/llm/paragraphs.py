@@ -36,6 +36,7 @@ its first place. Extra columns are ignored or, in deduplicated(), kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ SAMPLE = UNIT - SEED + 1
 REACH = (24, 72)
 SHINGLE = 5
 BANDS, ROWS = 9, 4
+#: Bands that are dealt in one shuffle, which bounds the disk that they take.
+AT_ONCE = 3
 LEAST = 0.8
 RULE = Rule(words=SHINGLE, percent=round(100 * LEAST))
 #: Documents that stream past one copy of an earlier text.
@@ -154,18 +157,17 @@ class Units:
         kind = np.repeat(np.array([0, 1, 3], np.uint64), [len(x[0]) for x in kinds])
         return at, size, node & ~np.uint64(3) | kind
 
-    def bands(self, at: np.ndarray, size: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """One hash per paragraph and band."""
+    def bands(self, at: np.ndarray, size: np.ndarray, node: np.ndarray, asked: range = range(BANDS)) -> np.ndarray:
+        """One hash per paragraph and asked band."""
         if not len(at):
-            return np.zeros((0, BANDS), np.uint64)
+            return np.zeros((0, len(asked)), np.uint64)
         cuts = np.stack([at, at + size - SHINGLE + 1], axis=1).ravel()
         padded = np.append(self.grams, self.grams[-1:])
-        least = [np.minimum.reduceat(padded * turn + (turn >> np.uint64(7)), cuts)[::2] for turn in _TURNS]
         out = []
-        for band in range(BANDS):
+        for band in asked:
             value = (node & np.uint64(3)) * np.uint64(BANDS) + np.uint64(band + 1)
-            for row in range(ROWS):
-                value = mix(value + least[band * ROWS + row])
+            for turn in _TURNS[band * ROWS : (band + 1) * ROWS]:
+                value = mix(value + np.minimum.reduceat(padded * turn + (turn >> np.uint64(7)), cuts)[::2])
             out.append(value)
         return np.stack(out, axis=1)
 
@@ -195,16 +197,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return map_batches(docs, step, "doc_id long, row long, start int, words int, node long, seed boolean", "text")
 
 
-def collisions(docs: DataFrame) -> DataFrame:
-    """(cell, node): the bands that two different paragraphs or more collide in, and all of theirs."""
+def collisions(docs: DataFrame, asked: range = range(BANDS)) -> DataFrame:
+    """(cell, node): the asked bands that two different paragraphs or more collide in, and all of theirs."""
 
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
         at, size, node = units.paragraphs()
         first = np.sort(np.unique(node, return_index=True)[1])  # in the text's order, so that minima are taken over short stretches
         node = node[first]
-        bands = units.bands(at[first], size[first], node)
-        return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS).view(np.int64))], ["cell", "node"])
+        bands = units.bands(at[first], size[first], node, asked)
+        return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(node, len(asked)).view(np.int64))], ["cell", "node"])
 
     def shared(batches):
         # rows come by band and node; a band's first row goes out once a second node follows
@@ -236,7 +238,8 @@ def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, payload): the five-word shingles of each wanted paragraph, in order."""
     place = found.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"))
     by_text = place.groupBy("at.doc_id", "at.row").agg(F.collect_list("node").alias("nodes"))
-    texts = docs.join(by_text.hint("merge"), ["doc_id", "row"]).select("text", "nodes")
+    # equal rows go here, where they already meet, and not once their shingles are made
+    texts = docs.join(by_text.hint("merge"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("text", "nodes")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(0))
@@ -247,7 +250,7 @@ def contents(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
         payload = [units.grams[at[k] : at[k] + size[k] - SHINGLE + 1].tobytes() for k in held.values()]
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(payload, pa.binary())], ["node", "payload"])
 
-    return map_batches(texts, step, "node long, payload binary", "text").dropDuplicates(["node"])
+    return map_batches(texts, step, "node long, payload binary", "text")
 
 
 def extents(near: DataFrame, held: DataFrame) -> DataFrame:
@@ -339,10 +342,12 @@ def removals(df: DataFrame) -> DataFrame:
     seeded, found = found, saved(found.filter("NOT seed").drop("seed"), "paragraph-places")
     drop_saved(seeded)
     # near repeats
-    cells = saved(collisions(docs), "paragraph-bands")
+    rounds = [saved(collisions(docs, range(k, min(k + AT_ONCE, BANDS))), "paragraph-bands") for k in range(0, BANDS, AT_ONCE)]
+    cells = reduce(DataFrame.union, rounds)
     held = saved(contents(docs, found, cells.select("node").distinct()), "paragraph-contents")
     near = saved(connected(cells, held, stored_sets, RULE), "paragraph-near")
-    drop_saved(cells)
+    for done in rounds:
+        drop_saved(done)
     roots = components(near)
     seen = found.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     rooted = seen.join(roots.hint("merge"), "node", "left").filter("lo < hi OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
