@@ -59,8 +59,8 @@ class Rule(NamedTuple):
 
 
 def stored_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sets from a binary column of their hashes."""
-    return [np.frombuffer(x.as_buffer(), "<u8") for x in column]
+    """Sets from a binary column of hashes, which may be repeated and in any order."""
+    return [np.unique(np.frombuffer(x.as_buffer(), "<u8")) for x in column]
 
 
 def pivoted(members: DataFrame) -> DataFrame:
