@@ -128,7 +128,8 @@ class Units:
             return np.zeros(0, np.int64), self.hashes[:0]
         pad = np.zeros(SAMPLE - 1, np.uint64)
         chosen = _sliding(np.concatenate([pad, least, pad]), SAMPLE, np.maximum) == self.grams
-        same = np.r_[False, self.grams[1:] == self.grams[:-1]]
+        # neighbours of one text only, so that seeds don't depend on the texts before and after
+        same = np.r_[False, (self.grams[1:] == self.grams[:-1]) & (self.text[: -SHINGLE] == self.text[SHINGLE:])]
         where = np.arange(len(same))
         offset = where - np.maximum.accumulate(np.where(same, 0, where))
         chosen &= np.r_[~same[1:], True] | (offset % SAMPLE == 0)

@@ -228,3 +228,34 @@ def test_near_repeats_inside_lines_and_over_line_breaks(spark):
 
 def test_near_recall_is_high():
     assert P.recall(P.LEAST) >= 0.99
+
+
+def test_units_do_not_depend_on_the_texts_beside():
+    rng = random.Random(8)
+    texts = ["The " * n for n in (200, 61, 40, 333)] + [" ".join(words(rng, 90)) + " The" * 70, "The " * 70 + " ".join(words(rng, 90)), "", None]
+    alone = {}
+    for text in texts:
+        units = P.Units(pa.array([text], pa.string()))
+        alone[text] = [x.tolist() for x in (*units.paragraphs(), *units.seeds())]
+    for _ in range(20):
+        rng.shuffle(texts)
+        units = P.Units(pa.array(texts, pa.string()))
+        (at, size, node), (seed_at, seed) = units.paragraphs(), units.seeds()
+        for k, text in enumerate(texts):
+            mine, own = units.text[at] == k, units.text[seed_at] == k
+            got = [at[mine] - units.first[k], size[mine], node[mine], seed_at[own] - units.first[k], seed[own]]
+            assert [x.tolist() for x in got] == alone[text]
+
+
+def test_repeated_shingles_count_once(spark):
+    rng = random.Random(9)
+    refrain = words(rng, 6)
+    # equal sets of shingles, repeated 8 and 20 times; and a line that shares less than 0.8 distinct ones though most of its words
+    lines = [" ".join(refrain * 8), " ".join(refrain * 20), " ".join(refrain * 8 + words(rng, 12))]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = covered(P.removed_spans(df).collect())
+    assert got[1] == set(range(120))
+    # of the third only what it repeats word by word
+    assert got[2] <= set(range(48))
+    held = pa.array([np.array([5, 3, 5, 9, 3], "<u8").tobytes()], pa.binary())
+    assert P.stored_sets(held)[0].tolist() == [3, 5, 9]
