@@ -126,10 +126,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
             continue
         order = np.argsort(element, kind="stable")
         owner, element = owner[order], np.cumsum(np.r_[0, np.diff(element[order]) > 0])
-        at = np.searchsorted(element, np.arange(0, element[-1] + 1 + WIDTH, WIDTH))
+        width = min(WIDTH, int(element[-1]) + 1)
+        at = np.searchsorted(element, np.arange(0, element[-1] + 1 + width, width))
         for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            dense = np.zeros((n, WIDTH), np.float32)
-            dense[owner[a:b], element[a:b] - k * WIDTH] = 1
+            dense = np.zeros((n, width), np.float32)
+            dense[owner[a:b], element[a:b] - k * width] = 1
             out += dense @ dense.T
     return out.astype(np.int64)
 
