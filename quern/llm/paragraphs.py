@@ -55,7 +55,7 @@ REACH = (24, 72)
 SHINGLE = 5
 BANDS, ROWS = 9, 4
 #: Bands that are dealt in one shuffle, which bounds the disk that they take.
-AT_ONCE = 3
+AT_ONCE = 5
 LEAST = 0.8
 RULE = Rule(words=SHINGLE, percent=round(100 * LEAST))
 #: Documents that stream past one copy of an earlier text.
