@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, pieces, rollups, smallworld, transport
+from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, periods, pieces, rollups, smallworld, transport
 from quern.llm.shared import shared_dir, table, tokenizer_file
 
 
@@ -67,6 +67,11 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periods.run_digest(docs.select("doc_id", periods.looped(F.col("text"), F.col("doc_id")).alias("text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_paragraph_dedup": op8_paragraph_dedup,
         "op9_vector_near_dups": op9_vector_near_dups,
         "op10_source_mixture": op10_source_mixture,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
