@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, periods, pieces, rollups, smallworld, transport
+from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, periods, pieces, repair, rollups, smallworld, transport
 from quern.llm.shared import shared_dir, table, tokenizer_file
 
 
@@ -67,6 +67,11 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_digest(repair.damaged(given), given)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periods.run_digest(docs.select("doc_id", periods.looped(F.col("text"), F.col("doc_id")).alias("text")))
@@ -84,13 +89,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_paragraph_dedup": op8_paragraph_dedup,
         "op9_vector_near_dups": op9_vector_near_dups,
         "op10_source_mixture": op10_source_mixture,
+        "op11_conversation_repair": op11_conversation_repair,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op3_token_rollups": OP3_SQL}
+    return {"op1_chat_format": OP1_SQL, "op3_token_rollups": OP3_SQL, "op11_conversation_repair": OP11_SQL}
 
 
 #: The learned text and the turns straight from the table; what escaping adds is counted, as in the template.
@@ -141,3 +147,64 @@ FROM counted LEFT JOIN marked USING (doc_id) WHERE coalesce(toxic, 0) <> 1 GROUP
 UNION ALL
 SELECT source, lang, 'letters@2', CAST(count(*) AS BIGINT), CAST(sum(letters) AS BIGINT) FROM counted GROUP BY source, lang
 """
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text of ASCII characters as DuckDB reckons it, bit by bit."""
+    bit = "list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: {bit}), 4294967295)"
+
+
+#: The cheapest edits forwards, turn by turn: of each state's ways the least by cost, then by letters. ins has up to two
+#: turns put in before a turn (or at the end), act what may be done with it.
+OP11_SQL = rf"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM own, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS earlier
+  FROM hurt),
+judged AS (
+  SELECT *, role[1:1] AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM placed),
+marked AS (
+  SELECT *, blank OR again AS go, CASE WHEN NOT blank AND NOT again AND cut THEN 1 ELSE 0 END AS open FROM judged),
+counted AS (
+  SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, CAST(sum(open) AS BIGINT) AS truncated,
+    count(*) FILTER (pos > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+step(state, role, onward) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+ins AS (
+  SELECT state, state AS onward, 0 AS cost, '' AS letters, CAST([] AS VARCHAR[]) AS said FROM step
+  UNION ALL SELECT state, onward, 2, 'I', [role || ':'] FROM step
+  UNION ALL SELECT a.state, b.onward, 4, 'II', [a.role || ':', b.role || ':'] FROM step a JOIN step b ON a.onward = b.state),
+act(state, initial, onward) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS state, struct_pack(cost := 0, letters := '', said := CAST([] AS VARCHAR[])) AS best FROM counted
+  UNION ALL
+  SELECT conv_id, pos, state, min(struct_pack(cost := cost, letters := letters, said := said)) FROM (
+    SELECT w.conv_id, m.pos, d.onward AS state, w.best.cost + i.cost + d.cost AS cost, w.best.letters || i.letters || d.letter AS letters, w.best.said || i.said || d.said AS said
+    FROM walk w JOIN marked m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND m.pos = w.pos + 1 JOIN ins i ON i.state = w.state,
+      LATERAL (
+        SELECT i.onward AS onward, 3 AS cost, 'D' AS letter, CAST([] AS VARCHAR[]) AS said
+        UNION ALL SELECT s.onward, 2 + m.open, 'R', [s.role || ':' || m.text] FROM step s WHERE s.state = i.onward AND NOT m.go
+        UNION ALL SELECT a.onward, m.open, 'K', [m.role || ':' || m.text] FROM act a WHERE a.state = i.onward AND a.initial = m.initial AND NOT m.go) d)
+  GROUP BY conv_id, pos, state),
+done AS (
+  SELECT w.conv_id, min(struct_pack(cost := w.best.cost + i.cost, letters := w.best.letters || i.letters, said := w.best.said || i.said)) AS best
+  FROM walk w JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n JOIN ins i ON i.state = w.state AND i.onward IN (0, 3)
+  GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.letters, '') AS audit,
+  sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON o.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
