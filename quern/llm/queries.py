@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, periods, pieces, repair, rollups, smallworld, transport
+from quern.llm import chat, jaccard, langid, mixture, ngram, paragraphs, periods, pieces, pii, repair, rollups, smallworld, transport
 from quern.llm.shared import shared_dir, table, tokenizer_file
 
 
@@ -72,6 +72,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digest(repair.damaged(given), given)
 
 
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periods.run_digest(docs.select("doc_id", periods.looped(F.col("text"), F.col("doc_id")).alias("text")))
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_near_dups": op9_vector_near_dups,
         "op10_source_mixture": op10_source_mixture,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_pii_spans": op12_pii_spans,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
