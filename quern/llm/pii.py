@@ -8,7 +8,8 @@ counts how often each combination of features occurs with which label, over all
 gradient boosting needs no more than that table, whose size is bounded by the features'
 bins (CELLS), not by the corpus. The trees come back as one Column expression. A threshold
 per kind is set on a fold that the trees have not seen: the lowest score above which at
-least ``precision`` of the candidates are strict spans. No threshold, no added spans.
+least ``precision`` of the candidates are strict spans. No threshold, no added spans; and
+none that fails its kind's own check.
 
 Offsets count code points. They come from the text's split by the pattern: the pieces
 between matches and the matches themselves, summed up. The patterns are written so that no
@@ -59,6 +60,8 @@ CUES = {
     "card": "card|visa|master|amex|pay|credit|debit",
     "phone": "phone|tel|call|mobile|cell|fax|dial",
 }
+#: Last labels of an address that is spelled out in words.
+TOP_LEVEL = "com|org|net|edu|gov|info|io|co|eu|de|fr|es|uk|us"
 #: What stands in for a strict span when candidates are looked for; no pattern matches it.
 FILL = "\ue000"
 #: feature -> number of its bins
@@ -136,10 +139,11 @@ def sound(kind: str, value: Column) -> Column:
     return n.between(8, 15)
 
 
-def plausible(kind: str, value: Column) -> Column:
-    """The same for a candidate, whatever its separators."""
+def plausible(kind: str, value: Column, plain: Column) -> Column:
+    """The same for a candidate, whatever its separators; an address in words must end like one."""
     if kind == "email":
-        return F.rlike(value, F.lit(r"[A-Za-z]{2,10}$"))
+        words = F.contains(value, F.lit(" at "))
+        return F.rlike(plain, F.lit(r"\.[A-Za-z]{2,10}$")) & (~words | F.rlike(plain, F.lit(rf"(?i)\.(?:{TOP_LEVEL})$")))
     if kind == "ip":
         return sound("ip", F.regexp_replace(value, "[^0-9]+", "."))
     return sound(kind, value)
@@ -161,7 +165,7 @@ def features(kind: str, s: Column) -> Column:
         "dot": F.when(F.contains(plain, F.lit(".")), 1).otherwise(0),
         "paren": has(r"\([0-9]"),
         "plus": has(r"^\+"),
-        "sound": F.when(plausible(kind, plain), 1).otherwise(0),
+        "sound": F.when(plausible(kind, value, plain), 1).otherwise(0),
         "cue": F.when(F.rlike(left, F.lit(rf"(?i)\b(?:{CUES[kind]})")), 1).otherwise(0),
         "secret": F.when(F.rlike(left, F.lit(r"(?i)(?:token|secret|key|hash|id|sha)\b[^\p{L}]*$|[=\"'][^\s]*$")), 1).otherwise(0),
         "before": beside(F.right(left, F.lit(1))),
@@ -330,7 +334,7 @@ def selected(found: DataFrame, model: Model) -> DataFrame:
         for k, cut in model.thresholds.items():
             value = expression(model.trees[k], s["features"])
             # the sum is rounded alike on both sides of the comparison
-            made = F.when((s["kind"] == k) & (F.round(value, 9) >= round(cut, 9)), value).otherwise(made)
+            made = F.when((s["kind"] == k) & (s["features"]["sound"] == 1) & (F.round(value, 9) >= round(cut, 9)), value).otherwise(made)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), made.alias("score"))
 
     taken = F.array_sort(F.filter(F.transform("wide", judge), lambda s: s["score"].isNotNull()))

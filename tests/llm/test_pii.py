@@ -100,6 +100,7 @@ def test_trees_add_what_the_patterns_miss_and_leave_clean_texts(spark):
         5000: ("w +1 (609) 555-7932 190.137.223.204 w", "phone:2:19"),
         5001: ("w anna.17 [at] mail3.example [dot] com w", "email:2:38"),
         5002: ("w build 12 of 2024-01-02 03:04 w", ""),
+        5004: ("w anna at mail dot com w", "email:2:22"),
         5003: ("w look at her dot and sit w at 9 o'clock", ""),
     }
     df = spark.createDataFrame(rows + [(k, t) for k, (t, _) in odd.items()], "doc_id long, text string")
