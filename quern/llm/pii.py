@@ -7,8 +7,8 @@ the strict spans are the positive examples, the other candidates the rest. One a
 counts how often each combination of features occurs with which label, over all documents;
 gradient boosting needs no more than that table, whose size is bounded by the features'
 bins (CELLS), not by the corpus. The trees come back as one Column expression. A threshold
-per kind is set on a fold that the trees have not seen: the lowest score above which at
-least ``precision`` of the candidates are strict spans. No threshold, no added spans; and
+per kind is set on a fold that the trees have not seen: the lowest score, even odds at
+least, above which ``precision`` of the candidates are strict spans. No threshold, no added spans; and
 none that fails its kind's own check.
 
 Offsets count code points. They come from the text's split by the pattern: the pieces
@@ -298,11 +298,11 @@ class Model:
 
 
 def threshold(score: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float) -> float | None:
-    """The lowest score above which the share of label 1 is high enough."""
+    """The lowest score of even odds or better above which the share of label 1 is high enough."""
     order = np.argsort(-score, kind="stable")
     ends = np.flatnonzero(np.r_[np.diff(score[order]) != 0, True]) if len(score) else np.zeros(0, int)
     hit, every = np.cumsum((n * y)[order])[ends], np.cumsum(n[order])[ends]
-    good = np.flatnonzero((hit >= precision * every) & (hit > 0))
+    good = np.flatnonzero((hit >= precision * every) & (hit > 0) & (score[order][ends] >= 0))
     return float(score[order][ends[good[-1]]]) if len(good) else None
 
 

@@ -31,6 +31,8 @@ from quern.llm.shared import SLICE_BYTES, drop_saved, saved, slices
 
 #: Open members of a ring that are joined without another pivot; members of a block; members that stream past one copy of a pivot.
 LEAF = 512
+#: Rounds of pivots at most: each takes one bit of the mask of a member's links.
+MOST_ROUNDS = 60
 BLOCK = 512
 SPREAD = 1024
 #: Elements of sets, and columns of an incidence matrix, that one step of a comparison holds.
@@ -197,11 +199,15 @@ def _open(level: Column, depth: int) -> Column:
     return bit
 
 
-def connected(members: DataFrame, held: DataFrame, sets_of: Sets, rule: Rule) -> DataFrame:
+def connected(members: DataFrame, held: DataFrame, sets_of: Sets, rule: Rule, most: int = MOST_ROUNDS) -> DataFrame:
     """(a, b): exact links that connect all sets that share a cell and have the rule's similarity.
 
     members: cell long, node long, distinct; held: node, payload (null-free) of each of the nodes.
+    After ``most`` rounds of pivots (MOST_ROUNDS at most) the rings that are still large are
+    joined by blocks like the others.
     """
+    if not 0 <= most <= MOST_ROUNDS:
+        raise ValueError(f"0 to {MOST_ROUNDS} rounds of pivots")
     if not members.limit(1).count():
         return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
     everything = F.lit((1 << 62)).cast("long")
@@ -217,10 +223,10 @@ def connected(members: DataFrame, held: DataFrame, sets_of: Sets, rule: Rule) ->
         ringed = saved(ringed.select(F.xxhash64("cell", "ring", F.lit(depth)).alias("cell"), "node", "mask", "was"), "rings")
         counts = [F.struct(F.count_if(F.col("mask").bitwiseAND(F.lit(1 << k)) == 0).alias("opens"), F.lit(k).alias("level")) for k in range(depth + 1)]
         sized = ringed.groupBy("cell").agg(F.count("*").alias("n"), (F.least(*counts) if depth else counts[0]).alias("least"), F.min("was").alias("before")).filter("n > 1 AND least.opens > 0")
-        sized = saved(sized.select("cell", "n", "least.opens", "least.level", ((F.col("least.opens") > LEAF) & (F.col("least.opens") <= 0.9 * F.col("before"))).alias("large")), "ring-sizes")
+        sized = saved(sized.select("cell", "n", "least.opens", "least.level", ((F.col("least.opens") > LEAF) & (F.col("least.opens") <= 0.9 * F.col("before")) & F.lit(depth < most)).alias("large")), "ring-sizes")
         marked = ringed.join(sized.hint("merge"), "cell").withColumn("open", _open(F.col("level"), depth))
         links.append(saved(joined_rings(marked.filter("NOT large"), held, sets_of, rule), "ring-links"))
-        if depth == 60 or not sized.filter("large").limit(1).count():
+        if depth == most or not sized.filter("large").limit(1).count():
             break
         again = saved(marked.filter("large").select("cell", "node", "mask", "open", F.col("opens").alias("was")), "large-rings")
         chosen = saved(again.filter("open").groupBy("cell").agg(F.min_by("node", F.xxhash64("node", F.lit(depth))).alias("pivot")), "ring-pivots")

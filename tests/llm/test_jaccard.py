@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -136,3 +137,28 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_rings_are_joined_whatever_the_rounds(spark, monkeypatch):
+    """With the rounds of pivots used up, rings over the leaf size are joined by blocks and lose no link."""
+    from quern.llm import regions
+
+    monkeypatch.setattr(regions, "LEAF", 3)
+    rng = random.Random(8)
+    sets = []
+    for k in range(20):
+        base = rng.sample(range(1000 * k, 1000 * k + 500), 40)
+        sets += [base, [*base[:39], 10**6 + k], [*base[1:], 2 * 10**6 + k]]
+    held = spark.createDataFrame([(i, " ".join(map(str, s))) for i, s in enumerate(sets)], "node long, payload string")
+    members = held.selectExpr("1L cell", "node")
+    sets_of = lambda column: [np.array(sorted(map(int, x.split())), np.uint64) for x in column.to_pylist()]
+    rule = J.Rule(words=1, percent=90)
+    want = {(i, j) for j in range(60) for i in range(j) if 100 * len({*sets[i]} & {*sets[j]}) >= 90 * len({*sets[i]} | {*sets[j]})}
+    assert len(want) >= 40
+    for most in (0, 1, regions.MOST_ROUNDS):
+        links = regions.connected(members, held, sets_of, rule, most)
+        assert {tuple(sorted((r.a, r.b))) for r in links.collect()} <= want
+        root = {r.node: r.root for r in components(links).collect()}
+        assert all(root[i] == root[j] for i, j in want) and len(set(root.values())) == 20, most
+    with pytest.raises(ValueError):
+        regions.connected(members, held, sets_of, rule, 61)

@@ -141,15 +141,16 @@ def test_trees_and_their_expression_agree(rows):
 
 def test_expression_in_spark(spark):
     x = np.array([[a, b, *[0] * (len(pii.FEATURES) - 2)] for a in range(4) for b in range(2)])
-    trees = pii.fit(x, (x[:, 0] > 1).astype(int) ^ x[:, 1], np.full(8, 9.0), pii.Rule())
+    trees = pii.fit(x, (x[:, 0] > 1).astype(int) | x[:, 1], np.full(8, 9.0), pii.Rule())
     df = spark.createDataFrame([tuple(map(int, r)) for r in x], ", ".join(f"{f} int" for f in pii.FEATURES))
     got = df.select(pii.expression(trees, F.struct(*pii.FEATURES)).alias("s")).collect()
     assert np.allclose([r.s for r in got], pii.scored(trees, x))
-    assert ((pii.scored(trees, x) > 0) == ((x[:, 0] > 1) ^ (x[:, 1] == 1))).all()
+    assert ((pii.scored(trees, x) > 0) == ((x[:, 0] > 1) | (x[:, 1] == 1))).all()
 
 
 def test_threshold_keeps_precision():
     score, y, n = np.array([3.0, 2.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 1, 0]), np.array([10, 5, 1, 2, 50])
     assert pii.threshold(score, y, n, 0.9) == 1.0
     assert pii.threshold(score, y, n, 0.99) == 3.0
+    assert pii.threshold(np.array([2.0, -1.0]), np.array([1, 0]), np.array([99, 1]), 0.9) == 2.0
     assert pii.threshold(np.zeros(0), np.zeros(0), np.zeros(0), 0.9) is None
