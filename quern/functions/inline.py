@@ -42,7 +42,7 @@ TAG = rf"</?[A-Za-z][A-Za-z0-9-]*+(?:\s++[A-Za-z_:][A-Za-z0-9_.:-]*+(?:\s*+=\s*+
 LITERAL = r"<!--(?s:.*?)(?:-->|\z)|<!\[CDATA\[(?s:.*?)(?:\]\]>|\z)|<\?(?s:.*?)(?:\?>|\z)"
 AUTOLINK = r"<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\x00-\x20<>]*+>"
 _TITLE = r"""(?:"(?:\\.|[^"\\])*+"|'(?:\\.|[^'\\])*+'|\((?:\\.|[^()\\])*+\))"""
-_DESTINATION = r"(?:<[^<>\n]*+>|(?:\\.|[^\s()\\<]|\((?:\\.|[^\s()\\])*+\))*+)"
+_DESTINATION = r"(?:<(?:\\.|[^<>\n\\])*+>|(?:\\.|[^\s()\\<]|\((?:\\.|[^\s()\\])*+\))*+)"
 CLOSE = rf"\](?:\(\s*+{_DESTINATION}(?:\s++{_TITLE})?+\s*+\)|\[(?:\\.|[^\[\]\\])*+\])?+"
 #: Everything that a scan from left to right steps over as one, code before tags and tags before brackets.
 TOKEN = rf"{ESCAPE}|{CODE}|`++|{AUTOLINK}|{LITERAL}|{TAG}|!?\[|{CLOSE}"
@@ -50,7 +50,7 @@ TOKEN = rf"{ESCAPE}|{CODE}|`++|{AUTOLINK}|{LITERAL}|{TAG}|!?\[|{CLOSE}"
 MARKUP = rf"{ESCAPE}|{CODE}|`++|{AUTOLINK}|{LITERAL}|{TAG}"
 #: Inside an HTML block there is no Markdown.
 IN_HTML = rf"{LITERAL}|{TAG}"
-DEFINITION = rf"(?:\A|(?<=\n))\x20{{0,3}}\[(?:\\.|[^\[\]\\])++\]:\s*+(?:<[^<>\n]*+>|[^\s<]\S*+)(?:\s++{_TITLE})?+[\x20\t]*+(?:\n|\z)"
+DEFINITION = rf"(?:\A|(?<=\n))\x20{{0,3}}\[(?:\\.|[^\[\]\\])++\]:\s*+(?:<(?:\\.|[^<>\n\\])*+>|[^\s<]\S*+)(?:\s++{_TITLE})?+[\x20\t]*+(?:\n|\z)"
 RAW = ("script", "style", "textarea", "title")
 #: Elements without content: fixed values of HTML.
 VOID = ("br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "embed", "source", "track", "col", "param")
@@ -95,13 +95,13 @@ def label(text: Column) -> Column:
 def definitions(shown: Column) -> Column:
     """map of label to target of the definitions that a paragraph begins with; the first of a label counts."""
     said = F.regexp_extract_all(F.regexp_extract(shown, rf"\A(?:{DEFINITION})++", 0), F.lit(DEFINITION), F.lit(0))
-    pairs = F.transform(said, lambda d: F.struct(label(F.regexp_extract(d, r"\[((?:\\.|[^\[\]\\])++)\]:", 1)).alias("key"), target(F.regexp_extract(d, r"\]:\s*+(<[^<>\n]*+>|\S++)", 1)).alias("value")))
+    pairs = F.transform(said, lambda d: F.struct(label(F.regexp_extract(d, r"\[((?:\\.|[^\[\]\\])++)\]:", 1)).alias("key"), target(F.regexp_extract(d, r"\]:\s*+(<(?:\\.|[^<>\n\\])*+>|\S++)", 1)).alias("value")))
     return pairs
 
 
 def target(said: Column) -> Column:
     """A link destination without angle brackets and escapes."""
-    bare = F.regexp_replace(said, r"^<([^<>\n]*)>$", "$1")
+    bare = F.regexp_replace(said, r"(?s)\A<(.*)>\z", "$1")
     return F.regexp_replace(bare, r"\\([!-/:-@\[-`{-~])", "$1")
 
 

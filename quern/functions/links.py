@@ -35,32 +35,11 @@ def target_kind(target: Column, hosts: list[str]) -> Column:
     return kind.when(F.rlike(target, F.lit(r"^https?://[^\s/]+")), "external").otherwise("invalid")
 
 
-def outside_code(markdown: Column) -> Column:
-    """The text with fenced blocks, code spans, comments and escaped brackets as blanks of the same length, so that offsets stay."""
-    fences = r"(?ms)^(?:```|~~~).*?(?:^(?:```|~~~)[^\n]*$|\z)"
-    parts = F.regexp_extract_all(markdown, F.lit(rf"({fences}|<!--.*?(?:-->|\z)|`[^`\n]*`|\\[\[\]()!<>])|((?s).)"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 1, F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
-
-
-#: A link or image, or a page, database or mention tag with a quoted url.
-REFERENCE = r'(!?\[[^\]\n]*\]\(\s*<?[^\s()<>]+>?(?:\s+"[^"\n]*")?\s*\)|<(?:page|database|mention-page|mention-database)\s[^<>]*url="[^"]*"[^<>]*>)'
-
-
-def references(pages: DataFrame, markdown: str) -> DataFrame:
-    """pages with one row per reference outside code: pos (in order), form (link, image or tag) and target."""
-    found = pages.withColumn("_said", F.regexp_extract_all(outside_code(F.col(markdown)), F.lit(REFERENCE), F.lit(1)))
-    rows = found.select(*[c for c in pages.columns if c != markdown], F.posexplode("_said").alias("pos", "_ref"))
-    tag = F.startswith("_ref", F.lit("<"))
-    form = F.when(tag, "tag").when(F.startswith("_ref", F.lit("!")), "image").otherwise("link")
-    target = F.when(tag, F.regexp_extract("_ref", 'url="([^"]*)"', 1)).otherwise(F.regexp_extract("_ref", r"\]\(\s*<?([^\s()<>]+)", 1))
-    return rows.select("*", form.alias("form"), target.alias("target")).drop("_ref")
-
-
 def relationships(references: DataFrame, page: str, hosts: list[str]) -> DataFrame:
-    """(page, identity, kind, first_pos): distinct page and block targets of each page, by first place; images and external ones have none."""
+    """(page, identity, kind, first_pos): distinct page and block targets of each page, by first place; external ones have none."""
     kind = target_kind(F.col("target"), hosts)
     fragment = F.regexp_extract("target", r"#(.+)\z", 1)
     own = F.coalesce(page_id(F.col("target"), hosts), uuid(F.col("target")), F.lit(""))
     identity = F.when(kind == "invalid", F.sha2("target", 256)).otherwise(F.concat(own, F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise("")))
-    rows = references.filter(F.col("form") != "image").select(page, identity.alias("identity"), kind.alias("kind"), "pos").filter("kind <> 'external'")
+    rows = references.select(page, identity.alias("identity"), kind.alias("kind"), "pos").filter("kind <> 'external'")
     return rows.groupBy(page, "identity", "kind").agg(F.min("pos").alias("first_pos"))

@@ -205,7 +205,7 @@ def update_sections(plans: DataFrame, fresh: DataFrame, key: str, text: str = "t
 
 
 _WRAPPED = re.compile(
-    r"(?P<keep>^[ \t]*(?P<fence>`{3,}|~{3,})[^\n]*\n(?:.*\n)*?[ \t]*(?P=fence)[`~]*[ \t]*$|(?<!`)(?P<ticks>`+)(?!`)[^\n]*?(?<!`)(?P=ticks)(?!`)|\]\(\s*<[^<>\n]*>)"
+    r"(?P<keep>^[ \t]*(?P<fence>`{3,}|~{3,})[^\n]*\n(?:.*\n)*?[ \t]*(?P=fence)[`~]*[ \t]*$|(?<!`)(?P<ticks>`+)(?!`)[^\n]*?(?<!`)(?P=ticks)(?!`)|\]\(\s*<(?:\\.|[^<>\n\\])*>)"
     r"|(?P<note><!--(?s:.*?)(?:-->|\Z))"
     r"""|(?P<tag></?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*\s*/?>)""",
     re.M,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import links as L
 from quern.operators import expansion as X
+from quern.operators import markdown as M
 from quern.operators import search as S
 from quern.plans.common import Book
 from quern.plans.retrieval import LEXICAL
@@ -79,29 +81,29 @@ def page_url_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", L.page_id(made, HOSTS).alias("id"))
 
 
-def _markdown(spark, sf_dir):
+def _references(spark, sf_dir):
+    """Every page's references in order, of a page with dead ones in code, a comment and an escape."""
     host = "https://pages.example.com/"
-    parts = ["[a](", F.col("url"), ") `[x](/code)` \\[no](/escaped) ![i](https://img.example.com/", F.col("page_id").cast("string"), ")\n<page url=\"" + host, F.md5("url"), '">t</page>\n```\n[in](/fence)\n```\n[b](#', F.col("page_id").cast("string"), ") [again](" + host, F.md5("url"), ") <!-- [c](/comment) --> [d](nowhere)"]
+    address = F.regexp_replace("url", r"([\\<>])", r"\\$1")
+    parts = ["[a](<", address, ">) `[x](/code)` ``[y](/code) ` `` \\[no](/escaped) ![i](https://img.example.com/", F.col("page_id").cast("string"), ")\n\n    [in](/indented)\n\n<page url='" + host, F.md5("url"), "'>t</page>\n\n```\n[in](/fence)\n```\n[b](#", F.col("page_id").cast("string"), ") [again][r] <!-- [c](/comment) --> [d](nowhere)\n\n[R]: " + host, F.md5("url"), "\n"]
     said = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    return table(spark, sf_dir, "pages").filter(r"url RLIKE '^[^\\s()<>`\\[\\]]+$'").select("page_id", said.alias("markdown"))
-
-
-_FIT = r"regexp_matches(url, '^[^\s()<>`\[\]]+$')"
+    made = M.references(table(spark, sf_dir, "pages").select("page_id", said.alias("markdown")), "page_id", "markdown")
+    return made.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("start")) - 1)
 
 
 @BOOK.query("markdown_references", f"""SELECT page_id, CAST(pos AS INT) AS pos, form, target FROM (
-  SELECT page_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['link', 'image', 'tag', 'link', 'link', 'link']) AS form,
-    unnest([url, 'https://img.example.com/' || page_id, 'https://pages.example.com/' || {_MD5}, '#' || page_id, 'https://pages.example.com/' || {_MD5}, 'nowhere']) AS target FROM pages WHERE {_FIT})""")
+  SELECT page_id, unnest([0, 1, 2, 3, 4, 5]) AS pos, unnest(['link', 'link', 'page', 'link', 'link', 'link']) AS form,
+    unnest([url, 'https://img.example.com/' || page_id, 'https://pages.example.com/' || {_MD5}, '#' || page_id, 'https://pages.example.com/' || {_MD5}, 'nowhere']) AS target FROM pages)""")
 def markdown_references(spark, sf_dir):
     """Links, images and tags outside code, comments and escapes, in order."""
-    return L.references(_markdown(spark, sf_dir), "markdown")
+    return _references(spark, sf_dir).select("page_id", "pos", "form", "target")
 
 
-@BOOK.query("markdown_relationships", f"""SELECT page_id, {_DASHED} AS identity, 'page' AS kind, CAST(2 AS INT) AS first_pos FROM pages WHERE {_FIT}
-  UNION ALL SELECT page_id, '#' || page_id, 'block', 3 FROM pages WHERE {_FIT} UNION ALL SELECT page_id, sha256('nowhere'), 'invalid', 5 FROM pages WHERE {_FIT}""")
+@BOOK.query("markdown_relationships", f"""SELECT page_id, {_DASHED} AS identity, 'page' AS kind, CAST(2 AS INT) AS first_pos FROM pages
+  UNION ALL SELECT page_id, '#' || page_id, 'block', 3 FROM pages UNION ALL SELECT page_id, sha256('nowhere'), 'invalid', 5 FROM pages""")
 def markdown_relationships(spark, sf_dir):
-    """Distinct page and block targets by first place; external ones and images are none, an invalid one is hashed."""
-    return L.relationships(L.references(_markdown(spark, sf_dir), "markdown"), "page_id", HOSTS)
+    """Distinct page and block targets by first place; external ones are none, an invalid one is hashed."""
+    return L.relationships(_references(spark, sf_dir), "page_id", HOSTS)
 
 
 @BOOK.query("uuid_forms", """SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) END AS id FROM (SELECT c_custkey, md5(c_name) AS h FROM customer)""")

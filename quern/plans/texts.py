@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.chunking import chunk_documents
+from quern.operators.markdown import chunks
 from quern.plans.common import Book
 from quern.views import table
 
@@ -17,7 +17,7 @@ QUERIES, ORACLES = BOOK.queries, BOOK.oracles
 @BOOK.query("chunk_prose")
 def chunk_prose(spark, sf_dir):
     """Every document's chunks; no SQL form (stateful packing), tested by its invariants."""
-    made = chunk_documents(table(spark, sf_dir, "documents"))
+    made = chunks(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "ordinal", "start", "end", F.sha2("text", 256).alias("content_sha256"))
 
 

@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from quern.functions.chunking import chunk
 from quern.operators import search as S
 from quern.operators.debounce import debounce, fold
 
@@ -55,23 +54,6 @@ def test_debounce_of_a_table_is_the_fold(spark):
     assert debounce(spark.createDataFrame([], "page long, event_id long, ms long"), 1, 2).filter("page IS NOT NULL").count() == 0
 
 
-def test_chunks_are_slices_in_order():
-    rng = random.Random(7)
-    parts = []
-    for k in range(60):
-        parts.append(rng.choice(["# Head\n", "## Sub\n", "- a\n- b\n", "```\nx\n\ny\n```\n", "| a | b |\n", "word " * rng.randint(1, 80) + "\n", "\n"]))
-    text = "".join(parts)
-    made = chunk(text, 300, 60)
-    assert all(a < b for a, b, _ in made) and [m[0] for m in made] == sorted(m[0] for m in made)
-    covered = set().union(*(range(a, b) for a, b, _ in made))
-    assert all(c.isspace() for k, c in enumerate(text) if k not in covered)
-    fence = chunk("a\n\n```\nx\n\ny\n```\n\nb", 4, 0)
-    assert any("x\n\ny" in "a\n\n```\nx\n\ny\n```\n\nb"[a:b] for a, b, _ in fence)
-    assert chunk("", 10, 0) == [] and chunk("# A\nx\n## B\ny", 100, 0)[-1][2] == ["A", "B"]
-    with pytest.raises(ValueError):
-        chunk("x", 10, 10)
-
-
 def test_ivf_reaches_its_recall_over_all_queries(spark):
     rng = random.Random(3)
     rows = [(k, [rng.gauss(0, 1) for _ in range(12)]) for k in range(1500)]

@@ -131,5 +131,3 @@ def test_ids_and_targets(spark):
     page = "https://h.example/T-" + "a" * 32
     assert kind(page) == "page" and kind(page + "#b") == "block" and kind("#b") == "block" and kind("https://else.example/x") == "external" and kind("x y") == "invalid" and kind("a" * 32) == "page"
     assert one(lambda c: L.page_id(c, hosts), "https://h.example:443/" + "a" * 32) is None and one(L.uuid, "A" * 31) is None
-    code = "`[a](b)` \\[c](d) ~~~\n"
-    assert len(one(L.outside_code, code)) == len(code) and "[a]" not in one(L.outside_code, code)
