@@ -93,6 +93,12 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.rlike(url, F.lit("(?i)^https?://")) & (signed["amz"] | signed["goog"]), made).otherwise(url)
 
 
+def array_digest(domain: str, parts: Column) -> Column:
+    """domain_digest of the strings of an array."""
+    framed = F.aggregate(parts, F.lit(domain).cast("binary"), lambda acc, p: F.concat(acc, F.unhex(F.lpad(F.hex(F.octet_length(p)), 16, "0")), p.cast("binary")))
+    return F.concat(F.lit(f"{domain}:"), F.sha2(framed, 256))
+
+
 def domain_digest(domain: str, *parts: Column) -> Column:
     """SHA-256 over a domain and length-prefixed parts, as 'domain:hex'."""
     raw = F.encode(F.lit(domain), "UTF-8")

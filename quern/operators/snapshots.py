@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.functions.text import domain_digest
+from quern.functions.text import array_digest, domain_digest
 
 
 class Conflict(ValueError):
@@ -68,8 +68,10 @@ def identified(drafts: DataFrame, previous: DataFrame) -> DataFrame:
     drafts: page, section, content_hash, pos; previous: page, section, content_hash, pos,
     id. The nth draft of a hash within its page and section takes the id of the nth stored
     chunk of that hash (kept); where one draft and one stored chunk of a section are left
-    over, the draft inherits that id (edited); any other gets a new one, and equal new ids
-    of a page are told apart by :1, :2 in order (new).
+    over, the draft inherits that id (edited); any other gets a new one (new): the digest
+    of page, section and hash, or, where that is in use, with the first of :1, :2, ... that
+    isn't. In use are all ids of previous, whether or not their chunks are still there.
+    section is a string or an array of strings (a block and the titles above).
     """
     once(previous, "page", "id")
     nth = Window.partitionBy("page", "section", "content_hash").orderBy("pos")
@@ -82,11 +84,20 @@ def identified(drafts: DataFrame, previous: DataFrame) -> DataFrame:
     own = met.filter("pos IS NOT NULL").join(lone.hint("merge"), by, "left")
     fresh = F.col("id").isNull() & F.col("left_id").isNull()
     how = F.when(F.col("id").isNotNull(), "kept").when(F.col("left_id").isNotNull(), "edited").otherwise("new")
-    own = own.select(*by, "pos", "content_hash", how.alias("how"), F.coalesce("id", "left_id", chunk_id(F.col("page").cast("string"), F.col("section"), F.col("content_hash"))).alias("base"), fresh.alias("fresh"))
-    twin = Window.partitionBy("page", "base", "fresh").orderBy("section", "pos")
-    suffix = F.row_number().over(twin) - 1
-    named = F.when(F.col("fresh") & (suffix > 0), F.concat("base", F.lit(":"), suffix.cast("string"))).otherwise(F.col("base"))
-    return own.select(*by, "pos", "content_hash", named.alias("id"), "how")
+    array = drafts.schema["section"].dataType.typeName() == "array"
+    base = array_digest("chunk-id", F.concat(F.array(F.col("page").cast("string")), F.col("section"), F.array("content_hash"))) if array else chunk_id(F.col("page").cast("string"), F.col("section"), F.col("content_hash"))
+    own = own.select(*by, "pos", "content_hash", how.alias("how"), F.coalesce("id", "left_id").alias("id"), F.when(fresh, base).alias("base"))
+    # the kth new chunk of a digest takes the kth number that no id in use has: t_j - j numbers are free below the jth in use
+    split = r"^(.*?)(?::([1-9][0-9]{0,8}))?$"
+    used = previous.select("page", F.regexp_extract("id", split, 1).alias("base"), F.coalesce(F.expr(f"try_cast(regexp_extract(id, r'{split}', 2) AS long)"), F.lit(0)).alias("number"))
+    used = used.withColumn("free", F.col("number") - F.row_number().over(Window.partitionBy("page", "base").orderBy("number")) + 1)
+    new = own.filter("base IS NOT NULL").withColumn("free", (F.row_number().over(Window.partitionBy("page", "base").orderBy("section", "pos")) - 1).cast("long"))
+    both = new.withColumn("in_use", F.lit(0)).unionByName(used.select("page", "base", "free", F.lit(1).alias("in_use")), allowMissingColumns=True)
+    upto = Window.partitionBy("page", "base").orderBy("free", F.col("in_use").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = both.withColumn("number", F.col("free") + F.sum("in_use").over(upto)).filter("in_use = 0")
+    named = numbered.withColumn("id", F.when(F.col("number") > 0, F.concat("base", F.lit(":"), F.col("number").cast("string"))).otherwise(F.col("base")))
+    columns = [*by, "pos", "content_hash", "id", "how"]
+    return own.filter("base IS NULL").select(*columns).unionByName(named.select(*columns))
 
 
 def embedded(incoming: DataFrame, stored: DataFrame, key: str, hash_column: str, vector: str, embed) -> DataFrame:

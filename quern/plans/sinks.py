@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import hierarchy as H
@@ -13,16 +14,22 @@ from quern.views import table
 BOOK = Book()
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
 
-#: Stored chunks lack every fifth line, have another text in every seventh, and ids of their own; drafts lack every sixth.
-LINES = """line AS (SELECT doc_id AS page, coalesce(source, '') AS section, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-stored AS (SELECT page, section, pos, sha256(CASE WHEN pos % 7 = 2 THEN said || '!' ELSE said END) AS content_hash, 'id-' || pos AS id FROM line WHERE pos % 5 <> 3),
+#: The digest of a chunk's page, section and hash.
+MADE = """'chunk-id:' || sha256(encode('chunk-id') || from_hex(lpad(hex(octet_length(encode(CAST(page AS VARCHAR)))), 16, '0')) || encode(CAST(page AS VARCHAR)) || from_hex(lpad(hex(octet_length(encode(section))), 16, '0')) || encode(section) || from_hex(lpad(hex(64), 16, '0')) || encode(content_hash))"""
+#: Stored chunks lack every fifth line and have another text in every seventh; their ids are digests, equal ones numbered. Drafts lack every sixth line.
+LINES = f"""line AS (SELECT doc_id AS page, coalesce(source, '') AS section, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+hashed AS (SELECT page, section, pos, sha256(CASE WHEN pos % 7 = 2 THEN said || '!' ELSE said END) AS content_hash FROM line WHERE pos % 5 <> 3),
+stored AS (SELECT *, base || CASE WHEN suffix > 0 THEN ':' || suffix ELSE '' END AS id FROM (SELECT *, {MADE} AS base, row_number() OVER (PARTITION BY page, section, content_hash ORDER BY pos) - 1 AS suffix FROM hashed)),
 draft AS (SELECT page, section, pos, sha256(said) AS content_hash FROM line WHERE pos % 6 <> 4)"""
 
 
 def _chunks(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("page"), F.coalesce("source", F.lit("")).alias("section"), F.posexplode(F.split("text", "\n", -1)).alias("at", "said"))
     lines = lines.withColumn("pos", (F.col("at") + 1).cast("long"))
-    stored = lines.filter("pos % 5 <> 3").select("page", "section", "pos", F.sha2(F.when(F.col("pos") % 7 == 2, F.concat("said", F.lit("!"))).otherwise(F.col("said")), 256).alias("content_hash"), F.concat(F.lit("id-"), F.col("pos").cast("string")).alias("id"))
+    stored = lines.filter("pos % 5 <> 3").select("page", "section", "pos", F.sha2(F.when(F.col("pos") % 7 == 2, F.concat("said", F.lit("!"))).otherwise(F.col("said")), 256).alias("content_hash"))
+    twin = F.row_number().over(Window.partitionBy("page", "section", "content_hash").orderBy("pos")) - 1
+    base = S.chunk_id(F.col("page").cast("string"), F.col("section"), F.col("content_hash"))
+    stored = stored.withColumn("id", F.when(twin > 0, F.concat(base, F.lit(":"), twin.cast("string"))).otherwise(base))
     return stored, lines.filter("pos % 6 <> 4").select("page", "section", "pos", F.sha2("said", 256).alias("content_hash"))
 
 
@@ -31,11 +38,14 @@ def _chunks(spark, sf_dir):
   hit AS (SELECT d.page, d.section, d.pos, d.content_hash, s.id FROM d LEFT JOIN s USING (page, section, content_hash, nth)),
   unused AS (SELECT page, section, count(*) AS n, max(id) AS left_id FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.page = s.page AND d.section = s.section AND d.content_hash = s.content_hash AND d.nth = s.nth) GROUP BY page, section),
   fresh AS (SELECT page, section, count(*) AS n FROM hit WHERE id IS NULL GROUP BY page, section),
-  named AS (SELECT h.*, CASE WHEN h.id IS NULL AND f.n = 1 AND u.n = 1 THEN u.left_id END AS inherited, 'chunk-id:' || sha256(encode('chunk-id')
-      || from_hex(lpad(hex(octet_length(encode(CAST(h.page AS VARCHAR)))), 16, '0')) || encode(CAST(h.page AS VARCHAR)) || from_hex(lpad(hex(octet_length(encode(h.section))), 16, '0')) || encode(h.section)
-      || from_hex(lpad(hex(64), 16, '0')) || encode(h.content_hash)) AS made FROM hit h LEFT JOIN unused u USING (page, section) LEFT JOIN fresh f USING (page, section)),
-  twin AS (SELECT *, row_number() OVER (PARTITION BY page, made, id IS NULL AND inherited IS NULL ORDER BY section, pos) - 1 AS k FROM named)
-  SELECT page, section, pos, content_hash, coalesce(id, inherited, CASE WHEN k > 0 THEN made || ':' || k ELSE made END) AS id, CASE WHEN id IS NOT NULL THEN 'kept' WHEN inherited IS NOT NULL THEN 'edited' ELSE 'new' END AS how FROM twin""")
+  named AS (SELECT h.*, CASE WHEN h.id IS NULL AND f.n = 1 AND u.n = 1 THEN u.left_id END AS inherited, {MADE} AS made FROM hit h LEFT JOIN unused u USING (page, section) LEFT JOIN fresh f USING (page, section)),
+  taken AS (SELECT page, base, suffix FROM stored),
+  new AS (SELECT *, row_number() OVER (PARTITION BY page, made ORDER BY section, pos) AS k FROM named WHERE id IS NULL AND inherited IS NULL),
+  copies AS (SELECT page, base, count(*) AS n FROM taken GROUP BY page, base),
+  spare AS (SELECT page, made, x, row_number() OVER (PARTITION BY page, made ORDER BY x) AS k FROM (SELECT n.page, n.made, unnest(range(max(n.k) + coalesce(max(c.n), 0))) AS x FROM new n LEFT JOIN copies c ON c.page = n.page AND c.base = n.made GROUP BY n.page, n.made) s
+    WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.page = s.page AND t.base = s.made AND t.suffix = s.x))
+  SELECT page, section, pos, content_hash, coalesce(id, inherited) AS id, CASE WHEN id IS NOT NULL THEN 'kept' ELSE 'edited' END AS how FROM named WHERE id IS NOT NULL OR inherited IS NOT NULL
+  UNION ALL SELECT n.page, n.section, n.pos, n.content_hash, n.made || CASE WHEN x > 0 THEN ':' || x ELSE '' END, 'new' FROM new n JOIN spare USING (page, made, k)""")
 def chunks_identified(spark, sf_dir):
     stored, drafts = _chunks(spark, sf_dir)
     return S.identified(drafts, stored)

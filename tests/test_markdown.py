@@ -3,9 +3,12 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.functions.blocks import scan
+from quern.functions.text import array_digest
 from quern.operators import markdown as M
+from quern.operators import snapshots as S
 
 
 def chunked(spark, texts, target=2000, overlap=200):
@@ -203,3 +206,36 @@ def test_title_paths_drop_what_a_higher_heading_ends(spark):
     heads = M.headings(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), "doc_id", "text")
     got = M.title_paths(heads, "doc_id").orderBy("start").collect()
     assert [r.path for r in got] == [["deep"], ["A"], ["A", "A3"], ["A", "A2"], ["A", "A2", "A23"], ["B"], ["B", "B3"]]
+
+
+def identified(spark, text, previous=None):
+    """Chunks of one page with their ids, after those of an earlier text."""
+    made = M.chunks(spark.createDataFrame([("page", text)], "page string, text string"), "page")
+    drafts = made.select("page", F.concat(F.array(F.lit("")), "headings").alias("section"), F.col("ordinal").alias("pos"), array_digest("content", F.concat(F.array(F.regexp_replace("text", r"\s+$", "")), "headings")).alias("content_hash"))
+    schema = "page string, section array<string>, pos long, content_hash string, id string"
+    rows = S.identified(drafts, spark.createDataFrame(previous or [], schema)).orderBy("pos").collect()
+    assert len({r.id for r in rows}) == len(rows)
+    return [(r.page, r.section, r.pos, r.content_hash, r.id) for r in rows]
+
+
+def test_ids_survive_edits_and_moves(spark):
+    text = "# One\n\nOriginal\n\n# Two\n\nStable\n\n# Three\n\nRemoved\n"
+    before = identified(spark, text)
+    assert identified(spark, text, before) == before
+    after = identified(spark, "# Added\n\nNew\n\n# One\n\nEdited\n\n# Two\n\nStable\n", before)
+    assert after[1][4] == before[0][4] and after[1][3] != before[0][3] and after[2][3:] == before[1][3:]
+    assert before[2][4] not in {r[4] for r in after} and after[0][4] != after[1][4]
+    assert identified(spark, "# Two\n\nStable\n")[0][4] == before[1][4]
+
+
+def test_new_copies_get_ids_that_nothing_had(spark):
+    before = identified(spark, "# Same\n\nA\n\n# Same\n\nB\n\n# Same\n\nA\n\n# End\n")
+    assert before[2][4] == before[0][4] + ":1"
+    after = identified(spark, "# Same\n\nInserted\n\n# Same\n\nB\n\n# Same\n\nA\n\n# End\n", before)
+    assert after[1][4] == before[1][4] and after[2][4] == before[0][4]
+    # one copy is kept, two come anew: the numbers of ids in use are passed over, also of chunks that went
+    kept = [before[0], ("page", ["", "Gone"], 9, "h", before[0][4] + ":2"), ("page", ["", "Gone"], 10, "h2", before[0][4] + ":3")]
+    more = identified(spark, "# Same\n\nA\n\n" * 4 + "# End\n", kept)
+    assert [r[4] for r in more][:4] == [before[0][4] + x for x in ("", ":1", ":4", ":5")]
+    with pytest.raises(S.Conflict):
+        identified(spark, "x", [before[0], before[0]])
