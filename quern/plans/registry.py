@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold queries: each has QUERIES {name: callable} and ORACLES {name: sql}.
-MODULES = ("retrieval", "navigation", "changes", "events", "evaluation", "texts", "facade", "filtering", "sinks", "machines", "scoring", "linking", "markdown")
+MODULES = ("retrieval", "navigation", "changes", "events", "evaluation", "texts", "facade", "filtering", "sinks", "machines", "scoring", "linking", "markdown", "properties")
 
 
 def _gather(attribute: str) -> dict:
