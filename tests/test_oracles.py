@@ -39,4 +39,4 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"debounce_batches", "chunk_prose"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"debounce_batches", "chunk_prose", "chunk_markdown"}
