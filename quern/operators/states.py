@@ -151,3 +151,55 @@ def schedule(interval_ms: int, attempts: int = 3, base_ms: int = 60_000, most_ms
         return s, {"phase": "held" if s["held"] and s["phase"] == "waiting" else s["phase"], "due_ms": s["due"], "failures": s["failures"]}
 
     return step
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Members of two groups: how many, and the newest."""
+    return a[0] + b[0], max((x for x in (a[1], b[1]) if x is not None), default=None)
+
+
+def page_batches(quiet_ms: int, most_ms: int, lease_ms: int, attempts: int = 3) -> Step:
+    """One page's batches of hints: hint, claim, complete, retry; ``generation`` fences the last two.
+
+    Hints join the open batch, which is due after a quiet time, though no later than
+    most_ms after its first. A claim freezes a due batch under a lease; hints that come
+    later open a successor. complete ends the batch whose generation it names while its
+    lease holds, and retry gives its members back; so does the next claim once the lease
+    has run out. Members that were claimed ``attempts`` times fail instead. Members are
+    kept as counts by claims so far, with the newest of each, so the state is bounded.
+    """
+    none = (0, None)
+
+    def back(s: dict, now: int) -> dict:
+        opened = [s["open"][0], *(_joined(s["open"][a + 1], s["frozen"][a]) for a in range(attempts - 1))]
+        s = s | {"open": opened, "frozen": [none] * attempts, "until": None, "failed": s["failed"] + s["frozen"][-1][0]}
+        return s | {"first": now if s["first"] is None else s["first"], "due": now if s["due"] is None else s["due"]} if any(n for n, _ in opened) else s
+
+    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
+        s = state or {"open": [none] * attempts, "frozen": [none] * attempts, "first": None, "due": None, "until": None, "generation": 0, "failed": 0}
+        op, now = row["op"], row["now_ms"]
+        live = s["until"] is not None and s["until"] > now and row["generation"] == s["generation"]
+        held, newest = sum(n for n, _ in s["frozen"]), None
+        if op == "hint":
+            outcome = "joined" if any(n for n, _ in s["open"]) else "opened"
+            first = now if s["first"] is None else s["first"]
+            s = s | {"open": [_joined(s["open"][0], (1, (now, row["event_id"]))), *s["open"][1:]], "first": first, "due": min(now + quiet_ms, first + most_ms)}
+        elif op == "claim":
+            s = back(s, now) if s["until"] is not None and s["until"] <= now else s
+            whole = (0, None)
+            for part in s["open"]:
+                whole = _joined(whole, part)
+            outcome = "busy" if s["until"] is not None else "none" if not whole[0] else "early" if s["due"] > now else "claimed"
+            if outcome == "claimed":
+                held, newest = whole[0], whole[1][1]
+                s = s | {"open": [none] * attempts, "frozen": s["open"], "first": None, "due": None, "until": now + lease_ms, "generation": s["generation"] + 1}
+        elif not live:
+            outcome = "lost"
+        elif op == "complete":
+            outcome, s = "completed", s | {"frozen": [none] * attempts, "until": None}
+        else:
+            outcome, s = "returned", back(s, now)
+        size = held if outcome in ("claimed", "completed") else sum(n for n, _ in s["open"])
+        return s, {"outcome": outcome, "generation_now": s["generation"], "size": size, "newest": newest, "failed": s["failed"]}
+
+    return step

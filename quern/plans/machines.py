@@ -189,3 +189,34 @@ def written_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     back = F.concat("text", F.repeat(F.lit("\n"), F.length("text") % 3))
     return docs.select("doc_id", P.written_matches(F.col("text"), back).alias("matches"), P.lease_seconds(F.length("text")).alias("lease_s"), P.inactive(F.col("lang") == "en", F.col("source") == "src1").alias("inactive"))
+
+
+BATCHES = {"view": "hint", "click": "hint", "purchase": "claim", "signup": "complete", "error": "retry"}
+_HOUR = 3_600_000
+#: o0, o1: open members never and once claimed; r0, r1: frozen ones by what they were before; n...: the newest of each.
+_BATCH = f"""WITH RECURSIVE {OPS}, o AS (SELECT k, n, event_id, now_ms, {_case(BATCHES)} AS op, 1 + event_id % 3 AS g FROM e),
+  s AS (SELECT k, CAST(0 AS BIGINT) AS n, 0 AS o0, 0 AS o1, 0 AS r0, 0 AS r1, CAST(NULL AS BIGINT) AS no0, CAST(NULL AS BIGINT) AS no1, CAST(NULL AS BIGINT) AS nr0, CAST(NULL AS BIGINT) AS nr1,
+      CAST(NULL AS BIGINT) AS first, CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS until, 0 AS gen, 0 AS failed, '' AS outcome, 0 AS size, CAST(NULL AS BIGINT) AS newest, CAST(NULL AS BIGINT) AS event_id FROM e WHERE n = 1
+    UNION ALL SELECT k, n, CASE WHEN taken THEN 0 ELSE o0 END, CASE WHEN taken THEN 0 ELSE o1 END, CASE WHEN taken THEN o0 ELSE r0 END, CASE WHEN taken THEN o1 ELSE r1 END,
+      CASE WHEN NOT taken THEN no0 END, CASE WHEN NOT taken THEN no1 END, CASE WHEN taken THEN no0 ELSE nr0 END, CASE WHEN taken THEN no1 ELSE nr1 END,
+      CASE WHEN NOT taken THEN first END, CASE WHEN NOT taken THEN due END, CASE WHEN taken THEN now_ms + {48 * _HOUR} ELSE until END, CASE WHEN taken THEN gen + 1 ELSE gen END, failed,
+      CASE op WHEN 'hint' THEN CASE WHEN had THEN 'joined' ELSE 'opened' END WHEN 'claim' THEN CASE WHEN taken THEN 'claimed' WHEN until IS NOT NULL THEN 'busy' WHEN o0 + o1 = 0 THEN 'none' ELSE 'early' END
+        ELSE CASE WHEN NOT live THEN 'lost' WHEN op = 'complete' THEN 'completed' ELSE 'returned' END END,
+      CASE WHEN op = 'complete' AND live THEN held ELSE o0 + o1 END, CASE WHEN taken THEN greatest(no0, no1) END, event_id
+    FROM (SELECT *, op = 'claim' AND until IS NULL AND o0 + o1 > 0 AND due <= now_ms AS taken FROM (
+      SELECT k, n, event_id, now_ms, op, live, had, held, gen, o0 + CASE WHEN op = 'hint' THEN 1 ELSE 0 END AS o0, o1 + CASE WHEN back THEN r0 ELSE 0 END AS o1, CASE WHEN back OR op = 'complete' AND live THEN 0 ELSE r0 END AS r0, CASE WHEN back OR op = 'complete' AND live THEN 0 ELSE r1 END AS r1,
+        CASE WHEN op = 'hint' THEN n ELSE no0 END AS no0, CASE WHEN back THEN greatest(no1, nr0) ELSE no1 END AS no1, CASE WHEN NOT (back OR op = 'complete' AND live) THEN nr0 END AS nr0, CASE WHEN NOT (back OR op = 'complete' AND live) THEN nr1 END AS nr1,
+        CASE WHEN op = 'hint' OR back AND o0 + o1 + r0 > 0 THEN coalesce(first, now_ms) ELSE first END AS first,
+        CASE WHEN op = 'hint' THEN least(now_ms + {6 * _HOUR}, coalesce(first, now_ms) + {24 * _HOUR}) WHEN back AND o0 + o1 + r0 > 0 THEN coalesce(due, now_ms) ELSE due END AS due,
+        CASE WHEN NOT (back OR op = 'complete' AND live) THEN until END AS until, failed + CASE WHEN back THEN r1 ELSE 0 END AS failed
+      FROM (SELECT *, op = 'claim' AND coalesce(until <= now_ms, FALSE) OR op = 'retry' AND live AS back FROM (
+        SELECT s.* EXCLUDE (n, event_id, outcome, size, newest), o.n, o.event_id, o.now_ms, o.op, coalesce(until > o.now_ms AND o.g = gen, FALSE) AS live, o0 + o1 > 0 AS had, r0 + r1 AS held FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1) a) b) c) d)
+  SELECT s.k, s.event_id, outcome, CAST(gen AS BIGINT) AS generation_now, CAST(size AS BIGINT) AS size, e.event_id AS newest, CAST(failed AS BIGINT) AS failed FROM s LEFT JOIN e ON e.k = s.k AND e.n = s.newest WHERE s.n > 0"""
+
+
+@BOOK.query("page_batch_machine", _BATCH)
+def page_batch_machine(spark, sf_dir):
+    """A user's views and clicks are hints; others claim, complete or retry: quiet for six hours, a day at most, leases of two days, two claims."""
+    rows = _ops(spark, sf_dir, BATCHES, generation=1 + F.col("event_id") % 3)
+    step = S.page_batches(6 * _HOUR, 24 * _HOUR, 48 * _HOUR, attempts=2)
+    return S.folded(rows, "k", ["now_ms", "event_id"], step, "outcome string, generation_now long, size long, newest long, failed long").select("k", "event_id", "outcome", "generation_now", "size", "newest", "failed")

@@ -131,3 +131,25 @@ def test_ids_and_targets(spark):
     page = "https://h.example/T-" + "a" * 32
     assert kind(page) == "page" and kind(page + "#b") == "block" and kind("#b") == "block" and kind("https://else.example/x") == "external" and kind("x y") == "invalid" and kind("a" * 32) == "page"
     assert one(lambda c: L.page_id(c, hosts), "https://h.example:443/" + "a" * 32) is None and one(L.uuid, "A" * 31) is None
+
+
+def test_batches_are_frozen_while_they_are_claimed():
+    step = states.page_batches(quiet_ms=100, most_ms=250, lease_ms=1000, attempts=2)
+    state, said = None, []
+
+    def do(op, now, event_id=0, generation=0):
+        nonlocal state
+        state, out = step(state, {"op": op, "now_ms": now, "event_id": event_id, "generation": generation})
+        said.append(out)
+        return out["outcome"]
+
+    assert do("claim", 0) == "none" and do("hint", 0, 1) == "opened" and do("hint", 90, 2) == "joined" and do("claim", 100) == "early"
+    assert do("hint", 180, 3) == "joined" and do("hint", 240, 4) == "joined" and do("claim", 249) == "early"
+    assert do("claim", 250) == "claimed" and said[-1] == {"outcome": "claimed", "generation_now": 1, "size": 4, "newest": 4, "failed": 0}
+    # what comes now opens a successor, and nobody else gets the page
+    assert do("hint", 300, 5) == "opened" and do("claim", 500) == "busy" and do("complete", 600, generation=2) == "lost"
+    assert do("retry", 700, generation=1) == "returned" and said[-1]["size"] == 5
+    assert do("claim", 700) == "claimed" and said[-1]["size"] == 5 and said[-1]["newest"] == 5
+    # the lease runs out: four members have had both their claims, the fifth has one left
+    assert do("complete", 1700, generation=2) == "lost" and do("claim", 1700) == "claimed" and said[-1]["size"] == 1 and said[-1]["failed"] == 4
+    assert do("complete", 1800, generation=3) == "completed" and said[-1]["size"] == 1 and do("claim", 9999) == "none"
