@@ -24,7 +24,7 @@ _INLINE = ("paragraph", "heading", "table")
 _MARKED = r"[*_`\[\]<>\\&!~\-+#=|\t]|\x20\x20|(?:\A|\s)[0-9]+[.)](?:\s|\z)"
 
 
-def _tags(leaf: Column) -> Column:
+def tags_of(leaf: Column) -> Column:
     """HTML tags of a leaf, with whether they stand outside of containers."""
     said = F.when(leaf["kind"] == "html", inline.found(leaf["shown"], inline.IN_HTML, leaf["start"])).when(
         leaf["kind"].isin(*_INLINE) & F.contains(leaf["shown"], F.lit("<")), F.filter(inline.found(leaf["shown"], inline.MARKUP, leaf["start"]), lambda t: F.startswith(t["said"], F.lit("<")))
@@ -34,7 +34,7 @@ def _tags(leaf: Column) -> Column:
 
 def structure(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, tops, leaves, spans, heads): spans are whole HTML elements, heads the headings outside of containers and elements, with their titles."""
-    made = with_blocks(df, key, text).withColumn("tags", F.flatten(F.transform("leaves", _tags)))
+    made = with_blocks(df, key, text).withColumn("tags", F.flatten(F.transform("leaves", tags_of)))
     made = made.withColumn("spans", F.when(F.size("tags") > 0, inline.paired(F.col("tags"), F.length(text))).otherwise(F.array().cast("array<struct<start:int,end:int,alone:boolean>>")))
     outer = F.filter("leaves", lambda x: (x["kind"] == "heading") & (x["depth"] == 0))
     free = F.filter(outer, lambda x: ~F.exists("spans", lambda s: (x["start"] >= s["start"]) & (x["start"] < s["end"])))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import markdown as M
+from quern.operators.media import Store, canonical_media
 from quern.plans.common import Book
 from quern.views import table
 
@@ -117,3 +118,27 @@ def section_updates(spark, sf_dir):
 def reference_rows(spark, sf_dir):
     """Every live reference with its byte range."""
     return M.references(pages(spark, sf_dir), "doc_id", "text")
+
+
+#: An address of the store by page: signed, of one page in three without its date; and what is left of it.
+_SIGNED = {
+    "base": "'https://files.example.com/' || md5('a' || page_id) || '/' || md5('b' || page_id) || '/' || page_id || '.png'",
+    "query": "'?X-Amz-Algorithm=AWS4-HMAC-SHA256&X-Amz-Credential=c' || CASE WHEN page_id % 3 = 0 THEN '' ELSE '&X-Amz-Date=d' END || '&X-Amz-Expires=3600&X-Amz-SignedHeaders=host&X-Amz-Signature=' || page_id || '&x-id=GetObject'",
+}
+_LIVE = ("![i](", ") and <video src=\"", "\"/>\n\n![b](<", ">)\n\n")
+_DEAD = ("`![c](", ")` ![t](", " \"title\") [l](", ")\n\n<pre><image src=\"", "\"/></pre>\n\n```\n![f](", ")\n```\n")
+
+
+def _said(live: str, dead: str) -> str:
+    """The page as SQL, with what stands in live and in dead places."""
+    quoted = lambda t: "'" + t.replace("\n", "' || chr(10) || '") + "'"
+    return " || ".join([x for piece in _LIVE for x in (quoted(piece), live)][:-1] + [x for piece in _DEAD for x in (quoted(piece), dead)][:-1])
+
+
+@BOOK.query("media_identities", f"""WITH a AS (SELECT page_id, {_SIGNED['base']} || {_SIGNED['query']} AS u, CASE WHEN page_id % 3 = 0 THEN {_SIGNED['base']} || {_SIGNED['query']} ELSE {_SIGNED['base']} || '?x-id=GetObject' END AS kept FROM pages)
+  SELECT page_id, sha256({_said('kept', 'u')}) AS text_sha256 FROM a""")
+def media_identities(spark, sf_dir):
+    """Every page with images and elements in live and dead places, their addresses signed."""
+    signed = table(spark, sf_dir, "pages").select("page_id", F.expr(f"{_SIGNED['base']} || {_SIGNED['query']}").alias("u"))
+    made = canonical_media(signed.select("page_id", F.expr(_said("u", "u").replace("chr(10)", "char(10)")).alias("text")), "page_id", "text", Store("files.example.com"))
+    return made.select("page_id", F.sha2("text", 256).alias("text_sha256"))
