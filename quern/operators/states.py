@@ -203,3 +203,25 @@ def page_batches(quiet_ms: int, most_ms: int, lease_ms: int, attempts: int = 3)
         return s, {"outcome": outcome, "generation_now": s["generation"], "size": size, "newest": newest, "failed": s["failed"]}
 
     return step
+
+
+def admission(most: int) -> Step:
+    """Requests of ``weight`` that run for hold_ms: admitted while what runs weighs ``most`` at most together, else rejected.
+
+    What is rejected never ran, so it takes no room from later ones; room comes back when a
+    request's time is over. A request that weighs over ``most`` by itself is never admitted.
+    The state is what runs, so at most ``most`` requests of weight 1.
+    """
+
+    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
+        s = state or {"running": [], "peak": 0, "rejected": 0}
+        running = [r for r in s["running"] if r[0] > row["now_ms"]]
+        active = sum(w for _, w in running)
+        fits = active + row["weight"] <= most
+        if fits:
+            running.append((row["now_ms"] + row["hold_ms"], row["weight"]))
+            active += row["weight"]
+        s = {"running": running, "peak": max(s["peak"], active), "rejected": s["rejected"] + (not fits)}
+        return s, {"admitted": fits, "active": active, "peak": s["peak"], "rejected": s["rejected"]}
+
+    return step

@@ -220,3 +220,15 @@ def page_batch_machine(spark, sf_dir):
     rows = _ops(spark, sf_dir, BATCHES, generation=1 + F.col("event_id") % 3)
     step = S.page_batches(6 * _HOUR, 24 * _HOUR, 48 * _HOUR, attempts=2)
     return S.folded(rows, "k", ["now_ms", "event_id"], step, "outcome string, generation_now long, size long, newest long, failed long").select("k", "event_id", "outcome", "generation_now", "size", "newest", "failed")
+
+
+@BOOK.query("admission_feedback", f"""WITH RECURSIVE {OPS}, o AS (SELECT k, n, event_id, now_ms, 1 + event_id % 3 AS weight, {12 * _HOUR} * (1 + event_id % 4) AS hold FROM e),
+  s AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, CAST([] AS STRUCT(until BIGINT, weight BIGINT)[]) AS running, CAST(0 AS BIGINT) AS peak, CAST(0 AS BIGINT) AS rejected, FALSE AS admitted, CAST(0 AS BIGINT) AS active FROM o WHERE n = 1
+    UNION ALL SELECT k, n, event_id, CASE WHEN fits THEN list_append(left_over, struct_pack(until := now_ms + hold, weight := CAST(weight AS BIGINT))) ELSE left_over END, greatest(peak, used + CASE WHEN fits THEN weight ELSE 0 END), rejected + CASE WHEN fits THEN 0 ELSE 1 END, fits, used + CASE WHEN fits THEN weight ELSE 0 END
+    FROM (SELECT *, used + weight <= 4 AS fits FROM (SELECT *, CAST(coalesce(list_sum(list_transform(left_over, lambda x: x.weight)), 0) AS BIGINT) AS used FROM (
+      SELECT o.*, s.peak, s.rejected, list_filter(s.running, lambda x: x.until > o.now_ms) AS left_over FROM s JOIN o ON o.k = s.k AND o.n = s.n + 1) a) b) c)
+  SELECT k, event_id, admitted, CAST(active AS BIGINT) AS active, CAST(peak AS BIGINT) AS peak, rejected FROM s WHERE n > 0""")
+def admission_feedback(spark, sf_dir):
+    """A user's requests weigh one to three and run for half a day to two days; four may run together."""
+    rows = _ops(spark, sf_dir, BATCHES, weight=1 + F.col("event_id") % 3, hold_ms=12 * _HOUR * (1 + F.col("event_id") % 4))
+    return S.folded(rows, "k", ["now_ms", "event_id"], S.admission(4), "admitted boolean, active long, peak long, rejected long").select("k", "event_id", "admitted", "active", "peak", "rejected")

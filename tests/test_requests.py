@@ -153,3 +153,12 @@ def test_batches_are_frozen_while_they_are_claimed():
     # the lease runs out: four members have had both their claims, the fifth has one left
     assert do("complete", 1700, generation=2) == "lost" and do("claim", 1700) == "claimed" and said[-1]["size"] == 1 and said[-1]["failed"] == 4
     assert do("complete", 1800, generation=3) == "completed" and said[-1]["size"] == 1 and do("claim", 9999) == "none"
+
+
+def test_what_is_rejected_takes_no_room():
+    step, state, said = states.admission(4), None, []
+    for now, weight, hold in [(0, 3, 100), (10, 2, 1000), (20, 1, 50), (69, 1, 10), (70, 1, 10), (100, 4, 1), (100, 3, 10), (200, 5, 1)]:
+        state, out = step(state, {"now_ms": now, "weight": weight, "hold_ms": hold})
+        said.append((out["admitted"], out["active"]))
+    assert said == [(True, 3), (False, 3), (True, 4), (False, 4), (True, 4), (True, 4), (False, 4), (False, 0)]
+    assert (out["peak"], out["rejected"]) == (4, 4)
