@@ -10,6 +10,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +41,22 @@ def literal(text: str) -> str | None:
     return " ".join(words) if fits else None
 
 
+#: A word by Unicode's default boundaries: letters, digits and underscores, with what joins two letters or two digits.
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=[\p{L}\p{M}])['\u2019.:\u00b7\u2027](?=\p{L})|(?<=\p{N})[.,;'](?=\p{N}))[\p{L}\p{M}\p{N}_]+)*")
+
+
 def positions(query: str) -> list[str | None]:
-    """Up to MOST_WORDS words of a query; None stands where punctuation parts units."""
+    """Up to MOST_WORDS words of a query; None stands for a word that is not of letters alone, and where more than blanks lies between two words."""
     out: list[str | None] = []
-    words = 0
-    for token in re.findall(r"\S+", unicodedata.normalize("NFC", query)):
-        for run in re.split(r"([^\w]|\d|_)", token):
-            if not run:
-                continue
-            if all(unicodedata.category(c)[0] in "LM" for c in run):
-                words += 1
-                if words > MOST_WORDS:
-                    return out
-                out.append(run.lower())
-            else:
-                out.append(None)
+    text, end, words = unicodedata.normalize("NFC", query), None, 0
+    for m in _WORD.finditer(text):
+        if words == MOST_WORDS:
+            break
+        if end is not None and text[end : m.start()].strip():
+            out.append(None)
+        word = m[0]
+        out.append(word.lower() if all(unicodedata.category(c)[0] in "LM" for c in word) else None)
+        end, words = m.end(), words + 1
     return out
 
 

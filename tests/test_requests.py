@@ -70,6 +70,8 @@ def test_query_forms():
     assert X.literal("  Été  Bleu ") == "été bleu" and X.literal("a1") is None and X.literal("a b c d e") is None and X.literal("x" * 65) is None
     assert X.segmented("big red dog, red dog house", {"red dog", "dog house", "big", "dog, red"}) == ["big", "red dog", "red dog"]
     assert X.segmented("a b c d e", {"a b c d", "a", "e", "d e"}) == ["a b c d", "e"]
+    assert X.segmented("abc123 don't abc_d x.abc 1,5 abc", {"abc", "don", "t", "d", "x"}) == ["abc"]
+    assert X.segmented("abc 12 def", {"abc def", "abc", "def"}) == ["abc", "def"]
     assert len(X.segmented(" ".join(["a"] * 30), {"a"})) == X.MOST_UNITS
     assert len(X.positions(" ".join(["w"] * 300))) == X.MOST_WORDS
 
