@@ -73,7 +73,7 @@ def canonical_media(df: DataFrame, key: str, text: str, store: Store) -> DataFra
         start = t["start"] + F.length(lead)
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.when(lead != "", identity(value, store, True)).alias("put"))
 
-    def image(x: Column, leaf: Column) -> Column:
+    def image(x: Column) -> Column:
         ends = F.when(F.endswith(x["said"], F.lit(">)")), 2).otherwise(1)
         start = x["end"] - ends - F.length(x["target"])
         right = F.endswith(x["said"], F.concat(F.lit("]("), x["target"], F.lit(")"))) | F.endswith(x["said"], F.concat(F.lit("](<"), x["target"], F.lit(">)")))
@@ -84,7 +84,7 @@ def canonical_media(df: DataFrame, key: str, text: str, store: Store) -> DataFra
         nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
         made = inline.links(tokens, leaf["shown"], leaf["start"], nothing)
         said = F.transform(made, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["form"].alias("form"), x["target"].alias("target"), F.substr(leaf["shown"], x["start"] - leaf["start"] + 1, x["end"] - x["start"]).alias("said")))
-        return F.transform(said, lambda x: image(x, leaf))
+        return F.transform(said, image)
 
     prose = F.filter("leaves", lambda x: x["kind"].isin("paragraph", "heading", "table") & F.contains(x["shown"], F.lit("![")))
     edits = F.array_sort(F.filter(F.concat(F.transform(shown, element), F.flatten(F.transform(prose, images))), lambda e: e["put"].isNotNull()))
