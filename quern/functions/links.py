@@ -10,9 +10,9 @@ _HEX32 = "^[0-9A-Fa-f]{32}$"
 
 def uuid(text: Column) -> Column:
     """32 hexadecimal digits, bare or with the four dashes of a UUID, as a lower-case UUID; null for anything else."""
-    bare = F.lower(F.when(F.rlike(text, F.lit("^[0-9A-Fa-f]{32}$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")), F.replace(text, F.lit("-"), F.lit(""))))
-    cut = [F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(bare.isNotNull(), F.concat_ws("-", *cut))
+    bare = F.lower(F.replace(text, F.lit("-"), F.lit("")))
+    cut = F.regexp_replace(bare, r"(?s)^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
+    return F.when(F.rlike(text, F.lit("^[0-9A-Fa-f]{32}$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")), cut)
 
 
 def page_id(url: Column, hosts: list[str]) -> Column:

@@ -42,48 +42,59 @@ def _is(text: Column, mark: str) -> Column:
     return F.coalesce(F.startswith(F.ltrim(text), F.lit(mark)), F.lit(False))
 
 
+def _with(made: Column, use: Callable[[Column], Column]) -> Column:
+    """use(made), with made reckoned once however often it is used."""
+    return F.element_at(F.transform(F.array(made), use), 1)
+
+
 def _strings(array: Column, field: str) -> Column:
     """The strings under a field of an array of objects; null if one has none."""
-    each = F.transform(_json(array, f"array<struct<{field}:string>>"), lambda x: x[field])
     # a value that is no string is read as its JSON text, so the raw text must hold it in quotes
-    raw = F.transform(_json(array, "array<string>"), lambda x: F.rlike(x, F.lit(rf'"{field}"\s*:\s*"')))
-    return F.when(_is(array, "[") & F.forall(each, lambda x: x.isNotNull()) & F.forall(raw, lambda x: F.coalesce(x, F.lit(False))), each)
+    quoted = F.forall(_json(array, "array<string>"), lambda x: F.coalesce(F.rlike(x, F.lit(rf'"{field}"\s*:\s*"')), F.lit(False)))
+    every = lambda rows: F.when(F.forall(rows, lambda x: x[field].isNotNull()) & quoted, F.transform(rows, lambda x: x[field]))
+    return F.when(_is(array, "["), _with(_json(array, f"array<struct<{field}:string>>"), every))
 
 
-def _quoted(parent: Column, name: Column, value: Column) -> Column:
-    """value if it stands in its parent's JSON as a string."""
-    return F.when(F.rlike(parent, F.concat(F.lit(r'"\Q'), name, F.lit(r'\E"\s*:\s*"'))), value)
+def _ids(array: Column) -> Column:
+    """The ids of an array of objects, sorted; null if one has none."""
+    return _with(F.transform(_strings(array, "id"), uuid), lambda ids: F.when(F.forall(ids, lambda x: x.isNotNull()), F.sort_array(ids)))
 
 
-def _with(made: Column, use: Callable[[Column], Column]) -> Column:
-    """use(made), with made reckoned once however often it is used."""
-    return F.element_at(F.transform(F.array(made), use), 1)
+def _in_quotes(parent: Column, name: Column) -> Column:
+    """Whether a field stands in its parent's JSON as a string."""
+    return F.coalesce(F.rlike(parent, F.concat(F.lit(r'"\Q'), name, F.lit(r'\E"\s*:\s*"'))), F.lit(False))
+
+
+def _if_any(found: Column, made: Callable[[Column], Column]) -> Column:
+    """made(found), found being reckoned once; null if it is null."""
+    return _with(found, lambda x: F.when(x.isNotNull(), made(x)))
 
 
 def _one(said: Column, deep: bool) -> Column:
     """(value VALUE, reason) of one property's JSON."""
+    return _with(_parts(said), lambda p: _judged(p, deep))
+
 
-    def read(p: Column) -> Column:
-        kind = F.try_element_at(p["raw"], F.lit("type"))
-        return _with(F.struct(p["said"].alias("said"), p["raw"].alias("raw"), kind.alias("kind"), F.try_element_at(p["raw"], kind).alias("v")), lambda q: _read(q, deep))
+def _parts(said: Column) -> Column:
+    """(said, raw): one property's JSON, and its fields as a map."""
+    return F.struct(said.alias("said"), _json(said, _MAP).alias("raw"))
 
-    return _with(F.struct(said.alias("said"), _json(said, _MAP).alias("raw")), read)
+
+def _judged(p: Column, deep: bool) -> Column:
+    kind = F.try_element_at(p["raw"], F.lit("type"))
+    return _with(F.struct(p["said"].alias("said"), p["raw"].alias("raw"), kind.alias("kind"), F.try_element_at(p["raw"], kind).alias("v")), lambda q: _read(q, deep))
 
 
 def _read(p: Column, deep: bool) -> Column:
     """The same from a property that is read as a map already: (said, raw, kind, v), v being what lies under its type."""
     said, raw, kind, v = p["said"], p["raw"], p["kind"], p["v"]
+    # lambdas are interpreted, and reckon an expression as often as it stands in them: each kind has one branch, and what that uses twice is bound
     there = F.coalesce(F.map_contains_key(raw, kind), F.lit(False))
-    text = _quoted(said, kind, v)
-    number = F.when(text.isNull() & F.rlike(v, F.lit(r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")), v.try_cast("double"))
-    flag = F.when(text.isNull() & v.isin("true", "false"), v == "true")
-    name = _quoted(v, F.lit("name"), F.try_element_at(_json(v, _MAP), F.lit("name")))
-    date = _json(v, "struct<start:string,end:string>")
-    start = _quoted(v, F.lit("start"), date["start"])
-    end_ok = date["end"].isNull() | F.rlike(v, F.lit(r'"end"\s*:\s*"'))
-    names, spoken = _strings(v, "name"), _strings(v, "plain_text")
-    ids = F.transform(_strings(v, "id"), uuid)
-    ids = F.when(F.forall(ids, lambda x: x.isNotNull()), F.array_sort(ids))
+    string = _in_quotes(said, kind)
+    number = ~string & F.rlike(v, F.lit(r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"))
+    name = F.when(_in_quotes(v, F.lit("name")), F.try_element_at(_json(v, _MAP), F.lit("name")))
+    date = F.when(_in_quotes(v, F.lit("start")), _json(v, "struct<start:string,end:string>"))
+    end_ok = lambda d: d["end"].isNull() | F.rlike(v, F.lit(r'"end"\s*:\s*"'))
     person = uuid(F.try_element_at(_json(v, _MAP), F.lit("id")))
     more = F.try_element_at(raw, F.lit("has_more"))
     size = F.coalesce(F.size(_json(v, "array<string>")), F.lit(0))
@@ -91,19 +102,20 @@ def _read(p: Column, deep: bool) -> Column:
     cut = (kind.isin("people", "relation") & ((more == "true") | ((kind == "people") & (size >= CUT_AT)))) | (kind.isin(*RICH) & (mentions >= CUT_AT))
     made = (
         F.when(there & v.isNull() & kind.isin(*NULLABLE), _value("null"))
-        .when(kind.isin(*TEXTS) & text.isNotNull(), _value("text", text=text))
-        .when(kind.isin(*RICH) & spoken.isNotNull(), _value("text", text=F.array_join(spoken, "")))
-        .when((kind == "number") & number.isNotNull(), _value("number", number=number))
-        .when(kind.isin("checkbox", "boolean") & flag.isNotNull(), _value("flag", flag=flag))
-        .when(kind.isin(*NAMED) & name.isNotNull(), _value("text", text=name))
-        .when((kind == "multi_select") & names.isNotNull(), _value("strings", items=F.array_sort(names)))
-        .when((kind == "date") & start.isNotNull() & end_ok, _value("date", start=start, end=date["end"]))
-        .when((kind == "people") & ids.isNotNull(), _value("person_ids", items=ids))
-        .when((kind == "relation") & ids.isNotNull() & F.coalesce(more.isin("true", "false"), F.lit(False)), _value("page_ids", items=ids))
-        .when(kind.isin(*PEOPLE) & person.isNotNull(), _value("person_ids", items=F.array(person)))
+        .when(kind.isin(*TEXTS), F.when(v.isNotNull() & string, _value("text", text=v)))
+        .when(kind.isin(*RICH), _if_any(_strings(v, "plain_text"), lambda x: _value("text", text=F.array_join(x, ""))))
+        .when(kind == "number", F.when(number, _value("number", number=v.try_cast("double"))))
+        .when(kind.isin("checkbox", "boolean"), F.when(~string & v.isin("true", "false"), _value("flag", flag=v == "true")))
+        .when(kind.isin(*NAMED), _if_any(name, lambda x: _value("text", text=x)))
+        .when(kind == "multi_select", _if_any(_strings(v, "name"), lambda x: _value("strings", items=F.sort_array(x))))
+        .when(kind == "date", _with(date, lambda d: F.when(d["start"].isNotNull() & end_ok(d), _value("date", start=d["start"], end=d["end"]))))
+        .when(kind == "people", _if_any(_ids(v), lambda x: _value("person_ids", items=x)))
+        .when(kind == "relation", F.when(F.coalesce(more.isin("true", "false"), F.lit(False)), _if_any(_ids(v), lambda x: _value("page_ids", items=x))))
+        .when(kind.isin(*PEOPLE), _if_any(person, lambda x: _value("person_ids", items=F.array(x))))
     )
     unknown = kind.isNotNull() & ~kind.isin(*(KNOWN if deep else [k for k in KNOWN if k not in NESTED]))
-    plain = F.struct(F.when(~F.coalesce(cut, F.lit(False)), made).alias("value"), F.when(unknown | F.coalesce(cut, F.lit(False)), "unsupported").when(made.isNull(), "invalid").alias("reason"))
+    judged = lambda q: F.struct(F.when(~q["cut"], q["made"]).alias("value"), F.when(unknown | q["cut"], "unsupported").when(q["made"].isNull(), "invalid").alias("reason"))
+    plain = _with(F.struct(made.alias("made"), F.coalesce(cut, F.lit(False)).alias("cut")), judged)
     if not deep:
         return plain
     return F.when(kind.isin(*NESTED) & _is(v, "{"), _one(v, False)).otherwise(plain)
@@ -125,9 +137,13 @@ def page_metadata(pages: DataFrame, key: str, json: str, hosts: list[str]) -> Da
     """
     schema = "struct<object:string,id:string,url:string,last_edited_time:string,in_trash:string,is_archived:string,archived:string,properties:map<string,string>>"
     df = pages.select(key, _json(F.col(json), schema).alias("p"))
-    entries = F.array_sort(F.map_entries(F.coalesce(F.col("p.properties"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
-    read = F.transform(entries, lambda e: F.struct(e["key"].alias("name"), F.get_json_object(e["value"], "$.id").alias("id"), F.get_json_object(e["value"], "$.type").alias("type"), typed(e["value"]).alias("t")))
-    df = df.withColumn("_read", read)
+    entries = F.sort_array(F.map_entries(F.coalesce(F.col("p.properties"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
+
+    def one(e: Column) -> Column:
+        of = lambda p, field: F.try_element_at(p["raw"], F.lit(field)).alias(field)
+        return _with(_parts(e["value"]), lambda p: F.struct(e["key"].alias("name"), of(p, "id"), of(p, "type"), _judged(p, True).alias("t")))
+
+    df = df.withColumn("_read", F.transform(entries, one))
     first = F.try_element_at(F.filter("_read", lambda x: x["t"]["reason"].isNotNull()), F.lit(1))["t"]["reason"]
     ids = F.transform("_read", lambda x: x["id"])
     titles = F.filter("_read", lambda x: x["type"] == "title")

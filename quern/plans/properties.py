@@ -45,7 +45,9 @@ def page_metadata_typed(spark, sf_dir):
         '","end":null}},"Owner":{"id":"ow","type":"people","people":[{"object":"user","id":"', c, '"}]},"Even":{"id":"ev","type":"formula","formula":{"type":"boolean","boolean":', F.when(k % 2 == 0, "true").otherwise("false"), '}},"Parent":{"id":"rel","type":"relation","relation":[{"id":"', c, '"}],"has_more":false}', fault, "}}",
     ]
     said = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    made = page_metadata(table(spark, sf_dir, "orders").select("o_orderkey", said.alias("json")), "o_orderkey", "json", ["pages.example.com"])
+    # a file is often one task, and reading a page's JSON takes far longer than dealing out the orders that it is made of
+    orders = table(spark, sf_dir, "orders").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    made = page_metadata(orders.select("o_orderkey", said.alias("json")), "o_orderkey", "json", ["pages.example.com"])
     of = lambda n: F.try_element_at("properties", F.lit(n))
     return made.select(
         "o_orderkey", "reason", "id", "title", "archived", of("pr")["number"].alias("price"), F.concat_ws(":", of("st")["kind"], of("st")["text"]).alias("_s"), F.array_join(of("tg")["items"], "|").alias("tags"), of("du")["start"].alias("due"),

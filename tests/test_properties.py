@@ -75,3 +75,15 @@ def test_pages_are_taken_whole_or_not(spark):
     r = got[0]
     assert (r.id, r.title, r.archived, r.relations) == (OWN, "T", True, {"r": "R"}) and set(r.properties) == {"title", "r"}
     assert page_metadata(df.limit(0), "n", "said", ["h.example"]).count() == 0
+
+
+def test_a_list_is_read_a_few_times_only(spark):
+    """Lambdas are interpreted: what stands in them twice is read twice."""
+    made = spark.createDataFrame([('{"type":"url","url":"x"}',)], "said string").select(typed(F.col("said")).alias("t"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("from_json(") < 50
+
+
+def test_orders_in_one_file_become_many_tasks(spark):
+    from quern.plans.registry import queries
+
+    assert queries()["page_metadata_typed"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
