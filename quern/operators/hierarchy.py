@@ -85,6 +85,25 @@ def walked(claims: DataFrame, roots: DataFrame, proof: DataFrame, unreadable: Da
         seen = kept(seen.union(frontier))
 
 
+def descended(nodes: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(id, parent, depth): roots (id, parent) at 0 and what of nodes (id, parent) lies below them, at its least depth, ``most`` at the deepest.
+
+    A pair of id and parent is followed once, in the first round that finds it.
+    """
+    pairs = nodes.select("id", "parent")
+    seen = kept(roots.select("id", "parent", F.lit(0).cast("long").alias("depth")).distinct())
+    frontier = seen
+    for depth in range(1, most + 1):
+        found = pairs.join(frontier.select(F.col("id").alias("parent")).distinct().hint("merge"), "parent", "left_semi").select("id", "parent").distinct()
+        known = seen.select(F.col("id").alias("known"), F.col("parent").alias("below"))
+        fresh = found.join(known.hint("merge"), F.col("id").eqNullSafe(F.col("known")) & (F.col("parent") == F.col("below")), "left_anti")
+        frontier = kept(fresh.withColumn("depth", F.lit(depth).cast("long")))
+        if not frontier.limit(1).count():
+            break
+        seen = kept(seen.union(frontier))
+    return seen
+
+
 def visit_outcome(excluded: Column, has_metadata: Column, parent_proven: Column, trashed: Column, has_body: Column) -> Column:
     """Why a page visit ends early, in the order of its checks; null where it is read."""
     return F.when(excluded, "excluded").when(~has_metadata, "unreadable").when(~parent_proven, "wrong_parent").when(trashed, "trashed").when(~has_body, "no_body")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import hierarchy as H
 from quern.plans.common import Book
 from quern.views import table
 
@@ -21,18 +23,58 @@ up AS (
   SELECT id, id AS anc, parent, 0 AS depth FROM node
   UNION ALL SELECT u.id, n.id, n.parent, u.depth + 1 FROM up u JOIN node n ON u.parent = n.id)"""
 
-BOOK.sql("ancestor_chain", f"WITH {WALK} SELECT id, CAST(max(depth) AS BIGINT) AS depth, max(CASE WHEN parent IS NULL THEN anc END) AS root FROM up GROUP BY id")
-BOOK.sql("scope_authorized", f"""WITH {WALK},
+
+def tree(spark, sf_dir) -> DataFrame:
+    """(id, parent) of TREE."""
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    out = table(spark, sf_dir, "region").select(named("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
+    for name, own, above in (("nation", named("n", "n_nationkey"), named("r", "n_regionkey")), ("customer", named("c", "c_custkey"), named("n", "c_nationkey")), ("supplier", named("s", "s_suppkey"), named("n", "s_nationkey"))):
+        out = out.union(table(spark, sf_dir, name).select(own, above))
+    return out
+
+
+def _within(nodes: DataFrame, **sets: tuple[str, ...]) -> DataFrame:
+    """(id, and for each set whether a node or an ancestor is of it)."""
+    chains = H.climbed(nodes, any_of={n: F.coalesce(F.col("id").isin(*ids), F.lit(False)) for n, ids in sets.items()})
+    return chains.groupBy("id").agg(*[F.max(n).alias(n) for n in sets])
+
+
+@BOOK.query("ancestor_chain", f"WITH {WALK} SELECT id, CAST(max(depth) AS BIGINT) AS depth, max(CASE WHEN parent IS NULL THEN anc END) AS root FROM up GROUP BY id")
+def ancestor_chain(spark, sf_dir):
+    """Every node's depth and its topmost ancestor, if no parent is missing."""
+    return H.climbed(tree(spark, sf_dir)).groupBy("id").agg(F.max("depth").alias("depth"), F.max(F.when(F.col("whole"), F.col("root"))).alias("root"))
+
+
+@BOOK.query("scope_authorized", f"""WITH {WALK},
   ok AS (SELECT id, max(CASE WHEN anc IN ('r0', 'r2') THEN 1 ELSE 0 END) AS in_root, max(CASE WHEN anc IN ('n3', 'n8', 'n12') THEN 1 ELSE 0 END) AS excluded FROM up GROUP BY id)
   SELECT id, CASE WHEN excluded = 1 THEN 'excluded' WHEN in_root = 1 THEN 'authorized' ELSE 'out_of_scope' END AS decision FROM ok""")
-BOOK.sql("reachable_tree", f"""WITH RECURSIVE {TREE},
+def scope_authorized(spark, sf_dir):
+    """Every node's decision by two roots and three excluded nodes."""
+    ok = _within(tree(spark, sf_dir), in_root=("r0", "r2"), excluded=("n3", "n8", "n12"))
+    return ok.select("id", F.when(F.col("excluded"), "excluded").when(F.col("in_root"), "authorized").otherwise("out_of_scope").alias("decision"))
+
+
+@BOOK.query("reachable_tree", f"""WITH RECURSIVE {TREE},
   down AS (SELECT id, parent, 0 AS depth FROM node WHERE id IN ('r1', 'r3')
     UNION ALL SELECT n.id, n.parent, d.depth + 1 FROM down d JOIN node n ON n.parent = d.id WHERE d.depth < 64)
   SELECT id, parent, CAST(min(depth) AS BIGINT) AS depth FROM down GROUP BY id, parent""")
-BOOK.sql("target_placement", f"""WITH {WALK},
+def reachable_tree(spark, sf_dir):
+    """All nodes below two roots, with their least depth."""
+    nodes = tree(spark, sf_dir)
+    return H.descended(nodes, nodes.filter(F.col("id").isin("r1", "r3")), 64)
+
+
+@BOOK.query("target_placement", f"""WITH {WALK},
   placed AS (SELECT id FROM up GROUP BY id HAVING max(CASE WHEN anc IN ('r0', 'r1') THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN anc = 'n5' THEN 1 ELSE 0 END) = 0)
   SELECT 'c' || o_custkey AS target, CAST(count(*) AS BIGINT) AS edges, max(CASE WHEN p.id IS NULL THEN 0 ELSE 1 END) = 1 AS resolved
   FROM orders LEFT JOIN placed p ON p.id = 'c' || o_custkey GROUP BY o_custkey""")
+def target_placement(spark, sf_dir):
+    """Orders by the customer that they point to, and whether that one lies below two regions and not in a nation that is left out."""
+    placed = _within(tree(spark, sf_dir), in_root=("r0", "r1"), left_out=("n5",)).filter("in_root AND NOT left_out").select(F.col("id").alias("target"), F.lit(True).alias("placed"))
+    edges = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("edges")).withColumn("target", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    return edges.join(placed, "target", "left").select("target", "edges", F.coalesce("placed", F.lit(False)).alias("resolved"))
+
+
 BOOK.sql("hit_placement", """SELECT o_orderkey, CASE WHEN n_regionkey IN (0, 1) AND c_mktsegment = 'BUILDING' THEN 'root' WHEN n_regionkey IN (0, 1) THEN 'child_of_root' WHEN n_nationkey IN (8, 9, 12) THEN 'known_parent' WHEN c_custkey IS NOT NULL THEN 'sibling_source' ELSE 'unplaced' END AS placement
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 

@@ -164,3 +164,22 @@ def test_what_is_rejected_takes_no_room():
         said.append((out["admitted"], out["active"]))
     assert said == [(True, 3), (False, 3), (True, 4), (False, 4), (True, 4), (True, 4), (False, 4), (False, 0)]
     assert (out["peak"], out["rejected"]) == (4, 4)
+
+
+@pytest.mark.parametrize("name", ["ancestor_chain", "scope_authorized", "target_placement", "reachable_tree"])
+def test_trees_are_not_bounded_by_the_rows_of_a_recursion(spark, name):
+    from quern.plans.registry import queries
+
+    held = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        assert queries()[name](spark, "/root/testdata/sf0.001").count() > 50
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", held)
+
+
+def test_descended_takes_the_least_depth_and_stops(spark):
+    nodes = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("b", "r"), ("c", "b"), (None, "a"), ("d", "c"), ("r", "d")], "id string, parent string")
+    got = lambda most: sorted(((r.id or "", r.parent or "", r.depth) for r in H.descended(nodes, nodes.filter("id = 'r' AND parent IS NULL"), most).collect()))
+    assert got(64) == [("", "a", 2), ("a", "r", 1), ("b", "a", 2), ("b", "r", 1), ("c", "b", 2), ("d", "c", 3), ("r", "", 0), ("r", "d", 4)]
+    assert got(1) == [("a", "r", 1), ("b", "r", 1), ("r", "", 0)]
