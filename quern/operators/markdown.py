@@ -24,6 +24,16 @@ _INLINE = ("paragraph", "heading", "table")
 _MARKED = r"[*_`\[\]<>\\&!~\-+#=|\t]|\x20\x20|(?:\A|\s)[0-9]+[.)](?:\s|\z)"
 
 
+def held(df: DataFrame, name: str, made: Column) -> DataFrame:
+    """df with a column that is reckoned once a row.
+
+    The optimizer puts a plain column's expression wherever it is used: into lambdas, once
+    for each of their elements, and into the filter that it adds before an explode. It does
+    neither with what a generator gives.
+    """
+    return df.select("*", F.explode(F.array(made)).alias(name))
+
+
 def tags_of(leaf: Column) -> Column:
     """HTML tags of a leaf, with whether they stand outside of containers."""
     said = F.when(leaf["kind"] == "html", inline.found(leaf["shown"], inline.IN_HTML, leaf["start"])).when(
@@ -34,12 +44,12 @@ def tags_of(leaf: Column) -> Column:
 
 def structure(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, tops, leaves, spans, heads): spans are whole HTML elements, heads the headings outside of containers and elements, with their titles."""
-    made = with_blocks(df, key, text).withColumn("tags", F.flatten(F.transform("leaves", tags_of)))
-    made = made.withColumn("spans", F.when(F.size("tags") > 0, inline.paired(F.col("tags"), F.length(text))).otherwise(F.array().cast("array<struct<start:int,end:int,alone:boolean>>")))
+    made = held(with_blocks(df, key, text), "tags", F.flatten(F.transform("leaves", tags_of)))
+    made = held(made, "spans", F.when(F.size("tags") > 0, inline.paired(F.col("tags"), F.length(text))).otherwise(F.array().cast("array<struct<start:int,end:int,alone:boolean>>")))
     outer = F.filter("leaves", lambda x: (x["kind"] == "heading") & (x["depth"] == 0))
     free = F.filter(outer, lambda x: ~F.exists("spans", lambda s: (x["start"] >= s["start"]) & (x["start"] < s["end"])))
     heads = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["level"].alias("level"), inline.plain(x["shown"]).alias("title")))
-    return made.withColumn("heads", heads).drop("tags")
+    return held(made, "heads", heads).drop("tags")
 
 
 def _points(text: str, target: int, overlap: int) -> Column:
@@ -153,7 +163,7 @@ def plan_sections(pages: DataFrame, edits: DataFrame, key: str, text: str = "tex
     least = F.array_min(F.transform(F.filter("leaves", lambda x: x["kind"] == "heading"), lambda x: x["level"]))
     asked = new.select("_edit.*", "_put", least.alias("_least")).join(page, key, "left")
     line = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "heading")
-    asked = asked.withColumn("_same", F.filter("_heads", lambda h: (h["level"] == F.col("level")) & (F.regexp_replace(h["shown"], r"\r?\n\z", "") == line)))
+    asked = held(asked, "_same", F.filter("_heads", lambda h: (h["level"] == F.col("level")) & (F.regexp_replace(h["shown"], r"\r?\n\z", "") == line)))
     at = F.try_element_at("_same", F.lit(1))
     later = F.filter("_heads", lambda h: (h["start"] > at["start"]) & (h["level"] <= F.col("level")))
     asked = asked.withColumn("_from", at["end"]).withColumn("_to", F.coalesce(F.array_min(F.transform(later, lambda h: h["start"])), F.length("_page")))
@@ -240,9 +250,9 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     made = with_blocks(df, key, text, unwrapped)
     pairs = F.flatten(F.transform(F.filter("leaves", lambda x: (x["kind"] == "paragraph") & F.contains(x["shown"], F.lit("]:"))), lambda x: inline.definitions(x["shown"])))
-    made = made.withColumn("_pairs", pairs)
+    made = held(made, "_pairs", pairs)
     first = F.filter("_pairs", lambda p, i: ~F.exists(F.slice("_pairs", F.lit(1), i), lambda q: q["key"] == p["key"]))
-    made = made.withColumn("_known", F.map_from_entries(first))
+    made = held(made, "_known", F.map_from_entries(first))
 
     def body(x: Column) -> Column:
         lead = F.when(F.contains(x["shown"], F.lit("]:")), F.length(F.regexp_extract(x["shown"], rf"\A(?:{inline.DEFINITION})++", 0))).otherwise(0)
@@ -250,12 +260,12 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
 
     shown = F.transform(F.filter("leaves", lambda x: x["kind"].isin(*_INLINE)), lambda x: F.struct(x["start"].alias("start"), body(x).alias("shown")))
     made = made.withColumn("_shown", shown)
-    made = made.withColumn("_tokens", F.transform("_shown", lambda x: F.struct(x["start"].alias("start"), x["shown"].alias("shown"), F.when(F.rlike(x["shown"], F.lit(r"[`\[<]")), inline.found(x["shown"], inline.TOKEN, x["start"])).otherwise(F.array().cast(inline.FOUND)).alias("tokens"))))
+    made = held(made, "_tokens", F.transform("_shown", lambda x: F.struct(x["start"].alias("start"), x["shown"].alias("shown"), F.when(F.rlike(x["shown"], F.lit(r"[`\[<]")), inline.found(x["shown"], inline.TOKEN, x["start"])).otherwise(F.array().cast(inline.FOUND)).alias("tokens"))))
     links = F.flatten(F.transform("_tokens", lambda x: inline.links(x["tokens"], x["shown"], x["start"], F.col("_known"))))
     spans = F.flatten(F.transform("_tokens", lambda x: F.filter(x["tokens"], lambda t: F.startswith(t["said"], F.lit("`")) & F.rlike(t["said"], F.lit(rf"\A{inline.CODE}\z")))))
     blocks = F.transform(F.filter("leaves", lambda x: x["kind"] == "code"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     notes = F.when(F.contains(text, F.lit("<!--")), F.filter(inline.found(F.col(text), inline.LITERAL), lambda t: F.startswith(t["said"], F.lit("<!--")))).otherwise(F.array().cast(inline.FOUND))
-    made = made.withColumn("_links", links).withColumn("_code", F.concat(blocks, *[F.transform(a, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))) for a in (spans, notes)]))
+    made = held(made.withColumn("_links", links), "_code", F.concat(blocks, *[F.transform(a, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))) for a in (spans, notes)]))
     tags = F.filter(inline.found(F.col(text), _NAMED), lambda t: F.startswith(t["said"], F.lit("<")) & ~F.startswith(t["said"], F.lit("<mention-date")))
     tags = F.filter(tags, lambda t: ~F.exists("_code", lambda c: (c["start"] <= t["start"]) & (t["start"] < c["end"])))
 
@@ -266,6 +276,6 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), name.alias("form"), F.when(good, plain).otherwise(t["said"]).alias("target"), name.isin("page", "mention-page").alias("supported"))
 
     every = F.concat(F.transform("_links", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("link").alias("form"), x["target"].alias("target"), F.lit(True).alias("supported"))), F.transform(tags, named))
-    rows = made.select(key, text, F.explode(F.array_sort(every)).alias("r"))
+    rows = held(made, "_every", F.array_sort(every)).select(key, text, F.explode("_every").alias("r"))
     to = lambda c: F.octet_length(F.left(text, c)).cast("long")
     return rows.select(key, F.col("r.form").alias("form"), to(F.col("r.start")).alias("start"), to(F.col("r.end")).alias("end"), F.col("r.target").alias("target"), F.col("r.supported").alias("supported"))

@@ -239,3 +239,13 @@ def test_new_copies_get_ids_that_nothing_had(spark):
     assert [r[4] for r in more][:4] == [before[0][4] + x for x in ("", ":1", ":4", ":5")]
     with pytest.raises(S.Conflict):
         identified(spark, "x", [before[0], before[0]])
+
+
+@pytest.mark.parametrize("name", ["section_level_titles", "section_plans", "section_updates"])
+def test_structure_is_reckoned_once_a_row(spark, name):
+    """Not in a filter before an explode too."""
+    from quern.plans.registry import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert not [f for f in filters if "leaves#" in f]
