@@ -81,14 +81,36 @@ def _blocks(vectors: DataFrame, size: int, cosine: bool, prefix: str) -> DataFra
 
 
 def _best(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray, limit: int, cosine: bool) -> tuple:
-    """(query_id, chunk_id, score) of each query's best rows, ties by id."""
+    """(query_id, chunk_id, score) of each query's best rows, ties by id.
+
+    Only rows that may be among the best are sorted. By l2 they are found by a matrix
+    product, whose error is bounded, and their distances are reckoned by differences.
+    """
     if cosine:
-        distance = 1.0 - (q @ v.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :])
+        score = np.round(q @ v.T / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]) - 1.0, DIGITS) + 0.0
+        near = -score
     else:
-        distance = np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q]))
-    score = np.round(-distance, DIGITS) + 0.0
-    top = np.lexsort((np.broadcast_to(vid, score.shape), -score), axis=1)[:, :limit]
-    return np.repeat(qid, top.shape[1]), vid[top].ravel(), np.take_along_axis(score, top, axis=1).ravel()
+        own, other = (q * q).sum(axis=1), (v * v).sum(axis=1)
+        near = own[:, None] + other[None, :] - 2.0 * (q @ v.T)
+        # squares differ from their true value by less than this, and rounded distances tie within one step
+        wrong = 8.0 * np.finfo(np.float64).eps * (q.shape[1] + 4) * (own + other.max(initial=0.0))
+    out = []
+    for k in range(len(q)):
+        row = near[k]
+        last = np.partition(row, limit - 1)[limit - 1] if len(row) > limit else np.inf
+        if cosine:
+            may = np.flatnonzero(~(row > last))
+            s = score[k, may]
+        else:
+            if np.isfinite(last) and np.isfinite(wrong[k]):
+                most = np.sqrt(max(last, 0.0) + wrong[k]) + 10.0**-DIGITS
+                may = np.flatnonzero(~(row > most * most + wrong[k]))
+            else:
+                may = np.arange(len(row))
+            s = np.round(-np.sqrt(((v[may] - q[k]) ** 2).sum(axis=1)), DIGITS) + 0.0
+        top = np.lexsort((vid[may], -s))[:limit]
+        out.append((np.full(len(top), qid[k]), vid[may[top]], s[top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 HITS = "query_id long, chunk_id long, score double"
@@ -99,24 +121,51 @@ def _cut(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
 
 
+#: Blocks of queries whose best rows a task holds before it passes them on.
+MOST_HELD = 1024
+
+
+def _merged(a: tuple, b: tuple, limit: int) -> tuple:
+    """Each query's best of two sets of (query_id, chunk_id, score)."""
+    qid, vid, score = (np.concatenate(c) for c in zip(a, b, strict=True))
+    order = np.lexsort((vid, -score, qid))
+    qid = qid[order]
+    first = np.searchsorted(qid, qid, "left")
+    kept = np.arange(len(qid)) - first < limit
+    return qid[kept], vid[order][kept], score[order][kept]
+
+
 def nearest_each(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "cosine") -> DataFrame:
     """(query_id, chunk_id, score): nearest() of every query (chunk_id, vector) at once.
 
-    Blocks of queries meet blocks of rows; each pair of blocks gives a partial top-k, which is merged per query.
+    Blocks of rows are dealt out and meet a copy of every block of queries where they are,
+    for all vectors may be of one length. A task merges what it finds for a block of
+    queries; the rest is merged per query.
     """
     check_limit(limit)
     cosine = metric == "cosine"
+    parts = 4 * vectors.sparkSession.sparkContext.defaultParallelism
 
     def step(batches):
+        held: dict[bytes, tuple] = {}
+        passed = lambda: [pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "chunk_id", "score"]) for found in held.values()]
         for batch in batches:
             for k in range(batch.num_rows):
                 width = batch.column(0)[k].as_py()
-                qid, vid = (np.frombuffer(batch.column(j)[k].as_py(), "<i8") for j in (1, 3))
+                name = batch.column(1)[k].as_py()
+                qid, vid = np.frombuffer(name, "<i8"), np.frombuffer(batch.column(3)[k].as_py(), "<i8")
                 q, v = (np.frombuffer(batch.column(j)[k].as_py(), "<f8").reshape(-1, width) for j in (2, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(q, v, qid, vid, limit, cosine)], ["query_id", "chunk_id", "score"])
+                found = _best(q, v, qid, vid, limit, cosine)
+                held[name] = _merged(held[name], found, limit) if name in held else found
+                if len(held) > MOST_HELD:
+                    yield from passed()
+                    held.clear()
+        yield from passed()
 
     q, v = _blocks(queries, 256, cosine, "q"), _blocks(vectors, 2048, cosine, "v")
-    met = q.join(v.withColumnRenamed("width", "v_width"), F.col("width") == F.col("v_width")).select("width", "q_ids", "q_values", "v_ids", "v_values")
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    v = v.withColumnRenamed("width", "v_width").withColumn("v_part", F.pmod(F.xxhash64("v_ids"), F.lit(parts)).cast("int"))
+    met = q.join(v, (F.col("width") == F.col("v_width")) & (F.col("part") == F.col("v_part"))).select("width", "q_ids", "q_values", "v_ids", "v_values")
     return _cut(met.mapInArrow(step, HITS), limit)
 
 

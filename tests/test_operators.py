@@ -71,3 +71,23 @@ def test_late_hints_join_without_moving_the_due_time(spark):
     rows = [(1, 1, 1000, 0), (1, 2, 900, 1), (1, 3, 1500, 2)]
     got = debounce(spark.createDataFrame(rows, "page long, event_id long, ms long, arrival long"), 700, 3000).collect()
     assert [tuple(r) for r in got] == [(1, 0, 3, 1000, 2200, 3)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_all_queries_by_blocks_are_each_query_alone(spark, metric):
+    r = random.Random(3)
+    rows = [(k, [float(r.randint(-3, 3)) for _ in range(4)]) for k in range(2500)]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<double>").repartition(5)
+    got = {}
+    for h in S.nearest_each(v, v.filter("chunk_id % 500 = 0"), 7, metric).collect():
+        got.setdefault(h.query_id, []).append((h.chunk_id, h.score))
+    for k, x in rows[::500]:
+        if metric == "l2" or any(x):
+            want = [(h.chunk_id, h.score) for h in S.nearest(v, x, 7, metric).collect()]
+            assert sorted(got[k]) == sorted(want)
+
+
+def test_blocks_of_one_length_are_dealt_out(spark):
+    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(300)], "chunk_id long, vector array<double>")
+    plan = S.nearest_each(v, v.filter("chunk_id % 50 = 0"), 5, "l2")._jdf.queryExecution().optimizedPlan().toString()
+    assert "v_part" in next(line for line in plan.splitlines() if "Join" in line)
