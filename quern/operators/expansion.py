@@ -126,16 +126,20 @@ def phrase_hits(chunks: DataFrame, phrases: list[str]) -> DataFrame:
 
     The band of the field plus n / (1 + n) for n occurrences; evidence is generated, with the phrase's ordinal.
     """
-    found = None
+    # one pass: the generator keeps a field's words in a column of their own, so that they are made once for all phrases
     words = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-    for field, band in (("title", 2), ("text", 1)):
-        for ordinal, phrase in enumerate(phrases):
-            inside = F.lit(" " + "  ".join(phrase.split()) + " ")
-            n = (F.length(words(F.col(field))) - F.length(F.replace(words(F.col(field)), inside, F.lit("")))) / F.length(inside)
-            hit = chunks.select("chunk_id", "page_id", n.alias("n"), F.struct(F.lit(True).alias("generated"), F.lit(ordinal).alias("ordinal"), F.lit(field).alias("field")).alias("evidence")).filter("n > 0")
-            hit = hit.select("chunk_id", "page_id", F.round(band + F.col("n") / (1 + F.col("n")), 6).alias("score"), "evidence")
-            found = hit if found is None else found.unionByName(hit)
-    return found
+    fields = [F.struct(F.lit(field).alias("field"), F.lit(band).alias("band"), words(F.col(field)).alias("said")) for field, band in (("title", 2), ("text", 1))]
+    each = chunks.select("chunk_id", "page_id", F.explode(F.array(*fields)).alias("_f"))
+
+    def hit(ordinal: int, phrase: str) -> Column:
+        inside = F.lit(" " + "  ".join(phrase.split()) + " ")
+        n = (F.length("_f.said") - F.length(F.replace(F.col("_f.said"), inside, F.lit("")))) / F.length(inside)
+        return F.when(F.contains("_f.said", inside), F.struct(F.lit(ordinal).alias("ordinal"), n.alias("n")))
+
+    hits = F.filter(F.array(*[hit(k, p) for k, p in enumerate(phrases)]), lambda h: h.isNotNull())
+    found = each.select("chunk_id", "page_id", "_f.field", "_f.band", F.explode(F.array(hits)).alias("_hits")).select("*", F.explode("_hits").alias("_h"))
+    proof = F.struct(F.lit(True).alias("generated"), F.col("_h.ordinal").alias("ordinal"), F.col("field").alias("field"))
+    return found.select("chunk_id", "page_id", F.round(F.col("band") + F.col("_h.n") / (1 + F.col("_h.n")), 6).alias("score"), proof.alias("evidence"))
 
 
 def evidence(items: Column) -> Column:

@@ -183,3 +183,10 @@ def test_descended_takes_the_least_depth_and_stops(spark):
     got = lambda most: sorted(((r.id or "", r.parent or "", r.depth) for r in H.descended(nodes, nodes.filter("id = 'r' AND parent IS NULL"), most).collect()))
     assert got(64) == [("", "a", 2), ("a", "r", 1), ("b", "a", 2), ("b", "r", 1), ("c", "b", 2), ("d", "c", 3), ("r", "", 0), ("r", "d", 4)]
     assert got(1) == [("a", "r", 1), ("b", "r", 1), ("r", "", 0)]
+
+
+def test_phrases_are_counted_in_one_pass(spark):
+    chunks = spark.createDataFrame([(1, 1, "Red fish", "one red FISH, red-fish"), (2, 1, "", "redfish"), (3, 1, None, None)], "chunk_id long, page_id long, title string, text string").repartition(2)
+    made = X.phrase_hits(chunks, ["red fish", "one"])
+    assert sorted((r.chunk_id, r.score, r.evidence.ordinal, r.evidence.field) for r in made.collect()) == [(1, 1.5, 1, "text"), (1, 1.666667, 0, "text"), (1, 2.5, 0, "title")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Repartition ") == 1
