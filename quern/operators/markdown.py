@@ -86,8 +86,41 @@ def packed(points: list[int], start: int, end: int, target: int, overlap: int) -
         first = again
 
 
-def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", target: int = 2000, overlap: int = 200) -> DataFrame:
-    """(key, ordinal, start, end, headings, text) of every chunk.
+#: Any character but white space.
+_SOLID = r"[^\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PACK = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("path", pa.list_(pa.string()))]))
+
+
+def _packer(target: int, overlap: int):
+    """points, heads, length -> start, end and titles of each slice; texts themselves don't go to Python for it."""
+
+    def sliced(points: list[int], heads: list[dict], size: int) -> list[dict]:
+        path: list[tuple[int, str]] = []
+        start, out = 0, []
+        for head in [*heads, None] if size else []:
+            end = head["start"] if head else size
+            if start < end:
+                titles = [t for _, t in path]
+                out += [{"start": a, "end": b, "path": titles} for a, b in packed(points, start, end, target, overlap)]
+            if head:
+                path = [p for p in path if p[0] < head["level"]] + [(head["level"], head["title"])]
+                start = end
+        return out
+
+    @F.arrow_udf("array<struct<start:int,end:int,path:array<string>>>")
+    def cut(points: pa.Array, heads: pa.Array, size: pa.Array) -> pa.Array:
+        made = []
+        for at in range(0, len(size), 64):
+            rows = zip(*(c.slice(at, 64) for c in (points, heads, size)), strict=True)
+            made.append(pa.array([sliced(p.as_py(), h.as_py(), n.as_py() or 0) for p, h, n in rows], _PACK))
+        return pa.concat_arrays(made) if made else pa.array([], _PACK)
+
+    # so that it is reckoned once, not again in the filter that the optimizer adds before an explode
+    return cut.asNondeterministic()
+
+
+def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", target: int = 2000, overlap: int = 200, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ordinal, start, end, headings, text) of every chunk, and the columns of structure() named by ``also``.
 
     Chunks are slices between block starts; lists, quotes, code, tables and HTML elements
     stay whole, even over the target. They cross no heading, overlap by whole blocks of at
@@ -95,31 +128,13 @@ def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", target: int =
     """
     if target <= 0 or not 0 <= overlap < target:
         raise ValueError("the target must be over 0 and over the overlap")
-    made = structure(df, key, text).withColumn("points", _points(text, target, overlap)).select(key, text, "points", "heads")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                rows, n = [], 0
-                name, said, points, heads = (c[0].as_py() for c in batch.slice(at, 1).columns)
-                path: list[tuple[int, str]] = []
-                start = 0
-                for head in [*heads, None] if said else []:
-                    end = head["start"] if head else len(said)
-                    if start < end:
-                        titles = [t for _, t in path]
-                        for a, b in packed(points, start, end, target, overlap):
-                            if said[a:b].strip():
-                                rows.append((name, n, a, b, titles, said[a:b]))
-                                n += 1
-                    if head:
-                        path = [p for p in path if p[0] < head["level"]] + [(head["level"], head["title"])]
-                        start = end
-                kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], [key, "ordinal", "start", "end", "headings", "text"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return made.mapInArrow(run, f"`{key}` {kind}, ordinal long, start long, end long, headings array<string>, text string")
+    made = held(structure(df, key, text), "_points", _points(text, target, overlap)).select(key, text, "_points", *dict.fromkeys(["heads", *also]))
+    made = made.withColumn("_packs", _packer(target, overlap)("_points", "heads", F.length(text)))
+    said = F.transform("_packs", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["path"].alias("headings"), F.substr(F.col(text), p["start"] + 1, p["end"] - p["start"]).alias("text")))
+    made = held(made, "_rows", F.filter(said, lambda c: F.rlike(c["text"], F.lit(_SOLID))))
+    rows = made.select(key, *also, F.posexplode("_rows").alias("ordinal", "_c"))
+    place = [F.col(n).cast("long").alias(n.removeprefix("_c.")) for n in ("ordinal", "_c.start", "_c.end")]
+    return rows.select(key, *place, "_c.headings", "_c.text", *also)
 
 
 def headings(df: DataFrame, key: str, text: str) -> DataFrame:

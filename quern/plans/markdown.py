@@ -67,14 +67,15 @@ def chunk_markdown(spark, sf_dir):
     CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS oversized, CAST(0 AS BIGINT) AS far_back FROM placed GROUP BY doc_id""")
 def chunk_tiling(spark, sf_dir):
     """Whether each page's chunks hold all of it in order, cross no heading, overlap by at most 100 characters and exceed 1,000 only where one block does."""
-    made = pages(spark, sf_dir)
-    heads = M.structure(made, "doc_id", "text").select("doc_id", F.transform("heads", lambda h: h["start"]).alias("heads"), F.transform("tops", lambda t: t["start"]).alias("tops"))
-    w = Window.partitionBy("doc_id").orderBy("ordinal")
-    rows = M.chunks(made, target=1000, overlap=100).withColumn("before", F.lag("end").over(w)).join(heads, "doc_id")
-    inside = lambda a: F.exists(a, lambda p: (p > F.col("start")) & (p < F.col("end")))
-    counts = {"gaps": F.col("start") > F.col("before"), "crossing": inside("heads"), "oversized": (F.col("end") - F.col("start") > 1000) & inside("tops") & ~F.contains("text", F.lit("<div>")), "far_back": F.col("before") - F.col("start") > 100}
-    return rows.groupBy("doc_id").agg(
-        F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.max(F.size("heads")).cast("long").alias("headings"), *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(n) for n, c in counts.items()]
+    inside = lambda a: F.exists(a, lambda p: (p["start"] > F.col("start")) & (p["start"] < F.col("end")))
+    rows = M.chunks(pages(spark, sf_dir), target=1000, overlap=100, also=("heads", "tops"))
+    # what a row says by itself comes first, so that neither texts nor structures are shuffled
+    said = {"crossing": inside("heads"), "oversized": (F.col("end") - F.col("start") > 1000) & inside("tops") & ~F.contains("text", F.lit("<div>"))}
+    rows = rows.select("doc_id", "ordinal", "start", "end", F.size("heads").alias("headings"), *[c.alias(n) for n, c in said.items()])
+    before = F.lag("end").over(Window.partitionBy("doc_id").orderBy("ordinal"))
+    counts = {"gaps": F.col("start") > F.col("before"), "crossing": F.col("crossing"), "oversized": F.col("oversized"), "far_back": F.col("before") - F.col("start") > 100}
+    return rows.withColumn("before", before).groupBy("doc_id").agg(
+        F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.max("headings").cast("long").alias("headings"), *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(n) for n, c in counts.items()]
     )
 
 

@@ -249,3 +249,22 @@ def test_structure_is_reckoned_once_a_row(spark, name):
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
     assert not [f for f in filters if "leaves#" in f]
+
+
+@pytest.mark.parametrize("name", ["chunk_tiling", "chunk_prose", "chunk_markdown"])
+def test_chunks_are_made_of_one_scan(spark, name):
+    """Texts go to Python once, and what packs them sees their lengths only."""
+    from quern.plans.registry import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
+    packed = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert "length(text" in packed.split("]")[0] or "text#" not in packed.split("]")[0]
+
+
+def test_blank_chunks_go_by_what_python_calls_white_space(spark):
+    blank = [c for c in map(chr, range(0x10000)) if c.isspace()]
+    others = ["​", "﻿", "\x00", "\x7f", "᠎", "x"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate([*blank, *others])], "k int, c string")
+    solid = {r.k for r in df.filter(F.rlike("c", F.lit(M._SOLID))).collect()}
+    assert solid == set(range(len(blank), len(blank) + len(others)))
