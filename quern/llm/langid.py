@@ -39,7 +39,7 @@ ROUNDS = 3
 SMOOTHING = 0.1
 WORD_CHARS = 40
 PIECE_CHARS = 16
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 16
 #: Posterior under which a document counts as of no known language.
 LEAST_SCORE = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -301,6 +301,12 @@ def identify(df: DataFrame, model_path: str) -> DataFrame:
 def accepted(df: DataFrame, model_path: str) -> DataFrame:
     """The documents of a known language, with df's columns: those with letters whose posterior is LEAST_SCORE or more."""
     model = fit(df.filter(fold() != HELD_OUT), model_path)
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("key"), "text")
-    got = predict(keyed, model, model_path, key="key")
-    return got.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("key.*")
+    at, held = df.columns.index("text"), []
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(Scorer(model, model_path))
+        langs, scores = held[0](batch.column(at).to_pylist())
+        return batch.filter(pa.array([lang != UNKNOWN and score >= LEAST_SCORE for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return map_batches(df, step, ", ".join(f"`{n}` {t}" for n, t in df.dtypes), "text", 1 << 20)

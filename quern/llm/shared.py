@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at most, but for a single longer text.
 SLICE_BYTES = 4 << 20
+#: Seconds between two sweeps of what earlier steps left on disk.
+SWEEP_S = 5.0
+_swept = [float("-inf")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +48,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing.
 
     Shuffle files of earlier steps go first: Spark drops them when their plans are collected as garbage.
+    Within SWEEP_S of the last time that waits for a later step, so that many short steps don't spend their time on it.
     """
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _swept[0] > SWEEP_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
     path = shared_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
@@ -128,7 +135,8 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the hash base and of its inverse, 0 to n - 1 at least."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        # a power of two, but not over what a slice needs, so that small texts don't hold tables for large ones
+        size = max(n, min(1 << (n - 1).bit_length(), SLICE_BYTES + 1))
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -86,3 +86,18 @@ def test_odd_rows_and_no_use_of_labels(spark):
     assert {r.lang_pred for r in L.identify(df.withColumn("lang", F.lit(None).cast("string")), PATH).collect()} == {"und"}
     assert L.identify(df.limit(0), PATH).count() == 0
     assert L.accepted(df, PATH).columns == df.columns
+
+
+def test_texts_go_to_python_once_and_tables_fit_them(spark):
+    """What each worker holds: one copy of a batch's text, and tables of powers no larger than its words need."""
+    from quern.llm import shared
+
+    df = spark.createDataFrame([(1, "hello world", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    plan = L.accepted(df, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan and "AS key" not in plan
+    held = dict(shared._powers)
+    shared._powers.clear()
+    up, down = shared.powers(1000)
+    assert 1000 <= len(up) == len(down) <= 1 << 16
+    assert (up * down == 1).all()
+    shared._powers.update(held)
