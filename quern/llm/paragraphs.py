@@ -55,12 +55,13 @@ REACH = (24, 72)
 SHINGLE = 5
 BANDS, ROWS = 9, 4
 #: Bands that are dealt in one shuffle, which bounds the disk that they take.
-AT_ONCE = 5
+AT_ONCE = 3
 LEAST = 0.8
 RULE = Rule(words=SHINGLE, percent=round(100 * LEAST))
 #: Documents that stream past one copy of an earlier text.
 SPREAD = 512
 NO_ID = (1 << 63) - 1
+BAND = [f"b{k}" for k in range(BANDS)]
 _TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -182,7 +183,7 @@ def _docs(df: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, words, node, seed) of every paragraph and seed."""
+    """(doc_id, row, start, words, node, seed, b0, ...) of every paragraph and seed; of equal paragraphs of a slice the first has its bands."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = Units(batch.column(2))
@@ -193,22 +194,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
         start, words = place - units.first[text], np.r_[size, np.full(len(seed_at), SEED)]
         of = pa.array(text)
         columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.r_[node, seed].view(np.int64)), pa.array(np.arange(len(place)) >= len(at))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "words", "node", "seed"])
+        first = np.sort(np.unique(node, return_index=True)[1])  # in the text's order, so that minima are taken over short stretches
+        none = np.ones(len(place), bool)
+        none[first] = False
+        for band in units.bands(at[first], size[first], node[first]).T:
+            value = np.zeros(len(place), np.uint64)  # one each: the column keeps it
+            value[first] = band
+            columns.append(pa.array(value.view(np.int64), mask=none))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "words", "node", "seed", *BAND])
 
-    return map_batches(docs, step, "doc_id long, row long, start int, words int, node long, seed boolean", "text")
+    return map_batches(docs, step, f"doc_id long, row long, start int, words int, node long, seed boolean, {', '.join(f'{b} long' for b in BAND)}", "text")
 
 
-def collisions(docs: DataFrame, asked: range = range(BANDS)) -> DataFrame:
+def collisions(found: DataFrame, asked: range = range(BANDS)) -> DataFrame:
     """(cell, node): the asked bands that two different paragraphs or more collide in, and all of theirs."""
 
-    def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        units = Units(batch.column(0))
-        at, size, node = units.paragraphs()
-        first = np.sort(np.unique(node, return_index=True)[1])  # in the text's order, so that minima are taken over short stretches
-        node = node[first]
-        bands = units.bands(at[first], size[first], node, asked)
-        return pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(node, len(asked)).view(np.int64))], ["cell", "node"])
-
     def shared(batches):
         # rows come by band and node; a band's first row goes out once a second node follows
         last = None  # band, node, whether it has gone out
@@ -231,7 +231,8 @@ def collisions(docs: DataFrame, asked: range = range(BANDS)) -> DataFrame:
             last = bands[-1], nodes[-1], bool(many[run[-1]])
             yield pa.RecordBatch.from_arrays([pa.array(bands[out]), pa.array(nodes[out])], ["cell", "node"])
 
-    rows = map_batches(docs.select("text"), banded, "cell long, node long", "text")
+    cells = F.explode(F.array(*[F.col(BAND[k]) for k in asked])).alias("cell")
+    rows = found.filter(F.col(BAND[0]).isNotNull()).select(cells, "node")
     return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(shared, "cell long, node long")
 
 
@@ -334,16 +335,21 @@ def removals(df: DataFrame) -> DataFrame:
     """(doc_id, row, spans): for each text that loses words, the spans (words first to last - 1) and the documents that keep them."""
     docs = _docs(df)
     found = saved(occurrences(docs), "paragraphs")
-    # exact repeats
-    least = found.filter("seed").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.max("doc_id").alias("hi")).filter("at.doc_id < hi")
-    least = saved(least.select("node", F.col("at.doc_id").alias("keep"), F.col("at.row").alias("keep_row")), "repeated-seeds")
-    pairs = saved(found.filter("seed").join(least.hint("merge"), "node").filter("doc_id > keep").select("doc_id", "row", "keep", "keep_row").distinct(), "repeating-texts")
+    # exact repeats: the smallest document of each seed, and of its rows the smallest
+    seeds = found.filter("seed").select("doc_id", "row", "node")
+    # sums are saved before they are joined: Spark splits a frequent seed's rows only where a join reads both sides from a shuffle
+    span = saved(seeds.groupBy("node").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("hi")).filter("keep < hi").drop("hi"), "seed-spans")
+    hits = saved(seeds.join(span.hint("merge"), "node"), "repeated-seeds")
+    first = saved(hits.filter("doc_id = keep").groupBy("node").agg(F.min("row").alias("keep_row")), "seed-keepers")
+    pairs = hits.filter("doc_id > keep").join(first.hint("merge"), "node").select("doc_id", "row", "keep", "keep_row").distinct()
+    pairs = saved(pairs, "repeating-texts")
+    for done in (span, hits, first):
+        drop_saved(done)
+    rounds = [saved(collisions(found, range(k, min(k + AT_ONCE, BANDS))), "paragraph-bands") for k in range(0, BANDS, AT_ONCE)]
+    whole, found = found, saved(found.filter("NOT seed").drop("seed", *BAND), "paragraph-places")
+    drop_saved(whole)
     exact = saved(repeats(docs, pairs), "paragraph-repeats")
-    drop_saved(least)
-    seeded, found = found, saved(found.filter("NOT seed").drop("seed"), "paragraph-places")
-    drop_saved(seeded)
     # near repeats
-    rounds = [saved(collisions(docs, range(k, min(k + AT_ONCE, BANDS))), "paragraph-bands") for k in range(0, BANDS, AT_ONCE)]
     cells = reduce(DataFrame.union, rounds)
     held = saved(contents(docs, found, cells.select("node").distinct()), "paragraph-contents")
     near = saved(connected(cells, held, stored_sets, RULE), "paragraph-near")

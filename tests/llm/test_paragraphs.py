@@ -259,3 +259,22 @@ def test_repeated_shingles_count_once(spark):
     assert got[2] <= set(range(48))
     held = pa.array([np.array([5, 3, 5, 9, 3], "<u8").tobytes()], pa.binary())
     assert P.stored_sets(held)[0].tolist() == [3, 5, 9]
+
+
+def test_bands_come_with_the_one_scan_of_the_texts(spark):
+    words = [f"w{k * 7 % 101}" for k in range(300)]
+    texts = [" ".join(words), "x y " + " ".join(words[40:260]), " ".join(words), None]
+    docs = P._docs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).coalesce(1)
+    found = P.occurrences(docs).cache()
+    units = P.Units(pa.array(texts))
+    at, size, node = units.paragraphs()
+    bands = {n: b.view(np.int64).tolist() for n, b in zip(node.view(np.int64).tolist(), units.bands(at, size, node), strict=True)}
+    got = {r.node: [r[b] for b in P.BAND] for r in found.filter("b0 IS NOT NULL").collect()}
+    assert got == bands and found.filter("seed AND b0 IS NOT NULL").count() == 0
+    cells: dict[int, set] = {}
+    for n, values in bands.items():
+        for v in values:
+            cells.setdefault(v, set()).add(n)
+    want = {(c, n) for c, nodes in cells.items() if len(nodes) > 1 for n in nodes}
+    parts = [P.collisions(found, range(k, min(k + P.AT_ONCE, P.BANDS))) for k in range(0, P.BANDS, P.AT_ONCE)]
+    assert {tuple(r) for part in parts for r in part.collect()} == want and want
