@@ -223,16 +223,20 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids, begins, ends): packed little-endian 32-bit ids and source byte spans of every text."""
+def encode(df: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(key, ids, begins, ends): packed little-endian 32-bit ids and source byte spans of every text; with ``decoded`` also the text of those ids."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = pieces(model_path).encode([x or "" for x in batch.column(1).to_pylist()])
+        model = pieces(model_path)
+        made = model.encode([x or "" for x in batch.column(1).to_pylist()])
         columns = [pa.array([m[k] for m in made], pa.binary()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "ids", "begins", "ends"])
+        if decoded:
+            columns.append(pa.array(model.decode([m[0] for m in made]), pa.string()))
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "ids", "begins", "ends", "decoded"][: len(columns) + 1])
 
     kind = df.schema[key].dataType.simpleString()
-    made = map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), step, f"key {kind}, ids binary, begins binary, ends binary", "text", STEP_BYTES)
+    schema = f"key {kind}, ids binary, begins binary, ends binary" + (", decoded string" if decoded else "")
+    made = map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), step, schema, "text", STEP_BYTES)
     return made.withColumnRenamed("key", key)
 
 
@@ -251,14 +255,14 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", key: str = "doc_id"
 
 
 def encode_digest(df: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encodes every text, decodes the ids and returns digests of ids, spans and decoded texts."""
-    made = encode(df, model_path, text, key).select(
-        F.struct(F.col(key).alias("id"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256")).alias("key"), "ids"
-    )
-    return decode(made, model_path, "ids", "key").select(
-        F.col("key.id").alias(key),
+    """Encodes every text, decodes the ids and returns digests of ids, spans and decoded texts.
+
+    One pass through Python: with a second one each task holds two workers, and those stay for the next job's tasks.
+    """
+    return encode(df, model_path, text, key, decoded=True).select(
+        key,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        F.col("key.spans_sha256").alias("spans_sha256"),
+        F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"),
     )

@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at most, but for a single longer text.
 SLICE_BYTES = 4 << 20
+#: Bytes that a batch from Spark to Python holds, but for its last row: just under a slice, so that most batches are one slice.
+BATCH_BYTES = SLICE_BYTES // 16 * 15
+#: Bytes of text whose words are hashed at once, but for a single longer word.
+HASH_BYTES = 1 << 18
 #: Seconds between two sweeps of what earlier steps left on disk.
 SWEEP_S = 5.0
 _swept = [float("-inf")]
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +76,12 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python end by bytes (BATCH_BYTES; set here only where unset), not by their 10,000 rows alone: JVM and worker each hold whole ones."""
+    if not spark.conf.get(BATCH_LIMIT, None):
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, text: str | None = None, size: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow in slices: with ``text`` named, a slice has at most ``size`` bytes of it (or one row), so that memory is bounded by the longest text."""
 
@@ -80,6 +91,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
                 made = step(part)
                 yield from [made] if isinstance(made, pa.RecordBatch) else made
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -164,13 +176,23 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words with A-Z lower-cased: a polynomial over a table of random byte values, from prefix sums."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """64-bit hashes of words (in order) with A-Z lower-cased: a polynomial over a table of random byte values, from prefix sums.
+
+    Words are taken HASH_BYTES at a time: a hash doesn't depend on where its word stands, and sums and powers stay small.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + HASH_BYTES, "right")))
+        part = data[base : ends[to - 1]]
+        up, down = powers(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * up[: len(part)], out=total[1:])
+        start, end = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((total[end] - total[start]) * down[start])
+        at = to
+    return out
 
 
 #: Any word of a text, as a regular expression of Spark's and DuckDB's.
