@@ -15,8 +15,8 @@ weight, until none is above.
 
 Defined results: a null or blank text has size 0 and nothing taken; a null source is a
 source; equal rows count each; an empty table gives no rows. Nothing depends on the order
-or the partitions of the input, so reruns agree; among rows that tie in doc_id and size
-any may come first. Extra columns are ignored.
+or the partitions of the input, so reruns agree; rows that tie in doc_id and size come by
+their texts' hashes, which tell texts of one doc_id apart. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ class Mix:
 
 
 class Plan(NamedTuple):
-    #: doc_id, source, size, sid, start: each document's place among its source's words
+    #: doc_id, source, size, row (the text's hash), sid, start: each document's place among its source's words
     docs: DataFrame
     #: sid, source, source_size, target, blocks, slots
     sources: DataFrame
@@ -121,7 +121,7 @@ def _slots(dealt: DataFrame, how: Mix) -> DataFrame:
 
 def plan(df: DataFrame, how: Mix = Mix()) -> Plan:  # noqa: B008  (frozen)
     """The whole mix of documents (doc_id, source, text)."""
-    docs = saved(df.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    docs = saved(df.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row")), "sizes")
     wide = targets(docs.select("source", "size"), how)
     block = F.lit(how.block_words)
     sources = wide.withColumn("blocks", F.ceil(F.col("source_size") / block))
@@ -129,8 +129,8 @@ def plan(df: DataFrame, how: Mix = Mix()) -> Plan:  # noqa: B008  (frozen)
     sources = sources.withColumn("slots", F.round(F.col("blocks") * share).cast("long"))
     sources = saved(sources, "targets")
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    placed = docs.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.sid")
-    placed = running_sum(placed, "sid", [F.col("doc_id"), F.col("size")], "size", "start")
+    placed = docs.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "d.row", "s.sid")
+    placed = running_sum(placed, "sid", [F.col("doc_id"), F.col("size"), F.col("row")], "size", "start")
     dealt = _dealt(sources.filter("slots > 0"), max(1, -(-total // how.shard_slots)), how)
     return Plan(placed, sources, _slots(dealt, how))
 
@@ -167,20 +167,20 @@ def mixed_documents(df: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
     order; runs of words that aren't next to each other are joined by a line feed. So a
     document's rows hold ``taken`` words in all. n_chars, if there, is set anew.
     """
-    df = saved(df.withColumn("_size", word_count(F.col("text"))), "mixing")
     made = plan(df, how)
     # a document's start is its key: it's unique within the source for all that have words
-    key = made.docs.filter("size > 0").select("sid", "start", "doc_id", "size")
+    key = made.docs.filter("size > 0").select("sid", "start", "doc_id", "row")
     got = used_pieces(made, how).filter("uses > 0").groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("skip", "words", "uses"))).alias("_taken"))
-    # rows that tie in (source, doc_id, size) are numbered on both sides
-    tie = ["sid", "doc_id", "size"]
-    left = key.join(got.hint("merge"), ["sid", "start"]).withColumn("_nth", F.row_number().over(Window.partitionBy(*tie).orderBy("start")))
-    rows = df.alias("d").join(made.sources.select("sid", F.col("source").alias("_source")).alias("s"), F.col("d.source").eqNullSafe(F.col("s._source"))).drop("_source")
-    right = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("sid", "doc_id", "_size").orderBy("text")))
-    left = left.select(*[F.col(c).alias(f"_k_{c}") for c in tie], F.col("_nth").alias("_k_nth"), "_taken")
-    on = [F.col("sid") == F.col("_k_sid"), F.col("doc_id").eqNullSafe(F.col("_k_doc_id")), F.col("_size") == F.col("_k_size"), F.col("_nth") == F.col("_k_nth")]
-    met = right.join(left.hint("merge"), on).select(*[F.col(c) for c in df.columns if c != "_size"], "_taken")
-    names = [c for c in df.columns if c != "_size"]
+    # rows of equal doc_id and text share a list of what is taken, in order, and are numbered; doc_id
+    # goes into an array, where null equals null. Numbers and join deal texts out by the same keys: one shuffle
+    keys = ["_sid", "_id", "_row"]
+    left = key.join(got.hint("merge"), ["sid", "start"]).groupBy(F.col("sid").alias("_sid"), F.array("doc_id").alias("_id"), F.col("row").alias("_row"))
+    left = left.agg(F.sort_array(F.collect_list(F.struct("start", "_taken"))).alias("_all"))
+    right = df.alias("d").join(made.sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    right = right.select("d.*", F.col("s.sid").alias("_sid"), F.array("d.doc_id").alias("_id"), F.xxhash64("d.text").alias("_row"))
+    right = right.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("text")))
+    names = df.columns
+    met = right.join(left.hint("merge"), keys).filter(F.col("_nth") <= F.size("_all")).select(*names, F.element_at("_all", F.col("_nth"))["_taken"].alias("_taken"))
     at = names.index("text")
 
     def step(batch: pa.RecordBatch):
@@ -203,6 +203,6 @@ def mixed_documents(df: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
         columns = [pa.array(texts, pa.string()) if k == at else out.column(k) for k in range(len(names))]
         yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "_size")
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     out = map_batches(met, step, schema, "text")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out

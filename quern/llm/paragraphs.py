@@ -362,6 +362,8 @@ def removals(df: DataFrame) -> DataFrame:
     kept = saved(rooted.groupBy("root").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi")).filter("keep < hi").select("root", "keep"), "paragraph-keepers")
     taken = saved(extents(near, held), "paragraph-extents")
     by_node = saved(rooted.join(kept.hint("merge"), "root").join(taken.hint("merge"), "node", "left").select("node", "keep", "skip", "last"), "paragraph-removed")
+    for done in (held, near, rooted, kept, taken):
+        drop_saved(done)
     size = F.least("words", F.coalesce("last", "words")) - F.coalesce("skip", F.lit(0))
     gone = found.join(by_node.hint("merge"), "node").filter("doc_id > keep")
     run = F.struct((F.col("start") + F.coalesce("skip", F.lit(0))).alias("start"), size.alias("words"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quern.llm.shared import SLICE_BYTES, drop_saved, saved, slices
 
 #: Open members of a ring that are joined without another pivot; members of a block; members that stream past one copy of a pivot.
-LEAF = 512
+LEAF = 2048
 #: Rounds of pivots at most: each takes one bit of the mask of a member's links.
 MOST_ROUNDS = 60
 BLOCK = 512

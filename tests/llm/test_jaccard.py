@@ -162,3 +162,21 @@ def test_large_rings_are_joined_whatever_the_rounds(spark, monkeypatch):
         assert all(root[i] == root[j] for i, j in want) and len(set(root.values())) == 20, most
     with pytest.raises(ValueError):
         regions.connected(members, held, sets_of, rule, 61)
+
+
+def test_stars_need_no_round_and_middling_rings_one(spark, monkeypatch):
+    """Each round takes some ten shuffles, however few rows it has."""
+    from quern.llm import graph, regions
+
+    names, saved = [], graph.saved
+    for module in (graph, regions):
+        monkeypatch.setattr(module, "saved", lambda df, name: names.append(name) or saved(df, name))
+    stars = spark.createDataFrame([(9, 1), (8, 1), (7, 2), (1, 9)], "a long, b long")
+    assert {r.node: r.root for r in components(stars).collect()} == {9: 1, 8: 1, 1: 1, 7: 2, 2: 2}
+    assert names.count("links") == 1
+    sets = [np.arange(3 * k, 3 * k + 3, dtype=np.uint64) for k in range(700)]
+    sets += [sets[5], sets[650]]
+    held = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "node long, payload binary")
+    links = regions.connected(held.selectExpr("1L cell", "node"), held, regions.stored_sets, J.Rule(words=1, percent=90))
+    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == {(5, 700), (650, 701)}
+    assert names.count("compared") == 1

@@ -64,6 +64,25 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert held == +taken
 
 
+def test_texts_are_shuffled_once_and_not_stored(spark, monkeypatch):
+    stored, saved = [], M.saved
+    monkeypatch.setattr(M, "saved", lambda df, name: stored.extend(df.columns) or saved(df, name))
+    df = spark.createDataFrame(rows(), "doc_id long, source string, text string, sid string").drop("sid")
+    plan = M.mixed_documents(df, HOW)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "text" not in stored
+    assert len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\n]*\btext#", plan)) == 1, plan
+
+
+def test_texts_that_tie_keep_their_own_words(spark):
+    data = [(i, "s", t, k) for k, (i, t) in enumerate([(7, "a b c"), (7, "d e f"), (None, "g h i"), (None, "g h i"), (None, "j k l"), (0, "m n o")])]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string, n int")
+    got = M.mixed_documents(df, HOW).collect()
+    assert {(r.doc_id, *r.text.split()) for r in got} == {(i, *t.split()) for i, _, t, _ in data}
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in M.taken(df, HOW).collect())
+    again = M.mixed_documents(df.orderBy(F.desc("n")), HOW).collect()
+    assert Counter((r.doc_id, r.text) for r in again) == Counter((r.doc_id, r.text) for r in got)
+
+
 def test_nothing_and_one(spark):
     df = spark.createDataFrame([(1, None, "a b c d e")], "doc_id long, source string, text string")
     assert [(r.size, r.source_size, r.target, r.taken) for r in M.taken(df, HOW).collect()] == [(5, 5, 5.0, 5)]
